@@ -99,8 +99,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table([table.column("batch").take(pa.array(use, pa.int64())), table.column("bucket").take(pa.array(use, pa.int64())), pa.array([np.packbits(bits[i]).tobytes() for i in use], pa.binary())], names=["batch", "bucket", "bits"])
 
 
-def _remove(size: int, buckets: int):
-    kind = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+def _remove(size: int, buckets: int, carried: list[str], layout: bool):
 
     def run(table: pa.Table, flags: pa.Table) -> pa.Table:
         table = _ordered(table)
@@ -130,24 +129,27 @@ def _remove(size: int, buckets: int):
             lost = len(k) - int(k.sum())
             n_words.append(len(ws))
             n_removed.append(lost)
-            kept.append(b" ".join(compress(ws, k) if lost else ws))
-        null = ids == _LAST
-        return pa.table([pa.array(ids, pa.int64(), mask=null), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=kind)
+            kept.append(raw[offsets[i] : offsets[i + 1]] if layout and not lost else b" ".join(compress(ws, k) if lost else ws))
+        new = [pa.array(ids, pa.int64(), mask=ids == _LAST), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.table([*new, *(table.column(c) for c in carried)], names=["id", "n_words", "n_removed", "kept", *carried])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, batch_bytes: int = 16 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """One row per row of ``docs``: id, n_words, n_removed, kept text (its words joined by one space).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, carry: list[str] | None = None, layout: bool = False, batch_bytes: int = 16 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+    """One row per row of ``docs``: id, n_words, n_removed, kept (text), and the columns named in ``carry``.
 
     A word goes if a window of ``window`` words over it, words being
     ``[^\\x20\\x09-\\x0D]+`` unchanged, also starts in a document with a smaller
-    id. Windows are judged on the input. A null text has no words; a text of
-    fewer words than a window loses none. A null id comes after all others.
-    Rows of one id do not remove each other's words. Other columns are ignored,
-    whatever their names; an empty table gives an empty one.
+    id. Windows are judged on the input. The words left are joined by one space;
+    with ``layout`` a text that loses none stays as it is. A null text has no
+    words; a text of fewer words than a window loses none. A null id comes after
+    all others. Rows of one id do not remove each other's words. Columns that are
+    not carried are ignored, whatever their names; a carried column must not have
+    the name of a returned one. An empty table gives an empty one.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
+    named = {c: f"c{k}" for k, c in enumerate(carry or [])}
+    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in named.items()))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(min(_PARTS, total // _SMALL), total // batch_bytes, 1)
     buckets = int(max(min(_BUCKETS, total // 4096), total * 8 // 5 // bucket_bytes, 1))
@@ -155,5 +157,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = base.withColumn("batch", F.expr(range_number("id", sorted(set(marks or [])))))
     sent = dealt.groupBy("batch").applyInArrow(_send(window, buckets), "bucket int, batch int, hashes binary")
     flags = sent.groupBy("bucket").applyInArrow(_answer, "batch int, bucket int, bits binary")
-    out = dealt.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_remove(window, buckets), "id long, n_words long, n_removed long, kept string")
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept")
+    extra = "".join(f", {n} {dealt.schema[n].dataType.simpleString()}" for n in named.values())
+    out = dealt.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_remove(window, buckets, list(named.values()), layout), "id long, n_words long, n_removed long, kept string" + extra)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(n).alias(c) for c, n in named.items()))

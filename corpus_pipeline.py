@@ -1,4 +1,60 @@
-"""Corpus pipeline (being built)."""
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""Corpus pipeline: documents in, packed token windows out.
+
+Each stage works on all rows its predecessor kept and returns the columns of
+``documents``; the last returns the pieces of the packed windows.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cdrforge.llm.line_dedup import drop_boilerplate
+from cdrforge.llm.near_dup import near_duplicates
+from cdrforge.llm.packing import pack
+from cdrforge.llm.quality_rules import quality_filter, train
+from cdrforge.llm.substring_dedup import remove_repeats
+from cdrforge.storage import Scratch
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose words stand in content lines."""
+    return quality_filter(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of a source go; no document does."""
+    return drop_boilerplate(docs).select(docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that of the smallest id."""
+    copies = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 13 words and more that a document with a smaller id holds go."""
+    out = remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")], layout=True)
+    return out.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in windows of 1024."""
+    return pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("substring_dedup", substrings), ("packing", packing)]
+
+#: SQL cannot express the first and the last stage.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ from cdrforge.llm.near_dup import near_duplicates
 from cdrforge.llm.packing import pack
 from cdrforge.llm.quality_classifier import classify
 from cdrforge.llm.quality_rules import quality_rules, train
+from cdrforge.llm.sentence_pieces import encode
 from cdrforge.llm.sharding import shard
 from cdrforge.llm.substring_dedup import remove_repeats
 
@@ -43,6 +44,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -62,5 +69,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_html_extraction, op4_embedding_near_dedup, op5_quality_classifier, op7_substring_dedup, op8_minhash_near_dedup, op9_packing, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_html_extraction, op4_embedding_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_substring_dedup, op8_minhash_near_dedup, op9_packing, op10_sharding)}
 SQL: dict[str, str] = {}

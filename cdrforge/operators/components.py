@@ -33,7 +33,7 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [(k, find(k)) for k in parent]
         pairs = [p for p in pairs if p[0] != p[1]]
         parent.clear()
-        return pa.RecordBatch.from_pydict({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, schema=kind) if pairs else None
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind.field(k).type) for k in (0, 1)], schema=kind) if pairs else None
 
     kind = None
     for batch in batches:
@@ -49,13 +49,15 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", one_task_rows: int = 10_000) -> DataFrame:
     """Components of an undirected graph.
 
     ``edges``: two columns of one orderable type (long or string); rows with a
     null end and loops add nothing, repeated rows count once. Returns
     ``(node, component)`` for every node that has an edge to another one, with
-    the smallest node of the component. An empty table gives an empty table.
+    the smallest node of the component. An empty table gives an empty table. If at
+    most ``one_task_rows`` edges are left after the contraction (they are counted),
+    one task finishes the work.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, name)
@@ -65,6 +67,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     e = e.mapInArrow(contract, f"a {kind}, b {kind}")
     at = scratch.write(e, "edges")
     e = scratch.read(at, e)
+    named = lambda x: x.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if (left := e.limit(one_task_rows + 1).count()) <= one_task_rows:
+        return named(scratch.table(e.coalesce(1).mapInArrow(contract, f"a {kind}, b {kind}"), "stars") if left else e)
     mark = None
     for _ in range(_MOST_ROUNDS):
         both = e.union(e.select("b", "a"))
@@ -82,4 +87,4 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         mark = tuple(now)
     else:
         raise RuntimeError(f"components did not settle in {_MOST_ROUNDS} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return named(e)

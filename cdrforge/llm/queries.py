@@ -15,6 +15,7 @@ from cdrforge.llm.quality_classifier import classify
 from cdrforge.llm.quality_rules import quality_rules, train
 from cdrforge.llm.sentence_pieces import encode
 from cdrforge.llm.sharding import shard
+from cdrforge.llm.sql import SQL as SQL
 from cdrforge.llm.substring_dedup import remove_repeats
 
 
@@ -70,4 +71,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_html_extraction, op4_embedding_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_substring_dedup, op8_minhash_near_dedup, op9_packing, op10_sharding)}
-SQL: dict[str, str] = {}

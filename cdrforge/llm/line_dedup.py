@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from cdrforge.storage import Scratch
 
 #: Characters taken off both ends of a line before it is compared.
-_BLANK = r" \t\r\u000b\f"
+_BLANK = r" \t\r\u000b\u000c"
 _TRIM = f"trim(BOTH '{_BLANK}' FROM l)"
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def command(program: str, root: str, query: str, output: str, threads: int = 1) -> list[str]:
+def command(program: str, query: str, output: str, threads: int = 1) -> list[str]:
     """Arguments of a run against the V, D and J databases of a tree."""
     return [program, *(x for s in "VDJ" for x in (f"-germline_db_{s}", f"database/my_seq_{s}")), "-organism", "human", "-domain_system", "imgt", "-query", query, "-outfmt", "19", "-out", output, "-auxiliary_data", "optional_file/human_gl.aux", "-num_threads", str(threads)]
 
@@ -32,7 +32,7 @@ def align(records: DataFrame, root: str, program: str = "bin/igblastn", threads:
                 for b in batches:
                     f.writelines(f">{h}\n{s}\n" for h, s in zip(b["header"], b["sequence"], strict=True))
             if query.stat().st_size:
-                subprocess.run(command(program, root, str(query), str(output), threads), cwd=root, check=True)
+                subprocess.run(command(str(Path(root) / program), str(query), str(output), threads), cwd=root, check=True)
                 with output.open() as f:
                     yield pd.DataFrame({"value": [x.rstrip("\n") for x in f]})
 

@@ -65,18 +65,39 @@ def _sketches(size: int, k: int) -> Callable:
     return run
 
 
-def _sets(size: int) -> Callable:
-    kind = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("nb", pa.int64()), ("payload", pa.binary())])
+def _sets(size: int, bits: np.ndarray) -> Callable:
+    kind = pa.schema([("id", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            hit = np.ones(whole.num_rows, bool)
+            for k in range(_PROBES):
+                at = whole.column(f"p{k}").to_numpy()
+                hit &= (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            for batch in pieces(whole.filter(pa.array(hit)), "text") if hit.any() else ():
                 sets = [s.tobytes() for s in shingle_sets(batch.column("text"), size)]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), batch.column("nb"), pa.array(sets, pa.binary())], schema=kind)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], schema=kind)
 
     return run
 
 
+_PROBES, _MOST_BITS = 3, 1 << 26
+
+
+def probes(size: int) -> list:
+    return [F.expr(f"pmod(xxhash64(id, {k + 17}), {size}L)").alias(f"p{k}") for k in range(_PROBES)]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of the column ``id``, of 8 MB at most: what it lets through by chance costs time only."""
+    size = max(1 << 12, min(_MOST_BITS, 1 << (16 * max(1, ids.count())).bit_length()))
+    at = ids.select(F.explode(F.array(*probes(size))).alias("p"))
+    rows = at.groupBy(F.expr("shiftright(p, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of the block."""
     n = len(sets)
@@ -104,14 +125,14 @@ def sketch_pairs(k: int, least: int, percent: int) -> Callable:
 
     def check(sets: list[np.ndarray]) -> tuple[np.ndarray, Callable[[int, int], bool]]:
         size = np.array([need(len(s)) for s in sets])
-        near = overlaps(sets) >= np.maximum(size[:, None], size[None, :])
 
         def exact(i: int, j: int) -> bool:
-            union = np.union1d(sets[i], sets[j])[:k]
-            common = np.isin(union, sets[i], assume_unique=True) & np.isin(union, sets[j], assume_unique=True)
-            return int(common.sum()) >= max(size[i], size[j])
+            _, times = np.unique(np.concatenate([sets[i], sets[j]]), return_counts=True)
+            return int((times[:k] == 2).sum()) >= max(size[i], size[j])
 
-        return near, exact
+        if len(sets) == 2:
+            return ~np.eye(2, dtype=bool), exact
+        return overlaps(sets) >= np.maximum(size[:, None], size[None, :]), exact
 
     return check
 
@@ -237,7 +258,7 @@ def least_common(k: int, percent: int, loss: float) -> int:
     return max(1, m)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = 32, loss: float = 1e-9, list_block: int = 256, set_block: int = 16384) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = 48, loss: float = 1e-7, list_block: int = 512, set_block: int = 16384) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of
@@ -274,8 +295,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = comp.join(reps.select(F.col("id").alias("node"), "n"), "node")
     weight = sized.groupBy("component").agg(F.expr(f"cast(ceil(sum(greatest(n, 64)) / {set_block}) as long)").alias("nb"))
     cand = scratch.table(comp.join(weight, "component").select(F.col("node").alias("id"), F.col("component").alias("key"), "nb"), "candidates")
-    full = scratch.table(base.join(cand, "id").mapInArrow(_sets(shingle), "key long, id long, nb long, payload binary"), "sets")
-    true = block_links(full, jaccard_pairs(percent), "uint64", scratch, "set")
+    bits = id_filter(cand.select("id"))
+    full = scratch.table(base.select("id", "text", *probes(len(bits) << 6)).mapInArrow(_sets(shingle, bits), "id long, payload binary"), "sets")
+    true = block_links(full.join(cand, "id"), jaccard_pairs(percent), "uint64", scratch, "set")
     label = connected_components(true, "near")
     named = classes.join(label, classes["rep"] == label["node"], "left").select("ka", "kb", F.coalesce("component", "rep").alias("c"))
     out = rows.drop("sketch").join(named, ["ka", "kb"], "left")

@@ -43,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(o: argparse.Namespace) -> None:
-    a = Analysis(read_airr(session(o.workers), o.igblast), o.threshold, o.min_lineage_size)
+    a = Analysis(read_airr(session(o.workers), o.igblast), o.threshold, o.min_lineage_size, several=True)
     sys.stdout.write(reports.stats_text(a.stats))
     if o.dump_lineages:
         reports.write_file(o.dump_lineages, reports.lineage_text(a.table))

@@ -3,7 +3,8 @@
 Both steps are a ``min`` per node and an equi-join, so a hub that holds a third
 of all edges is pre-aggregated before its shuffle and its join partition can be
 split by adaptive execution. Edges are first contracted inside each partition,
-which leaves at most a forest per task. (Kiveris et al., Connected Components in
+which leaves at most a forest per task, and again over ever fewer partitions of a
+bounded number of edges, as long as that pays. (Kiveris et al., Connected Components in
 MapReduce and Beyond, 2014.)
 """
 
@@ -49,14 +50,14 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def connected_components(edges: DataFrame, name: str = "components", one_task_rows: int = 10_000) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", one_task_rows: int = 50_000, task_rows: int = 100_000) -> DataFrame:
     """Components of an undirected graph.
 
     ``edges``: two columns of one orderable type (long or string); rows with a
     null end and loops add nothing, repeated rows count once. Returns
     ``(node, component)`` for every node that has an edge to another one, with
     the smallest node of the component. An empty table gives an empty table. If at
-    most ``one_task_rows`` edges are left after the contraction (they are counted),
+    most ``one_task_rows`` edges are left after the contractions (they are counted),
     one task finishes the work.
     """
     spark = edges.sparkSession
@@ -65,11 +66,19 @@ def connected_components(edges: DataFrame, name: str = "components", one_task_ro
     kind = edges.schema[0].dataType.simpleString()
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null and a <> b")
     e = e.mapInArrow(contract, f"a {kind}, b {kind}")
-    at = scratch.write(e, "edges")
+    at, left = scratch.write_counted(e, "edges")
     e = scratch.read(at, e)
     named = lambda x: x.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    if (left := e.limit(one_task_rows + 1).count()) <= one_task_rows:
-        return named(scratch.table(e.coalesce(1).mapInArrow(contract, f"a {kind}, b {kind}"), "stars") if left else e)
+    while left > one_task_rows:
+        fewer = e.repartition(-(-left // task_rows)).mapInArrow(contract, f"a {kind}, b {kind}")
+        (nxt, now), before = scratch.write_counted(fewer, "edges"), left
+        e = scratch.read(nxt, fewer)
+        scratch.drop(at)
+        at, left = nxt, now
+        if left > 0.8 * before:
+            break
+    if left <= one_task_rows:
+        return named(e.coalesce(1).mapInArrow(contract, f"a {kind}, b {kind}") if left else e)
     mark = None
     for _ in range(_MOST_ROUNDS):
         both = e.union(e.select("b", "a"))
@@ -77,14 +86,14 @@ def connected_components(edges: DataFrame, name: str = "components", one_task_ro
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        nxt = scratch.write(small, "star")
+        nxt, n = scratch.write_counted(small, "star")
         e = scratch.read(nxt, small)
         scratch.drop(at)
         at = nxt
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark or not now[0]:
+        now = n, e.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0] if n else 0
+        if now == mark or not n:
             break
-        mark = tuple(now)
+        mark = now
     else:
         raise RuntimeError(f"components did not settle in {_MOST_ROUNDS} rounds")
     return named(e)

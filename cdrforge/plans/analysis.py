@@ -15,13 +15,14 @@ from cdrforge.storage import Scratch
 class Analysis:
     """Results of one repertoire, each built when first asked for.
 
-    ``reads``: ord, cdr3, cdr3_aa, cdr_length, v_call, j_call. Nodes and members,
-    which several results share, are written once.
+    ``reads``: ord, cdr3, cdr3_aa, cdr_length, v_call, j_call. Nodes are written
+    once; so are members with ``several``, for when more than one result is asked for.
     """
 
     reads: DataFrame
     ratio: float = 0.1
     least: int = 10
+    several: bool = False
 
     @functools.cached_property
     def _scratch(self) -> Scratch:
@@ -37,7 +38,8 @@ class Analysis:
 
     @functools.cached_property
     def members(self) -> DataFrame:
-        return self._scratch.table(lineages.members(self.nodes, self.edges), "members")
+        members = lineages.members(self.nodes, self.edges)
+        return self._scratch.table(members, "members") if self.several else members
 
     @functools.cached_property
     def summaries(self) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,6 +39,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return path
 
+    def write_counted(self, df: DataFrame, name: str) -> tuple[str, int]:
+        """The path and the number of rows, which the same job counts."""
+        seen = Observation()
+        path = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return path, seen.get["n"]
+
     def read(self, path: str, df: DataFrame) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BooleanType, IntegerType
 
 
 def reported_length(start: Column, end: Column) -> Column:
@@ -24,20 +24,50 @@ def hamming_distance(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0).otherwise(F.size(unlike))
 
 
-def _codes(s: pd.Series, width: int) -> np.ndarray:
+def _codes(s: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in s), np.uint8).reshape(len(s), width)
 
 
+def _differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Where two sequences differ, up to the shorter one's end: a row for each pair."""
+    shorter = np.minimum([len(v) for v in x], [len(v) for v in y])
+    width = max(1, max(map(len, x)), max(map(len, y)))
+    return (_codes(x, width) != _codes(y, width)) & (np.arange(width) < shorter[:, None])
+
+
 @pandas_udf(IntegerType())
 def hamming_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same distance over bytes, in batches: for joins with many pairs."""
     if not len(a):
         return pd.Series([], dtype="int32")
-    x, y = [v.encode() for v in a], [v.encode() for v in b]
-    shorter = np.minimum([len(v) for v in x], [len(v) for v in y])
-    width = max(1, max(map(len, x)), max(map(len, y)))
-    differ = _codes(x, width) != _codes(y, width)
-    return pd.Series((differ & (np.arange(width) < shorter[:, None])).sum(1).astype("int32"))
+    return pd.Series(_differing([v.encode() for v in a], [v.encode() for v in b]).sum(1).astype("int32"))
+
+
+def _pieces(v: bytes, n: int) -> list[bytes]:
+    size, more = divmod(len(v), n)
+    cut = [k * size + min(k, more) for k in range(n + 1)]
+    return [v[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)]
+
+
+@pandas_udf(BooleanType())
+def meets_first(a: pd.Series, b: pd.Series, n: pd.Series, i: pd.Series, limit: pd.Series) -> pd.Series:
+    """The distance is within the limit, and of ``n`` chunks the first that both have alike is number ``i``."""
+    if not len(a):
+        return pd.Series([], dtype="bool")
+    x, y, n, i = [v.encode() for v in a], [v.encode() for v in b], n.to_numpy(), i.to_numpy()
+    differ, long = _differing(x, y), np.array([len(v) for v in x])
+    size, more = long // n, long % n
+    at = np.arange(differ.shape[1])
+    head = more * (size + 1)
+    which = np.where(at < head[:, None], at // (size + 1)[:, None], more[:, None] + (at - head[:, None]) // np.maximum(size, 1)[:, None])
+    most = int(n.max()) + 1
+    row, column = np.nonzero(differ)
+    hits = np.bincount(row * most + np.minimum(which[row, column], most - 1), minlength=len(x) * most).reshape(len(x), most)
+    first = (hits == 0).argmax(1)
+    for k in np.flatnonzero(long != [len(v) for v in y]):  # each is cut by its own length
+        alike = [p == q for p, q in zip(_pieces(x[k], int(n[k])), _pieces(y[k], int(n[k])), strict=True)]
+        first[k] = alike.index(True) if True in alike else -1
+    return pd.Series((first == i) & (differ.sum(1) <= limit.to_numpy()))
 
 
 def max_distance(length: Column, ratio: float) -> Column:
@@ -45,11 +75,15 @@ def max_distance(length: Column, ratio: float) -> Column:
     return F.lit(float(ratio)) * length.cast("double")
 
 
-def chunks(sequence: Column, n: Column) -> Column:
-    """``n`` contiguous pieces whose lengths differ by one at most, the longer ones first; empty ones where n exceeds the length."""
+def chunk(sequence: Column, n: Column, i: Column) -> Column:
+    """Piece ``i`` (from 0) of ``n`` contiguous pieces whose lengths differ by one at most, the longer ones first; empty ones where n exceeds the length."""
     size, more = F.floor(F.length(sequence) / n).cast("int"), F.length(sequence) % n.cast("int")
-    piece = lambda i: F.substring(sequence, i * size + F.least(i, more) + 1, size + F.when(i < more, 1).otherwise(0))
-    return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), piece)
+    return F.substring(sequence, i * size + F.least(i, more) + 1, size + F.when(i < more, 1).otherwise(0))
+
+
+def chunks(sequence: Column, n: Column) -> Column:
+    """All ``n`` pieces, in order."""
+    return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: chunk(sequence, n, i))
 
 
 def left_pad(text: Column, width: int) -> Column:

@@ -1 +1 @@
-
+"""Relational operators of the lineage analysis."""

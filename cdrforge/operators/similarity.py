@@ -5,7 +5,7 @@ gene, and they differ in at most ratio * length positions. With d differences
 allowed, one of d + 1 chunks is equal in both, so candidates come from an
 equi-join on (length, V, J, chunk). A pair meets in several of these keys; the
 smallest common V and J and the first equal chunk emit it, so no shuffle is
-needed to make pairs distinct.
+needed to make pairs distinct; the last test runs with the distance, over bytes.
 """
 
 from __future__ import annotations
@@ -13,13 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cdrforge.functions.genes import genes_overlap, smallest_common
-from cdrforge.functions.sequences import chunks, hamming_bytes, hamming_distance, max_distance
+from cdrforge.functions.sequences import chunk, chunks, hamming_distance, max_distance, meets_first
 
 
-def pigeonhole_chunks(nodes: DataFrame, ratio: float = 0.1) -> DataFrame:
-    """nodes with ``chunks``; those whose limit is negative join nothing and are left out."""
+def _joinable(nodes: DataFrame, ratio: float) -> DataFrame:
+    """nodes with ``n``, the number of chunks; those whose limit is negative join nothing and are left out."""
     limit = max_distance(F.col("cdr_length"), ratio)
-    return nodes.where(limit >= 0).withColumn("chunks", chunks(F.col("cdr3"), F.floor(limit) + 1))
+    return nodes.where(limit >= 0).withColumn("n", (F.floor(limit) + 1).cast("int"))
+
+
+def pigeonhole_chunks(nodes: DataFrame, ratio: float = 0.1) -> DataFrame:
+    """nodes that can join others, with ``chunks``."""
+    return _joinable(nodes, ratio).withColumn("chunks", chunks(F.col("cdr3"), F.col("n"))).drop("n")
 
 
 def block_sizes(nodes: DataFrame) -> DataFrame:
@@ -30,17 +35,15 @@ def block_sizes(nodes: DataFrame) -> DataFrame:
 
 def edges(nodes: DataFrame, ratio: float = 0.1) -> DataFrame:
     """(cdr_length, a, b) with a < b, each pair once."""
-    base = pigeonhole_chunks(nodes, ratio).select("cdr_length", "cdr3", "v_call", "j_call", "chunks")
-    keyed = base.withColumn("v", F.explode("v_call")).withColumn("j", F.explode("j_call"))
-    keyed = keyed.select("*", F.posexplode("chunks").alias("pos", "chunk"))
-    # one long instead of five columns is what the join sorts and compares; the columns themselves confirm it
-    key = F.xxhash64("cdr_length", "v", "j", "pos", "chunk")
-    left = keyed.select(key.alias("k"), "cdr_length", "v", "j", "pos", F.col("cdr3").alias("a"), F.col("v_call").alias("va"), F.col("j_call").alias("ja"), F.col("chunks").alias("ca"))
-    right = keyed.select(key.alias("k"), F.col("cdr_length").alias("lb"), F.col("cdr3").alias("b"), F.col("v_call").alias("vb"), F.col("j_call").alias("jb"), F.col("chunks").alias("cb"))
+    keyed = _joinable(nodes, ratio).select("cdr_length", "cdr3", "v_call", "j_call", "n", F.explode("v_call").alias("v"))
+    keyed = keyed.select("*", F.explode("j_call").alias("j")).select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("pos"))
+    # one long instead of five columns is what the join sorts and compares; what it stands for is checked with the pair
+    keyed = keyed.withColumn("k", F.xxhash64("cdr_length", "v", "j", "pos", chunk(F.col("cdr3"), F.col("n"), F.col("pos"))))
+    left = keyed.select("k", "cdr_length", "v", "j", "pos", "n", F.col("cdr3").alias("a"), F.col("v_call").alias("va"), F.col("j_call").alias("ja"))
+    right = keyed.select("k", F.col("cdr_length").alias("lb"), F.col("cdr3").alias("b"), F.col("v_call").alias("vb"), F.col("j_call").alias("jb"))
     pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.col("cdr_length") == F.col("lb")))
-    same = F.array_position(F.zip_with("ca", "cb", lambda x, y: x == y), True) - 1
-    once = pairs.where((F.col("v") == smallest_common(F.col("va"), F.col("vb"))) & (F.col("j") == smallest_common(F.col("ja"), F.col("jb"))) & (same == F.col("pos")))
-    return once.select("cdr_length", "a", "b").where(hamming_bytes("a", "b") <= max_distance(F.col("cdr_length"), ratio))
+    once = pairs.where((F.col("v") == smallest_common(F.col("va"), F.col("vb"))) & (F.col("j") == smallest_common(F.col("ja"), F.col("jb"))))
+    return once.where(meets_first("a", "b", "n", "pos", max_distance(F.col("cdr_length"), ratio))).select("cdr_length", "a", "b")
 
 
 def edges_by_definition(nodes: DataFrame, ratio: float = 0.1) -> DataFrame:

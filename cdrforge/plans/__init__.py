@@ -1 +1 @@
-
+"""Whole analyses, queries over the driver's tables, and their SQL."""

@@ -30,7 +30,9 @@ class Analysis:
 
     @functools.cached_property
     def nodes(self) -> DataFrame:
-        return self._scratch.table(collapse.collapse(self.reads), "nodes")
+        # as many files as there are shuffle partitions: the join multiplies rows, so its scan must not be one task
+        n = int(self.reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return self._scratch.table(collapse.collapse(self.reads).repartition(n, "cdr3"), "nodes")
 
     @functools.cached_property
     def edges(self) -> DataFrame:

@@ -1 +1 @@
-
+"""Writers of reports, FASTA and charts."""

@@ -1 +1 @@
-
+"""Empty: the analysis is a batch over one table and has no streams."""

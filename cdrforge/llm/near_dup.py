@@ -288,16 +288,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = lists.withColumn("need", need).where("size(l) >= need")
     lists = lists.select("id", F.explode(F.expr("slice(l, 1, size(l) - need + 1)")).alias("e"), F.expr("transform(sketch, v -> cast(shiftright(v, 32) as int))").alias("payload"))
     members = lists.select(F.col("e.key").alias("key"), "id", F.expr(f"cast(ceil(e.c / {list_block}) as long)").alias("nb"), "payload")
-    members = scratch.table(members, "lists")
-    close = block_links(members, sketch_pairs(k, least, percent), "uint32", scratch, "list")
+    at = scratch.write(members, "lists")
+    close = block_links(scratch.read(at, members), sketch_pairs(k, least, percent), "uint32", scratch, "list")
+    scratch.drop(at)
     comp = connected_components(close, "candidates")
     comp = comp.union(comp.select(F.col("component").alias("node"), "component").distinct())
     sized = comp.join(reps.select(F.col("id").alias("node"), "n"), "node")
     weight = sized.groupBy("component").agg(F.expr(f"cast(ceil(sum(greatest(n, 64)) / {set_block}) as long)").alias("nb"))
     cand = scratch.table(comp.join(weight, "component").select(F.col("node").alias("id"), F.col("component").alias("key"), "nb"), "candidates")
     bits = id_filter(cand.select("id"))
-    full = scratch.table(base.select("id", "text", *probes(len(bits) << 6)).mapInArrow(_sets(shingle, bits), "id long, payload binary"), "sets")
-    true = block_links(full.join(cand, "id"), jaccard_pairs(percent), "uint64", scratch, "set")
+    full = base.select("id", "text", *probes(len(bits) << 6)).mapInArrow(_sets(shingle, bits), "id long, payload binary")
+    at = scratch.write(full, "sets")
+    true = block_links(scratch.read(at, full).join(cand, "id"), jaccard_pairs(percent), "uint64", scratch, "set")
+    scratch.drop(at)
     label = connected_components(true, "near")
     named = classes.join(label, classes["rep"] == label["node"], "left").select("ka", "kb", F.coalesce("component", "rep").alias("c"))
     out = rows.drop("sketch").join(named, ["ka", "kb"], "left")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, IntegerType
 
 
@@ -24,23 +24,24 @@ def hamming_distance(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0).otherwise(F.size(unlike))
 
 
-def _codes(s: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in s), np.uint8).reshape(len(s), width)
+def _differing(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where two sequences differ, up to the shorter one's end: a row for each pair; and their lengths in bytes."""
 
+    def view(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        c = c.cast(pa.large_binary())
+        return np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1], np.frombuffer(c.buffers()[2] or b"\0", np.uint8)
 
-def _differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """Where two sequences differ, up to the shorter one's end: a row for each pair."""
-    shorter = np.minimum([len(v) for v in x], [len(v) for v in y])
-    width = max(1, max(map(len, x)), max(map(len, y)))
-    return (_codes(x, width) != _codes(y, width)) & (np.arange(width) < shorter[:, None])
+    (p, x), (q, y) = view(a), view(b)
+    shorter = np.minimum(np.diff(p), np.diff(q))
+    at = np.arange(max(1, shorter.max(initial=0)))
+    left, right = (d[np.minimum(o[:-1, None] + at, max(len(d) - 1, 0))] if len(d) else np.zeros((len(shorter), len(at)), np.uint8) for o, d in ((p, x), (q, y)))
+    return (left != right) & (at < shorter[:, None]), np.diff(p), np.diff(q)
 
 
-@pandas_udf(IntegerType())
-def hamming_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
+@arrow_udf(IntegerType())
+def hamming_bytes(a: pa.Array, b: pa.Array) -> pa.Array:
     """The same distance over bytes, in batches: for joins with many pairs."""
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    return pd.Series(_differing([v.encode() for v in a], [v.encode() for v in b]).sum(1).astype("int32"))
+    return pa.array(_differing(a, b)[0].sum(1).astype(np.int32))
 
 
 def _pieces(v: bytes, n: int) -> list[bytes]:
@@ -49,25 +50,24 @@ def _pieces(v: bytes, n: int) -> list[bytes]:
     return [v[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)]
 
 
-@pandas_udf(BooleanType())
-def meets_first(a: pd.Series, b: pd.Series, n: pd.Series, i: pd.Series, limit: pd.Series) -> pd.Series:
+@arrow_udf(BooleanType())
+def meets_first(a: pa.Array, b: pa.Array, n: pa.Array, i: pa.Array, limit: pa.Array) -> pa.Array:
     """The distance is within the limit, and of ``n`` chunks the first that both have alike is number ``i``."""
-    if not len(a):
-        return pd.Series([], dtype="bool")
-    x, y, n, i = [v.encode() for v in a], [v.encode() for v in b], n.to_numpy(), i.to_numpy()
-    differ, long = _differing(x, y), np.array([len(v) for v in x])
+    differ, long, other = _differing(a, b)
+    n, i, limit = (x.to_numpy(zero_copy_only=False) for x in (n, i, limit))
+    close = differ.sum(1) <= limit
     size, more = long // n, long % n
-    at = np.arange(differ.shape[1])
     head = more * (size + 1)
-    which = np.where(at < head[:, None], at // (size + 1)[:, None], more[:, None] + (at - head[:, None]) // np.maximum(size, 1)[:, None])
-    most = int(n.max()) + 1
-    row, column = np.nonzero(differ)
-    hits = np.bincount(row * most + np.minimum(which[row, column], most - 1), minlength=len(x) * most).reshape(len(x), most)
-    first = (hits == 0).argmax(1)
-    for k in np.flatnonzero(long != [len(v) for v in y]):  # each is cut by its own length
-        alike = [p == q for p, q in zip(_pieces(x[k], int(n[k])), _pieces(y[k], int(n[k])), strict=True)]
+    row, column = np.nonzero(differ & close[:, None])
+    s, m, h = size[row], more[row], head[row]
+    which = np.where(column < h, column // (s + 1), m + (column - h) // np.maximum(s, 1))
+    most = int(n.max(initial=0)) + 1
+    hits = np.bincount(row * most + np.minimum(which, most - 1), minlength=len(long) * most).reshape(len(long), most)
+    first = (hits == 0).argmax(1) if len(long) else long
+    for k in np.flatnonzero(close & (long != other)):  # each is cut by its own length
+        alike = [p == q for p, q in zip(_pieces(a[k].as_py().encode(), int(n[k])), _pieces(b[k].as_py().encode(), int(n[k])), strict=True)]
         first[k] = alike.index(True) if True in alike else -1
-    return pd.Series((first == i) & (differ.sum(1) <= limit.to_numpy()))
+    return pa.array(close & (first == i))
 
 
 def max_distance(length: Column, ratio: float) -> Column:

@@ -11,7 +11,7 @@ _PREFIX = 12
 
 def members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with ``root``, the smallest sequence of the component; a node without an edge is its own."""
-    label = connected_components(edges.select("a", "b"), "lineages")
+    label = connected_components(edges.select("a", "b"), "lineages", one_task_rows=200_000, task_rows=500_000)
     return nodes.join(label, nodes["cdr3"] == label["node"], "left").withColumn("root", F.coalesce("component", "cdr3")).drop("node", "component")
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 from cdrforge.functions.genes import genes_overlap, smallest_common
 from cdrforge.functions.sequences import chunk, chunks, hamming_distance, max_distance, meets_first
 
+_EARLY = 6
+
 
 def _joinable(nodes: DataFrame, ratio: float) -> DataFrame:
     """nodes with ``n``, the number of chunks; those whose limit is negative join nothing and are left out."""
@@ -35,14 +37,19 @@ def block_sizes(nodes: DataFrame) -> DataFrame:
 
 def edges(nodes: DataFrame, ratio: float = 0.1) -> DataFrame:
     """(cdr_length, a, b) with a < b, each pair once."""
-    keyed = _joinable(nodes, ratio).select("cdr_length", "cdr3", "v_call", "j_call", "n", F.explode("v_call").alias("v"))
+    keyed = _joinable(nodes, ratio).select("cdr_length", "cdr3", "v_call", "j_call", "n", chunks(F.col("cdr3"), F.col("n")).alias("c"), F.explode("v_call").alias("v"))
     keyed = keyed.select("*", F.explode("j_call").alias("j")).select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("pos"))
     # one long instead of five columns is what the join sorts and compares; what it stands for is checked with the pair
     keyed = keyed.withColumn("k", F.xxhash64("cdr_length", "v", "j", "pos", chunk(F.col("cdr3"), F.col("n"), F.col("pos"))))
-    left = keyed.select("k", "cdr_length", "v", "j", "pos", "n", F.col("cdr3").alias("a"), F.col("v_call").alias("va"), F.col("j_call").alias("ja"))
-    right = keyed.select("k", F.col("cdr_length").alias("lb"), F.col("cdr3").alias("b"), F.col("v_call").alias("vb"), F.col("j_call").alias("jb"))
+    left = keyed.select("k", "cdr_length", "v", "j", "pos", "n", F.col("cdr3").alias("a"), F.col("v_call").alias("va"), F.col("j_call").alias("ja"), F.col("c").alias("ca"))
+    right = keyed.select("k", F.col("cdr_length").alias("lb"), F.col("cdr3").alias("b"), F.col("v_call").alias("vb"), F.col("j_call").alias("jb"), F.col("c").alias("cb"))
     pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.col("cdr_length") == F.col("lb")))
-    once = pairs.where((F.col("v") == smallest_common(F.col("va"), F.col("vb"))) & (F.col("j") == smallest_common(F.col("ja"), F.col("jb"))))
+    # generated code drops most repetitions of a pair here; meets_first decides on those with more chunks
+    for i in range(_EARLY):
+        pairs = pairs.where(~((F.col("pos") > i) & (F.get("ca", F.lit(i)) == F.get("cb", F.lit(i)))))
+    # where one side has a single gene, that is the only common one
+    least = lambda g: (F.size(f"{g}a") == 1) | (F.size(f"{g}b") == 1) | (F.col(g) == smallest_common(F.col(f"{g}a"), F.col(f"{g}b")))
+    once = pairs.where(least("v") & least("j"))
     return once.where(meets_first("a", "b", "n", "pos", max_distance(F.col("cdr_length"), ratio))).select("cdr_length", "a", "b")
 
 

@@ -7,6 +7,8 @@ blocks that exist once only.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -25,13 +27,23 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
+def _remove(at, fs) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, and then nobody can
+        fs.delete(at, True)
+
+
 class Scratch:
-    """Tables of one operator run, below a folder of its own."""
+    """Tables of one operator run, below a folder of its own that goes when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        atexit.register(_remove, *self._at(self.base))
+
+    def _at(self, path: str) -> tuple:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, name: str) -> str:
         self._n += 1
@@ -54,6 +66,5 @@ class Scratch:
 
     def drop(self, path: str) -> None:
         """Remove a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = self._at(path)
+        fs.delete(at, True)

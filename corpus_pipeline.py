@@ -37,8 +37,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 13 words and more that a document with a smaller id holds go."""
-    out = remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")], layout=True)
-    return out.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    carried = {c: f"carried_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in carried.items()))
+    out = remove_repeats(plain, carry=list(carried.values()), layout=True)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
+    return out.select(*(new[c] if c in new else F.col(carried[c]).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,24 @@ def encoder(path: str):
     return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def library(path: str):
+    """The file in the tokenizers library itself: slower, and its matcher keeps no stack."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def encode(text: str, path: str) -> np.ndarray:
+    """The ids of a text. A run of about a million white-space characters exceeds the stack of tiktoken's matcher: the library encodes such a text."""
+    try:
+        return encoder(path).encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, "<u4")
+
+
 class Packer:
     """Open windows of one partition. A piece is (doc_id, start, ids, doc_tokens)."""
 
@@ -141,9 +159,8 @@ def _pack(read: Callable[[pa.RecordBatch], Iterator[tuple]], size: int, most: in
 
 def _texts(path: str, end_id: int) -> Callable:
     def read(batch: pa.RecordBatch) -> Iterator[tuple]:
-        encode = encoder(path).encode_to_numpy
         for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-            ids = np.append(encode(text.as_py() or "", disallowed_special=()), end_id).astype("<u4")
+            ids = np.append(encode(text.as_py() or "", path), end_id).astype("<u4")
             yield doc, 0, ids, len(ids)
 
     return read

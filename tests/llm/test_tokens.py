@@ -60,6 +60,14 @@ def test_packing_of_odd_rows_over_many_partitions(odd, none, tokens):
     assert pack(none, BPE).collect() == []
 
 
+def test_packing_of_long_runs_of_white_space(spark, tokens):
+    docs = [(1, "a" + " " * 2_000_000 + "b"), (2, "\n" * 1_200_000), (3, "x\t" * 9)]
+    rows = pack(spark.createDataFrame(docs, "doc_id long, text string"), BPE, size=1 << 20).collect()
+    for i, text in docs:
+        ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == i])
+        assert ids.tolist() == tokens(text) and {r["doc_tokens"] for r in rows if r["doc_id"] == i} == {len(ids)}
+
+
 def test_best_fit_and_the_fullest():
     p = packing.Packer(10, 2, 0)
     ids = lambda n: np.zeros(n, "<u4")

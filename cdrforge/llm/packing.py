@@ -35,36 +35,37 @@ def byte_names() -> dict[str, int]:
 
 
 @functools.cache
-def encoder(path: str):
+def encoder(path: str, special: bool = False):
     """The ids of a byte-level BPE file of the tokenizers library, by tiktoken, which takes a fifth of the time for the same ids.
 
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens in a text get these tokens' ids if ``special``, as
+    the library has it unless told otherwise; else they are ordinary text.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    names, special = byte_names(), {x["content"] for x in model["added_tokens"]}
-    ranks = {bytes(names[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    names, known = byte_names(), {x["content"]: x["id"] for x in model["added_tokens"]}
+    ranks = {bytes(names[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in known}
+    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=known if special else {})
 
 
 @functools.cache
-def library(path: str):
+def library(path: str, special: bool = False):
     """The file in the tokenizers library itself: slower, and its matcher keeps no stack."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
     return tokenizer
 
 
-def encode(text: str, path: str) -> np.ndarray:
+def encode(text: str, path: str, special: bool = False) -> np.ndarray:
     """The ids of a text. A run of about a million white-space characters exceeds the stack of tiktoken's matcher: the library encodes such a text."""
     try:
-        return encoder(path).encode_to_numpy(text, disallowed_special=())
+        return encoder(path, special).encode_to_numpy(text, allowed_special="all", disallowed_special=())
     except ValueError:
-        return np.array(library(path).encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(library(path, special).encode(text, add_special_tokens=False).ids, "<u4")
 
 
 class Packer:
@@ -157,10 +158,10 @@ def _pack(read: Callable[[pa.RecordBatch], Iterator[tuple]], size: int, most: in
     return run
 
 
-def _texts(path: str, end_id: int) -> Callable:
+def _texts(path: str, end_id: int, special: bool) -> Callable:
     def read(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-            ids = np.append(encode(text.as_py() or "", path), end_id).astype("<u4")
+            ids = np.append(encode(text.as_py() or "", path, special), end_id).astype("<u4")
             yield doc, 0, ids, len(ids)
 
     return read
@@ -171,7 +172,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield doc, start, np.frombuffer(ids, "<u4"), total
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, open_windows: int = 16, end_id: int = 0, with_ids: bool = True, merge: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, open_windows: int = 16, end_id: int = 0, with_ids: bool = True, merge: int = 256, special: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, the ids (little-endian 32-bit).
 
     A document is the ids of its text and ``end_id``; a null or empty text is
@@ -179,13 +180,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     repeated id. Windows hold ``size`` ids, but for a few at smaller powers of
     two at the very end. Other columns are ignored, whatever their names; an
     empty table gives an empty one. ``merge``: partitions whose open windows
-    meet in one.
+    meet in one. ``special``: a special token's string in a text is that token,
+    as in the tokenizers library by default, and not ordinary text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = base.rdd.getNumPartitions()
-    level = scratch.table(base.mapInArrow(_pack(_texts(tokenizer, end_id), size, open_windows, 0, with_ids, False), _SQL_KIND), "level-0")
+    level = scratch.table(base.mapInArrow(_pack(_texts(tokenizer, end_id, special), size, open_windows, 0, with_ids, False), _SQL_KIND), "level-0")
     done = [level.where("done")]
     for k in range(1, 64):
         parts = -(-parts // merge)

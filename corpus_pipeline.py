@@ -46,7 +46,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in windows of 1024."""
-    return pack(docs, public_tokenizers.path(TOKENIZER))
+    return pack(docs, public_tokenizers.path(TOKENIZER), special=True)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("substring_dedup", substrings), ("packing", packing)]

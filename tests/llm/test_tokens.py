@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -68,6 +69,21 @@ def test_packing_of_long_runs_of_white_space(spark, tokens):
         assert ids.tolist() == tokens(text) and {r["doc_tokens"] for r in rows if r["doc_id"] == i} == {len(ids)}
 
 
+def test_special_tokens_in_texts_are_those_of_the_library(spark, tmp_path):
+    t = Tokenizer.from_file(BPE)
+    end, rng = "<|endoftext|>", np.random.default_rng(3)
+    parts = [end, " ", "  ", "\n", "a", "b.", "<|", "endoftext", "|>", "é", "7", "'s"]
+    texts = ["a <|endoftext|> b", end, end + end, " " * 1_200_000 + end, *("".join(rng.choice(parts, 12)) for _ in range(2000))]
+    for text in texts:
+        assert packing.encode(text, BPE, special=True).tolist() == t.encode(text, add_special_tokens=False).ids
+    spark.createDataFrame(list(enumerate(texts[:3])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts[:3])}
+    cut = lambda r: crc32(np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    for got in (queries.op9_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "")):
+        rows = got.collect()
+        assert sum(r["length"] for r in rows) == sum(map(len, want.values())) and all(r["ids_crc32"] == cut(r) for r in rows)
+
+
 def test_best_fit_and_the_fullest():
     p = packing.Packer(10, 2, 0)
     ids = lambda n: np.zeros(n, "<u4")

@@ -20,16 +20,21 @@ _BLANK = r" \t\r\u000b\u000c"
 _TRIM = f"trim(BOTH '{_BLANK}' FROM l)"
 
 
-def boilerplate_lines(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
-    """(host, line hash) of the lines on more than ``ratio`` of the host's pages, and on ``min_pages`` at least."""
+def boilerplate_lines(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
+    """(host, line hash) of the lines on more than ``ratio`` of the host's pages, and on ``min_pages`` at least.
+
+    ``copies_once``: a host's pages of the same lines count as one page.
+    """
     hashes = F.expr(f"array_distinct(transform(filter(split(`{text_col}`, '\\n'), l -> {_TRIM} <> ''), l -> xxhash64({_TRIM})))")
     pages = docs.select(F.coalesce(F.col(f"`{host_col}`"), F.lit("")).alias("host"), hashes.alias("lines"))
+    if copies_once:
+        pages = pages.withColumn("lines", F.array_sort("lines")).distinct()
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     counts = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return counts.join(totals, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "line")
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 4, broadcast_rows: int = 20_000) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 4, broadcast_rows: int = 20_000, copies_once: bool = False) -> DataFrame:
     """The rows and columns of ``docs`` with boilerplate lines taken out of the text, and n_lines, n_removed.
 
     ``n_lines`` counts lines that are not blank. A null text stays null and has
@@ -37,10 +42,12 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     repeated ids are pages of their own. A column of ``docs`` named n_lines or
     n_removed is replaced; other columns stay as they are, whatever their names.
     An empty table gives an empty one. At most ``broadcast_rows`` (host, line)
-    pairs are broadcast; more are joined by host.
+    pairs are broadcast; more are joined by host. With ``copies_once`` pages of a
+    host that hold the same lines are counted as one, so that copies of a text do
+    not make its lines boilerplate.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    found = scratch.table(boilerplate_lines(docs, host_col, text_col, ratio, min_pages), "boilerplate")
+    found = scratch.table(boilerplate_lines(docs, host_col, text_col, ratio, min_pages, copies_once), "boilerplate")
     own = "__boilerplate_"
     by_host = found.groupBy(F.col("host").alias(f"{own}host")).agg(F.collect_list("line").alias(f"{own}lines"))
     if found.limit(broadcast_rows + 1).count() <= broadcast_rows:

@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; no document does."""
-    return drop_boilerplate(docs).select(docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    """Boilerplate lines of a source go; no document does. Copies come to the next stage whole: they count as one page."""
+    return drop_boilerplate(docs, copies_once=True).select(docs.columns).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,16 @@ def test_run_gives_the_same_rows(spark, steps):
     assert key(cp.run(spark, SF)) == key(steps["packing"][1])
 
 
+@pytest.mark.parametrize("n", [4, 30])
+def test_copies_of_a_text_are_not_boilerplate(spark, n):
+    body = lambda k: "\n".join(" ".join(f"w{k}_{line}_{i}" for i in range(9)) for line in range(4))
+    rows = [(i, f"Menu\n{body(i)}", "en", "s", 1) for i in range(40)] + [(100 + i, f"{body('copied')}{' ' * (i % 2)}", "en", "s", 1) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = cp.lines(spark, docs, SF)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: t.removeprefix("Menu\n") for i, t, *_ in rows}
+    assert sorted(r["doc_id"] for r in cp.near(spark, got, SF).collect()) == [*range(40), 100]
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_odd_and_empty_tables(spark, odd, none, k):
     name, stage = cp.STAGES[k]

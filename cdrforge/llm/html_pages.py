@@ -208,7 +208,8 @@ class Page:
                 self.tag(name, 0)
                 self.out.append(body)
                 self.end(name)
-        self.end("head")
+        if sum(map(len, self.out)) % 5:  # the end tag is optional; no draw, so that pages stay what they were
+            self.end("head")
         self.tag("body", 0)
         wraps = r.choice([0, 0, 0, 1, 1, 2])
         for _ in range(wraps):

@@ -31,6 +31,8 @@ _VOID = set("area base br col embed hr img input link meta source track wbr".spl
 _BLOCK = set("address article aside blockquote body br button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 #: What an opening tag closes first, up to the nearest of the second set.
 _CLOSES = {"p": ({"p"}, set()), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: What an open head may hold; all else ends it.
+_HEAD = set("head base basefont bgsound link meta noscript script style template title".split())
 _NEVER = set("script style noscript template iframe textarea title head select option button input svg canvas object".split())
 _GROUPS = ["article main", "nav menu", "header", "footer", "aside", "form input button select option label fieldset textarea", "p pre blockquote", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "a", "div", "section", "table tbody thead tr td th", "b i em strong span br small u sup sub mark code font", "html body head", "script style noscript template iframe title meta link"]
 _GROUP = {t: k for k, g in enumerate(_GROUPS) for t in g.split()}
@@ -79,11 +81,19 @@ def parse(page: str) -> Dom:
     """Nodes of a page, however broken; unclosed elements end with their parent."""
     dom = Dom([0], ["#"], [0], [0], [0], [0], [])
     open_: list[int] = [0]
-    at, end = 0, len(page)
+    at, end, head = 0, len(page), 0  # head: the node of an open one
+
+    def end_head() -> None:
+        nonlocal head
+        if head in open_:
+            del open_[open_.index(head) :]
+        head = 0
 
     def text(raw: str) -> None:
         if "&" in raw:
             raw = html.unescape(raw)
+        if head and open_[-1] == head and raw.strip():
+            end_head()
         node = open_[-1]
         dom.texts.append((node, raw))
         dom.chars[node] += len(raw)
@@ -108,6 +118,8 @@ def parse(page: str) -> Dom:
                     del open_[k:]
                     break
             continue
+        if head and name not in _HEAD:
+            end_head()
         if name in _CLOSES:
             closes, stop = _CLOSES[name]
             for k in range(len(open_) - 1, 0, -1):
@@ -127,6 +139,8 @@ def parse(page: str) -> Dom:
         if name in _VOID or m[3].endswith("/") and name in ("svg", "path"):
             continue
         open_.append(node)
+        if name == "head":
+            head = node
         if name in _RAW:
             close = _RAW[name].search(page, at)
             text(page[at : close.start() if close else end])

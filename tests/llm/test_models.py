@@ -138,6 +138,21 @@ def test_unseen_made_up_pages():
     assert good >= 108
 
 
+def test_pages_without_the_end_of_head(spark):
+    made = [p for p, _ in pages(40, seed=7)]
+    assert 0 < sum("</head>" not in p for p in made) < 40
+    body = "<article><p>Some words of it, and more.</p></article>"
+    heads = ["<head><title>t</title>", "<head><meta><base><link><bgsound><style>p{}</style><script>1<2</script>", "<head/>", "<head>stray ", "<head><template><p>x</template>"]
+    raw = [(k, f"<html>{h}{end}{b}{body}</body></html>") for k, (h, end, b) in enumerate((h, end, b) for h in heads for end in ("</head>", "") for b in ("<body>", "", "<custom-tag>"))]
+    raw += [(100 + k, q) for k, p in enumerate(made) for q in (re.sub("</head>", "", p), re.sub("(</head>)?<body", "</head><body", p))]
+    got = main_text(spark.createDataFrame([(k, "u", h) for k, h in raw], "page_id long, url string, html string")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["page_id"]].append(r["text"])
+    assert all("Some words of it, and more." in by[k][0] for k in range(6 * len(heads)))
+    assert all(len(set(by[100 + k])) == 1 for k in range(40)) and sum(by[100 + k][0] != "" for k in range(40)) >= 36
+
+
 def test_odd_pages(spark):
     long = "<article>" + "<p>many words stand here, one after another.</p>" * 4000
     raw = [(1, "u", None), (2, None, ""), (3, "u", "no markup &amp; little"), (None, "u", "<p>"), (4, "u", "<article><p>One&nbsp;two<b>three</b>\n four<br>five<script>x<p></script></article"), (4, "u", "<<<>>> < a <b"), (5, "u", long), (6, "u", "<div " * 300), (7, "u", "<article><p title='it\"s' x=\"a>b\">quoted attributes</p></article>")]

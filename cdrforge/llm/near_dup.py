@@ -48,7 +48,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def _sketches(size: int, k: int) -> Callable:
-    kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("ka", pa.int64()), ("kb", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    kind = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("ka", pa.int64()), ("kb", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -60,7 +60,7 @@ def _sketches(size: int, k: int) -> Callable:
                     low.append(s[:k].view(np.int64))
                 ka, kb = (pa.array([None if x[c] is None else int(x[c].view(np.int64)) for x in key], pa.int64()) for c in (0, 1))
                 sketch = pa.ListArray.from_arrays(np.cumsum([0, *map(len, low)]).astype(np.int32), np.concatenate(low) if low else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), ka, kb, sketch], schema=kind)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), ka, kb, sketch], schema=kind)
 
     return run
 
@@ -258,8 +258,8 @@ def least_common(k: int, percent: int, loss: float) -> int:
     return max(1, m)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = 48, loss: float = 1e-7, list_block: int = 512, set_block: int = 16384) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = 48, loss: float = 1e-7, list_block: int = 512, set_block: int = 16384, digest: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept and, if asked for, text_hash (xxhash64 of the text).
 
     Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of
     ``shingle``-word shingles (words ``[^\\x20\\x09-\\x0D]+``, A-Z lowered; a text
@@ -267,15 +267,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links reach, ``kept`` says that it is the row's own.
 
     A null or blank text has no shingles and is linked with nothing; so is a row
-    with a null id (its component is null, it is kept). Rows of one id count as
-    one document. Other columns of ``docs`` are ignored, whatever their names.
+    with a null id (its component is null, it is kept). Rows of one id and equal
+    texts count as one document; with different texts each has its own verdict,
+    which ``text_hash`` assigns. Other columns of ``docs`` are ignored, whatever their names.
     An empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
     least = least_common(k, percent, loss)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = scratch.table(base.mapInArrow(_sketches(shingle, k), "id long, n long, ka long, kb long, sketch array<long>"), "sketches")
+    rows = scratch.table(base.withColumn("h", F.xxhash64("text")).mapInArrow(_sketches(shingle, k), "id long, h long, n long, ka long, kb long, sketch array<long>"), "sketches")
     classes = rows.where("ka is not null and id is not null").groupBy("ka", "kb").agg(F.min("id").alias("rep"))
     reps = rows.join(classes.withColumnRenamed("rep", "id"), ["ka", "kb", "id"], "left_semi").dropDuplicates(["id", "ka", "kb"])
     reps = scratch.table(reps.select("id", "n", "sketch"), "classes")
@@ -305,4 +306,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(label, classes["rep"] == label["node"], "left").select("ka", "kb", F.coalesce("component", "rep").alias("c"))
     out = rows.drop("sketch").join(named, ["ka", "kb"], "left")
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("id"))).alias("kept"))
+    text_hash = [F.col("h").alias("text_hash")] if digest else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("id"))).alias("kept"), *text_hash)

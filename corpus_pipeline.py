@@ -30,9 +30,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest id."""
-    copies = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates stays: that of the smallest id. Rows of one id with different texts stay or go each for itself."""
+    copies = near_duplicates(docs, digest=True).where("not kept").select(F.col("doc_id").alias("__copy_id"), F.col("text_hash").alias("__copy_hash"))
+    return docs.join(copies, (F.col("doc_id") == F.col("__copy_id")) & (F.xxhash64("text") == F.col("__copy_hash")), "left_anti").select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

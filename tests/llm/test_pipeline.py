@@ -84,6 +84,13 @@ def test_copies_of_a_text_are_not_boilerplate(spark, n):
     assert sorted(r["doc_id"] for r in cp.near(spark, got, SF).collect()) == [*range(40), 100]
 
 
+def test_a_unique_text_stays_though_its_id_is_repeated(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (2, text("c")), (3, text("c")), (7, None), (7, text("b"))]
+    got = cp.near(spark, spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3), SF)
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(3, text("a")), (5, text("b")), (2, text("c")), (7, None)}
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_odd_and_empty_tables(spark, odd, none, k):
     name, stage = cp.STAGES[k]

@@ -3,8 +3,8 @@
 Equal vectors form a class, and one of it is indexed. Each shard's graph is
 written once. Every block of queries searches every shard: a beam that is full of
 links is widened for that query, and a sample of each block is checked against
-all vectors of the shard; while it misses links, the beams of the whole block are
-widened. Links are confirmed in double precision. A task sends the links' counts
+all vectors of the shard; while its queries miss links on average, each for
+itself, the beams of the whole block are widened. Links are confirmed in double precision. A task sends the links' counts
 and a forest that joins what they join, not all pairs.
 """
 
@@ -36,12 +36,30 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.table({"shard": table.column("shard")[:1], "dim": table.column("dim")[:1], "graph": [index.dump()], "ids": [table.column("id").to_numpy().tobytes()], "weights": [table.column("w").to_numpy().tobytes()], "exact": [x.tobytes()]})
 
 
-def links(index: Index, exact: np.ndarray, q: np.ndarray, cosine: float, width: int, audit: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
+#: An audit takes more queries until so many have links, and so many times its size at most.
+_LINKED, _MORE = 32, 8
+
+
+def _truth(exact: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float, audit: int) -> list[tuple[int, np.ndarray]]:
+    """(query, its links) for audited queries with links to others than themselves; ``own`` is a query's own node, or -1."""
+    order = np.random.default_rng(1).permutation(len(q))[: audit * _MORE]
+    out: list = []
+    for k in range(0, len(order), max(1, audit)):
+        part = order[k : k + audit]
+        true = q[part] @ exact.T >= cosine
+        inside = np.flatnonzero(own[part] >= 0)
+        true[inside, own[part][inside]] = False
+        out += [(int(part[j]), np.flatnonzero(true[j])) for j in np.flatnonzero(true.any(1))]
+        if len(out) >= _LINKED:
+            break
+    return out
+
+
+def links(index: Index, exact: np.ndarray, q: np.ndarray, cosine: float, width: int, audit: int, recall: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of the links found, confirmed in double precision, and the width that the audit accepted."""
     n, near = len(exact), cosine - 1e-4
     q32 = q.astype(np.float32)
-    sample = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)
-    truth = q[sample] @ exact.T >= cosine
+    truth = _truth(exact, q, np.full(len(q), -1) if own is None else own, cosine, audit)
     got: list = [None] * len(q)
     todo, widths = np.arange(len(q)), np.full(len(q), min(width, n))
     while True:
@@ -57,8 +75,8 @@ def links(index: Index, exact: np.ndarray, q: np.ndarray, cosine: float, width:
             widths[full] = np.minimum(widths[full] * 4, n)
             todo = full
             continue
-        found = sum(int(truth[k][got[r][got[r] >= 0]].sum()) for k, r in enumerate(sample))
-        if found >= recall * truth.sum() or widths.min() >= n:
+        found = [np.isin(true, got[r]).mean() for r, true in truth]
+        if not truth or np.mean(found) >= recall or widths.min() >= n:
             break
         todo = np.flatnonzero(widths < n)
         widths[todo] = np.minimum(widths[todo] * 2, n)
@@ -81,7 +99,8 @@ def _query(cosine: float, width: int, audit: int, recall: float):
         ids, weights = (np.frombuffer(shard.column(c)[0].as_py(), np.int64) for c in ("ids", "weights"))
         exact = np.frombuffer(shard.column("exact")[0].as_py()).reshape(len(ids), -1)
         own = queries.column("id").to_numpy()
-        row, node = links(index, exact, _unit(_vectors(queries.column("v"))), cosine, width, audit, recall)
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)  # ids are sorted
+        row, node = links(index, exact, _unit(_vectors(queries.column("v"))), cosine, width, audit, recall, np.where(ids[at] == own, at, -1))
         apart = own[row] != ids[node]
         row, node = row[apart], node[apart]
         counts = np.bincount(row, weights[node], len(own)).astype(np.int64)

@@ -238,6 +238,30 @@ def test_odd_vectors(spark):
     assert near_vectors(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("hot, pairs", [(400, 300), (0, 8)])
+def test_audits_see_small_groups(hot, pairs):
+    """An index whose narrow beams miss every link of pairs, beside a hot cluster or with few links at all, is searched more widely."""
+    from cdrforge.llm.embedding_dedup import links
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(pairs + (10 if hot else 2000), 64))
+    x = np.concatenate([rng.normal(size=64) + 0.01 * rng.normal(size=(hot, 64)), base, base[5 : 5 + pairs] + 0.01 * rng.normal(size=(pairs, 64)), rng.normal(size=(5, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    class Narrow:
+        def query(self, q, width):
+            s = q @ x.T
+            k = np.argmax(s, 1)  # a query's own node
+            miss = np.flatnonzero((k >= hot) & (width < 1000))
+            s[miss] = np.where(np.arange(len(x)) == k[miss, None], s[miss], -1)
+            best = np.argsort(-s, 1)[:, :width]
+            return best, np.take_along_axis(s, best, 1)
+
+    Narrow.x = x
+    row, node = links(Narrow(), x, x, 0.9, 600, 128, 0.99, np.arange(len(x)))
+    assert set(zip(row.tolist(), node.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(x @ x.T >= 0.9))))
+
+
 def test_recall_on_the_table(spark):
     rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     want = brute_links(rows)

@@ -107,6 +107,15 @@ def _edges(d: np.ndarray, room: np.ndarray, v: Vocabulary) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def running(value: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Running sums within groups that begin at ``lead``, each added up on its own: what stands round a group doesn't touch its sums."""
+    out, size = value.copy(), np.diff(lead, append=len(value))
+    for k in range(1, int(size.max(initial=0))):
+        lead, size = lead[size > k], size[size > k]
+        out[lead + k] += out[lead + k - 1]
+    return out
+
+
 def sample(texts: list[bytes], keys: np.ndarray, v: Vocabulary) -> list[np.ndarray]:
     """Piece ids of each text under its key (a 64-bit number)."""
     full = [b" " + t if t else b"" for t in texts]
@@ -159,8 +168,7 @@ def sample(texts: list[bytes], keys: np.ndarray, v: Vocabulary) -> list[np.ndarr
         s = np.add.reduceat(e, g)
         total[end[lo + g]] = top + np.log(s)
         value[lo:hi] = e / s[in_g]
-    run = np.cumsum(value)
-    below = run - np.concatenate([[0.0], run])[lead][group]
+    below = running(value, lead)
     below[np.append(lead[1:], len(end)) - 1] = 1.0
     of = np.zeros(len(d) + 1, np.int32)
     of[end[lead]] = lead

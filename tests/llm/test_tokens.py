@@ -19,7 +19,6 @@ BPE, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_b
 @pytest.fixture(scope="module")
 def tokens():
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -58,7 +57,7 @@ def test_packing_of_odd_rows_over_many_partitions(odd, none, tokens):
     rows = pack(odd.repartition(7), BPE, size=64, open_windows=2, merge=2).collect()
     check_packing(rows, [(r["doc_id"], r["text"]) for r in odd.collect()], tokens, 64)
     assert all(crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in rows)
-    assert pack(none, BPE).collect() == []
+    assert pack(none, BPE).collect() == [] and pack(odd.where("false"), BPE).collect() == []
 
 
 def test_packing_of_long_runs_of_white_space(spark, tokens):
@@ -75,7 +74,11 @@ def test_special_tokens_in_texts_are_those_of_the_library(spark, tmp_path):
     parts = [end, " ", "  ", "\n", "a", "b.", "<|", "endoftext", "|>", "é", "7", "'s"]
     texts = ["a <|endoftext|> b", end, end + end, " " * 1_200_000 + end, *("".join(rng.choice(parts, 12)) for _ in range(2000))]
     for text in texts:
-        assert packing.encode(text, BPE, special=True).tolist() == t.encode(text, add_special_tokens=False).ids
+        assert packing.encode(text, BPE).tolist() == t.encode(text, add_special_tokens=False).ids
+    t.encode_special_tokens = True
+    for text in texts[:3]:
+        assert packing.encode(text, BPE, special=False).tolist() == t.encode(text, add_special_tokens=False).ids
+    t.encode_special_tokens = False
     spark.createDataFrame(list(enumerate(texts[:3])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts[:3])}
     cut = lambda r: crc32(np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes())
@@ -167,6 +170,25 @@ def test_pieces_give_back_every_text_and_do_not_depend_on_the_batch(docs):
     assert any(a.tolist() != b.tolist() for a, b in zip(got, sentence_pieces.sample(texts, keys + np.uint64(1), v), strict=True))
 
 
+def test_draws_do_not_depend_on_the_size_of_the_batch(spark):
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 40, 30_000)
+    value = rng.random(int(sizes.sum())) / 40
+    lead = np.cumsum(sizes) - sizes
+    together = sentence_pieces.running(value, lead)
+    for a, n in zip(lead[::500], sizes[::500], strict=True):
+        alone = sentence_pieces.running(value[a : a + n], np.zeros(1, int))
+        assert (alone == together[a : a + n]).all() and np.allclose(alone, np.cumsum(value[a : a + n]))
+    # a megabyte in one call, in halves and in small runs
+    v, words = sentence_pieces.vocabulary(PIECES), "international understanding of the reproducible segmentation nationwide".split()
+    texts = [" ".join(rng.choice(words, 40)).encode() for _ in range(2000)]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    whole = sentence_pieces.sample(texts, keys, v)
+    for step in (1000, 37):
+        parts = [x for k in range(0, len(texts), step) for x in sentence_pieces.sample(texts[k : k + step], keys[k : k + step], v)]
+        assert all((x == y).all() if len(x) == len(y) else False for x, y in zip(whole, parts, strict=True))
+
+
 def test_pieces_of_odd_rows(spark, odd, none):
     got = sentence_pieces.encode(odd, PIECES)
     rows = got.collect()

@@ -1,8 +1,9 @@
 """Line deduplication by site-relative frequency.
 
 A line is boilerplate of its host if the share of the host's pages that hold it
-exceeds a ratio. Lines are compared without white space around them; blank lines
-are neither counted nor removed. Counting groups by host and line with partial
+exceeds a ratio and it repeats at all: a line of a single page is nobody's
+boilerplate, be the host of one page. Lines are compared without white space around
+them; blank lines are neither counted nor removed. Counting groups by host and line with partial
 sums, so a host with a third of all pages is summed before it is shuffled. A host
 has at most (lines a page) / ratio boilerplate lines; they join the pages as one
 short array, and that join is broadcast only if the table's size, which is known
@@ -20,8 +21,8 @@ _BLANK = r" \t\r\u000b\u000c"
 _TRIM = f"trim(BOTH '{_BLANK}' FROM l)"
 
 
-def boilerplate_lines(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
-    """(host, line hash) of the lines on more than ``ratio`` of the host's pages, and on ``min_pages`` at least.
+def boilerplate_lines(docs: DataFrame, host_col: str, text_col: str, ratio: float, copies_once: bool = False) -> DataFrame:
+    """(host, line hash) of the lines that repeat and are on more than ``ratio`` of the host's pages.
 
     ``copies_once``: a host's pages of the same lines count as one page.
     """
@@ -30,11 +31,11 @@ def boilerplate_lines(docs: DataFrame, host_col: str, text_col: str, ratio: floa
     if copies_once:
         pages = pages.withColumn("lines", F.array_sort("lines")).distinct()
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    counts = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
     return counts.join(totals, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "line")
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 4, broadcast_rows: int = 20_000, copies_once: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, broadcast_rows: int = 20_000, copies_once: bool = False) -> DataFrame:
     """The rows and columns of ``docs`` with boilerplate lines taken out of the text, and n_lines, n_removed.
 
     ``n_lines`` counts lines that are not blank. A null text stays null and has
@@ -47,7 +48,7 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     not make its lines boilerplate.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    found = scratch.table(boilerplate_lines(docs, host_col, text_col, ratio, min_pages, copies_once), "boilerplate")
+    found = scratch.table(boilerplate_lines(docs, host_col, text_col, ratio, copies_once), "boilerplate")
     own = "__boilerplate_"
     by_host = found.groupBy(F.col("host").alias(f"{own}host")).agg(F.collect_list("line").alias(f"{own}lines"))
     if found.limit(broadcast_rows + 1).count() <= broadcast_rows:

@@ -9,7 +9,7 @@ LINE_DEDUP = r"""
 with l as (select doc_id, host, ln, i, trim(ln, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) t from (
   select doc_id, coalesce(source, '') host, unnest(string_split(text, chr(10))) ln, generate_subscripts(string_split(text, chr(10)), 1) i from documents)),
 pages as (select coalesce(source, '') host, count(*) pages from documents group by 1),
-boiler as (select host, t from (select host, t, count(distinct doc_id) n from l where t <> '' group by host, t) join pages using (host) where n >= 4 and n > cast(0.05 as double) * pages),
+boiler as (select host, t from (select host, t, count(distinct doc_id) n from l where t <> '' group by host, t) join pages using (host) where n > 1 and n > cast(0.05 as double) * pages),
 kept as (select doc_id, count(*) filter (l.t <> '') n_lines, count(*) filter (b.t is not null) n_removed, coalesce(string_agg(ln, chr(10) order by i) filter (b.t is null), '') txt
   from l left join boiler b on b.host = l.host and b.t = l.t group by doc_id)
 select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, case when d.text is not null then sha256(coalesce(txt, '')) end kept_sha256

@@ -152,7 +152,7 @@ def test_range_number(spark):
 
 
 def test_lines_of_odd_rows(spark, odd, none):
-    got = drop_boilerplate(odd, ratio=0.5, min_pages=2)
+    got = drop_boilerplate(odd, ratio=0.5)
     assert set(odd.columns) <= set(got.columns) and got.count() == odd.count()
     assert drop_boilerplate(none).collect() == []
     by = {r["doc_id"]: r for r in got.collect()}
@@ -172,6 +172,13 @@ def test_boilerplate_goes_from_its_host_only(spark, most):
             assert r["n_removed"] == 0 and r["text"] == dict((x[0], x[1]) for x in rows)[r["doc_id"]]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_small_hosts_lose_the_lines_they_share(spark, n):
+    rows = [(i, f"Menu\nown line {i}\nHome", "small") for i in range(n)] + [(100, "Menu\nalone", "other")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {100: ("Menu\nalone", 0)} | {i: (f"own line {i}", 2) if n > 1 else (t, 0) for i, t, h in rows if h == "small"}
+
+
 def test_digests_are_of_the_kept_text(spark):
     rows = queries.op7_substring_dedup(spark, SF).limit(5).collect()
     kept = {r["doc_id"]: r["kept"] for r in remove_repeats(spark.read.parquet(f"{SF}/documents.parquet")).collect()}

@@ -50,6 +50,62 @@ def test_field_separates_labelled_documents(docs, labels):
             assert got[r["doc_id"]]["kept"] == bool(r["quality"])
 
 
+def test_labels_that_were_not_seen(spark):
+    """Trained on two thirds of the labelled documents of sf0.01, judged by the rest."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    held = "crc32(cast(doc_id as string)) % 3 = 1"
+    field = quality_rules.train(docs, labels.where(f"not ({held})"))
+    got = quality_rules.quality_rules(docs.join(labels.where(held), "doc_id"), field, columns=["quality"]).where("not base_failed").collect()
+    assert len(got) > 80 and len({r["quality"] for r in got}) == 2
+    assert np.mean([r["kept"] == bool(r["quality"]) for r in got]) >= 0.97
+    shares = [r["content_share"] for r in quality_rules.quality_rules(docs, field).where("not base_failed").collect()]
+    assert sum(0 < x < 1 for x in shares) >= 20  # lines are told from their neighbours
+
+
+def test_a_block_of_rubbish_in_a_good_text(spark, docs, labels):
+    field = quality_rules.train(docs, labels)
+    rows = {r["doc_id"]: r["text"].split("\n") for r in docs.collect()}
+    mark = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    words = lambda x: len(WORD.findall(x)) >= 8
+    clean = [t for i, t in rows.items() if mark.get(i) == 1 and len(t) >= 6 and sum(map(words, t)) >= 5][:20]
+    block = ["HOME!! NEWS!! SHOP!! LOGIN!! CART!! HELP!! TOP!! SALE!!"] * 2 + ["home | news | shop | cart | login | help | about | terms | more"] * 2 + ["buy*** now&&& cheap$$$ deals### best*** price$$$ sale%%% today&&& only***"]
+    texts = [[*t[: len(t) // 2], *block, *t[len(t) // 2 :]] for t in clean]
+    df = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    right = total = 0
+    for r in quality_rules.quality_rules(df, field, lines=True).collect():
+        at = len(clean[r["doc_id"]]) // 2
+        got = r["content_lines"]
+        assert len(got) == len(texts[r["doc_id"]]) and not any(got[at : at + len(block)]) and 0 < r["content_share"] < 1
+        solid = [k for k, x in enumerate(texts[r["doc_id"]]) if words(x) and not at <= k < at + len(block)]
+        right, total = right + sum(got[k] for k in solid), total + len(solid)
+        assert r["kept"] == (not r["base_failed"] and r["content_share"] >= 0.5)
+    assert right >= 0.97 * total
+
+
+def test_runs_are_taken_over_the_whole_text():
+    text = "\n".join(["plain words stand here and there"] * 500 + ["LOUD!! WORDS!! STAND!! HERE!!"] * 140)
+    batch = pa.RecordBatch.from_pydict({"y": pa.array([1, 0], pa.int32()), "text": [text, "one\ntwo"]})
+    for runs, want in ((8, [64] * 8 + [2]), (100, [64] * 10 + [2])):
+        (got,) = quality_rules._sampled(64, runs)(iter([batch]))
+        rows = [np.array(x).reshape(-1, textstats.N_LINE_FEATURES) for x in got.column("lines").to_pylist()]
+        assert [len(r) for r in rows] == want and got.column("y").to_pylist() == [1] * (len(want) - 1) + [0]
+        assert rows[0][0, 5] < 0.1 and rows[-2][-1, 5] == 1  # upper case, from the first run to the last
+
+
+def test_marginals_are_those_of_all_labellings():
+    rng = np.random.default_rng(9)
+    field = quality_rules.Field(np.zeros((1, 2)), rng.normal(size=2), rng.normal(size=(2, 2)))
+    sizes, e = [4, 2, 1], rng.normal(size=(3, 4, 2))
+    single, double = quality_rules._marginals(e, np.arange(4) < np.array(sizes)[:, None], field)
+    for k, n in enumerate(sizes):
+        paths = list(itertools.product((0, 1), repeat=n))
+        w = np.exp([field.first[p[0]] + sum(e[k, t, y] for t, y in enumerate(p)) + sum(field.step[a, b] for a, b in itertools.pairwise(p)) for p in paths])
+        w /= w.sum()
+        want = [[sum(x for x, p in zip(w, paths, strict=True) if p[t] == y) for y in (0, 1)] for t in range(n)]
+        assert np.allclose(single[k, :n], want) and not single[k, n:].any()
+        assert np.allclose(double[k], [[sum(x * sum(q == (a, b) for q in itertools.pairwise(p)) for x, p in zip(w, paths, strict=True)) for b in (0, 1)] for a in (0, 1)])
+
+
 def test_no_labels_mean_all_content(spark, docs, labels):
     one = labels.where("quality = 1")
     assert quality_rules.train(docs, one) == quality_rules.ALL_CONTENT

@@ -25,7 +25,7 @@ from cdrforge.llm.textstats import N_LINE_FEATURES, Stats, line_features, stats
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: Share of lines whose label is not their document's.
-NOISE = 0.2
+NOISE = 0.1
 
 
 class Field(NamedTuple):

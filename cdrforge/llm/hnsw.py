@@ -184,12 +184,13 @@ class Index:
         return search(self.x, self.layers[-1], q, self.descend(q, len(self.layers) - 1)[:, None], min(width, len(self.x)))
 
     def dump(self) -> bytes:
+        """The graph without the vectors."""
         out = io.BytesIO()
-        np.savez(out, x=self.x, **{f"layer{k}": g.astype(np.int32) for k, g in enumerate(self.layers)}, **{f"top{k}": t.astype(np.int32) for k, t in enumerate(self.tops)})
+        np.savez(out, **{f"layer{k}": g.astype(np.int32) for k, g in enumerate(self.layers)}, **{f"top{k}": t.astype(np.int32) for k, t in enumerate(self.tops)})
         return out.getvalue()
 
     @classmethod
-    def load(cls, raw: bytes) -> Index:
+    def load(cls, raw: bytes, x: np.ndarray) -> Index:
         z = np.load(io.BytesIO(raw))
         n = sum(name.startswith("top") for name in z.files)
-        return cls(z["x"], [z[f"layer{k}"] for k in range(n)], [z[f"top{k}"] for k in range(n)])
+        return cls(x, [z[f"layer{k}"] for k in range(n)], [z[f"top{k}"] for k in range(n)])

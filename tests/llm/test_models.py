@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cdrforge.llm import boosting, hnsw, html_text, quality_classifier, quality_rules, queries, textstats
+from cdrforge.llm import boosting, embedding_dedup, hnsw, html_text, quality_classifier, quality_rules, queries, textstats
 from cdrforge.llm.embedding_dedup import near_vectors
 from cdrforge.llm.html_pages import pages
 from cdrforge.llm.html_text import main_text
@@ -267,14 +267,19 @@ def test_vectors_against_all_pairs(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == brute_links(rows)
 
 
+def found(index, x, width, audit):
+    """All links of the vectors of an index among themselves."""
+    width, _, _ = embedding_dedup.audited(index, x, x, np.arange(len(x)), 0.9, width, audit, 0.99)
+    return (np.concatenate(p) for p in zip(*embedding_dedup.links(index, x, x, 0.9, width), strict=True))
+
+
 def test_a_beam_that_is_too_narrow_is_widened():
     rng = np.random.default_rng(6)
     x = np.concatenate([np.tile(rng.normal(size=8), (150, 1)) + rng.normal(size=(150, 8)) * 0.01, rng.normal(size=(300, 8))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = hnsw.Index.load(hnsw.Index.build(x.astype(np.float32)).dump())
-    from cdrforge.llm.embedding_dedup import links
-
-    row, node = links(index, x, x, 0.9, 4, 64, 0.99)
+    x32 = x.astype(np.float32)
+    index = hnsw.Index.load(hnsw.Index.build(x32).dump(), x32)
+    row, node = found(index, x, 4, 64)
     want = np.argwhere(x @ x.T >= 0.9)
     assert len(set(zip(row.tolist(), node.tolist(), strict=True))) == len(row) >= 0.99 * len(want)
 
@@ -297,8 +302,6 @@ def test_odd_vectors(spark):
 @pytest.mark.parametrize("hot, pairs", [(400, 300), (0, 8)])
 def test_audits_see_small_groups(hot, pairs):
     """An index whose narrow beams miss every link of pairs, beside a hot cluster or with few links at all, is searched more widely."""
-    from cdrforge.llm.embedding_dedup import links
-
     rng = np.random.default_rng(4)
     base = rng.normal(size=(pairs + (10 if hot else 2000), 64))
     x = np.concatenate([rng.normal(size=64) + 0.01 * rng.normal(size=(hot, 64)), base, base[5 : 5 + pairs] + 0.01 * rng.normal(size=(pairs, 64)), rng.normal(size=(5, 64))])
@@ -314,10 +317,65 @@ def test_audits_see_small_groups(hot, pairs):
             return best, np.take_along_axis(s, best, 1)
 
     Narrow.x = x
-    row, node = links(Narrow(), x, x, 0.9, 600, 128, 0.99, np.arange(len(x)))
+    row, node = found(Narrow(), x, 600, 128)
     assert set(zip(row.tolist(), node.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(x @ x.T >= 0.9))))
 
 
+def test_recall_of_links_is_measured(spark, tmp_path):
+    """Pairs and small groups among many vectors: found, and reported by the audits."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(3000, 32))
+    x = np.concatenate([base, base[:1500] + rng.normal(size=(1500, 32)) * 0.2, base[:300] + rng.normal(size=(300, 32)) * 0.2])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = x @ x.T >= 0.9
+    np.fill_diagonal(true, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = near_vectors(df, shards=3, block=2000, report=f"{tmp_path}/audit").collect()
+    n = np.array([r["n_links"] for r in sorted(got, key=lambda r: r["vec_id"])])
+    want = true.sum(1)
+    assert want.sum() > 2000 and (n <= want).all() and n.sum() >= 0.98 * want.sum()
+    assert np.mean(n[want > 0] / want[want > 0]) >= 0.98
+    rows = spark.read.parquet(f"{tmp_path}/audit").collect()
+    assert {r["shard"] for r in rows} == {0, 1, 2} and all(r["audited"] >= 32 and r["recall"] >= 0.99 for r in rows)
+
+
+def test_a_dense_group_in_one_shard(spark):
+    """20,000 near copies link with one another: 400 million pairs, none of which is kept."""
+    rng, n = np.random.default_rng(13), 20_000
+    x = rng.normal(size=32) + rng.normal(size=(n, 32)) * 0.05
+    x = np.concatenate([x, rng.normal(size=(200, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_vectors(df, shards=1).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(0, n + 200, 101):
+        assert got[k]["n_links"] == (x @ x[k] >= 0.9).sum() - 1
+    assert {r["component_id"] for i, r in got.items() if i < n} == {0}
+    assert min(r["n_links"] for i, r in got.items() if i < n) > 19_000
+
+
+def test_slices_are_bounded(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "_CELLS", 3000)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=16) + rng.normal(size=(700, 16)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = hnsw.Index.build(x.astype(np.float32))
+    forest, seen, ties = embedding_dedup.Forest(700), set(), 0
+    for row, node in embedding_dedup.links(index, x, x, 0.9, 8):
+        assert len(row) <= max(3000, 512 * 8) and (np.diff(row) >= 0).all()
+        seen |= set(zip(row.tolist(), node.tolist(), strict=True))
+        r, _, a, _ = forest.join(row, node)
+        ties += len(r) + len(a)
+    assert seen == set(zip(*(k.tolist() for k in np.nonzero(x @ x.T >= 0.9)), strict=True)) and ties < 1400
+    assert len(set(forest.roots(np.arange(700)).tolist())) == 1
+
+
+def test_equal_vectors_are_told_by_two_hashes(spark):
+    """The second hash isn't one of the first: a value that leaves the first as it is changes the second."""
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, None],), ([2.0, 1.0],)], "v array<double>")
+    got = df.selectExpr("xxhash64(v) a", "xxhash64(1, v) b", "xxhash64(v, 1) c").collect()
+    assert got[0]["a"] == got[1]["a"] and got[0]["c"] == got[1]["c"] and len({r["b"] for r in got} | {r["a"] for r in got}) == 4
+
+
 def test_recall_on_the_table(spark):
     rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     want = brute_links(rows)

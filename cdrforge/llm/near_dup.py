@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cdrforge.llm.classes import join_classes
 from cdrforge.llm.hashing import mix, pieces, windows, words
 from cdrforge.operators.components import connected_components
 from cdrforge.storage import Scratch
@@ -249,11 +250,12 @@ def block_links(members: DataFrame, check: Callable, unsigned: str, scratch: Scr
 
 def least_common(k: int, percent: int, loss: float) -> int:
     """The most common values that a pair at the threshold has in the sketch of its union, but for a chance below ``loss``."""
-    from math import comb
+    from math import exp, lgamma, log, log1p
 
     t, below, m = percent / 100, 0.0, 0
-    while m < k and below + comb(k, m) * t**m * (1 - t) ** (k - m) < loss:
-        below += comb(k, m) * t**m * (1 - t) ** (k - m)
+    chance = lambda m: exp(lgamma(k + 1) - lgamma(m + 1) - lgamma(k - m + 1) + m * log(t) + (k - m) * log1p(-t)) if t < 1 else float(m == k)
+    while m < k and below + chance(m) < loss:
+        below += chance(m)
         m += 1
     return max(1, m)
 
@@ -277,8 +279,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least_common(k, percent, loss)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = scratch.table(base.withColumn("h", F.xxhash64("text")).mapInArrow(_sketches(shingle, k), "id long, h long, n long, ka long, kb long, sketch array<long>"), "sketches")
-    classes = rows.where("ka is not null and id is not null").groupBy("ka", "kb").agg(F.min("id").alias("rep"))
-    reps = rows.join(classes.withColumnRenamed("rep", "id"), ["ka", "kb", "id"], "left_semi").dropDuplicates(["id", "ka", "kb"])
+    classes = rows.where("ka is not null and id is not null").groupBy("ka", "kb").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
+    classes = scratch.table(classes, "sizes")
+    reps = rows.join(classes.select("ka", "kb", F.col("rep").alias("id")), ["ka", "kb", "id"], "left_semi").dropDuplicates(["id", "ka", "kb"])
     reps = scratch.table(reps.select("id", "n", "sketch"), "classes")
 
     values = reps.select("id", F.explode("sketch").alias("key"))
@@ -303,8 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     true = block_links(scratch.read(at, full).join(cand, "id"), jaccard_pairs(percent), "uint64", scratch, "set")
     scratch.drop(at)
     label = connected_components(true, "near")
-    named = classes.join(label, classes["rep"] == label["node"], "left").select("ka", "kb", F.coalesce("component", "rep").alias("c"))
-    out = rows.drop("sketch").join(named, ["ka", "kb"], "left")
+    named = classes.join(label, classes["rep"] == label["node"], "left").select("ka", "kb", "w", F.coalesce("component", "rep").alias("c"))
+    out = join_classes(rows.drop("sketch"), scratch.table(named, "named"), F.coalesce("id", "h"))
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
     text_hash = [F.col("h").alias("text_hash")] if digest else []
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("id"))).alias("kept"), *text_hash)

@@ -98,6 +98,32 @@ def test_large_groups_are_split_and_lose_no_link(spark):
     assert len(set(want.values())) > 81
 
 
+def test_a_sketch_of_whole_sets_is_exact(spark):
+    """Pairs just at the threshold, just below and just above, many of them: with a sketch that holds the sets none is missed."""
+    rows, want = [], {}
+    for t in range(400):
+        common = [f"c{t}_{i}" for i in range(33 + t % 3)]  # 32 to 34 shingles of 2 words, of 40 to 42
+        own = 4 + (t // 3) % 2
+        for side in (0, 1):
+            rows.append((2 * t + side, " ".join([*common, *(f"o{t}_{side}_{i}" for i in range(own))])))
+    want = components(rows, 2)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, k=4096)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+    assert 100 < len(set(want.values())) - 400 < 400
+
+
+@pytest.mark.parametrize("copies", [700, 3000])
+def test_a_class_of_a_third_of_all_rows(spark, copies):
+    """Rows of a hot class, rows without words and rows without an id keep their verdicts."""
+    rows = [(i, "the same five words and more" if i % 3 else f"text number {i} has words of its own") for i in range(copies)]
+    rows += [(10_000 + i, "") for i in range(copies // 2)] + [(None, "the same five words and more")] * 3
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = r["doc_id"]
+        assert r["component_id"] == (None if i is None else 1 if i < 10_000 and i % 3 else i)
+
+
 def test_least_common_bounds_the_loss():
     from math import comb
 

@@ -11,7 +11,9 @@ A passage that a third of all documents share is one hash per batch, so no
 bucket grows with it. A hash is 64 bits wide and its bucket comes from a second,
 independent polynomial, so two windows are confused with a chance of about
 1 / (2**64 * buckets). Batches and buckets are sized in bytes: work in a task is
-bounded by ``batch_bytes`` (of text) and ``bucket_bytes`` (of hashes).
+bounded by ``batch_bytes`` (of text, or one longer text) and ``bucket_bytes`` (of
+hashes). Unless told otherwise both follow the input, so that what a batch sends to
+a bucket stays half a kilobyte at least up to 128 TB.
 """
 
 from __future__ import annotations
@@ -24,20 +26,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cdrforge.llm.hashing import U, buffers, pieces, windows, words
+from cdrforge.storage import Scratch
 
 _LAST = (1 << 63) - 1  # a null id comes after all others
 _PARTS, _BUCKETS, _SMALL = 128, 256, 1 << 18
 
 
-def range_number(column: str, bounds: list[int]) -> str:
-    """SQL for how many of the sorted ``bounds`` lie below the column, by two short scans."""
-    if not bounds:
-        return "0"
-    step = max(1, int(len(bounds) ** 0.5))
-    rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    listed = lambda xs: "array(" + ",".join(f"{x}L" if x > -_LAST else "bigint('-9223372036854775808')" for x in xs) + ")"
-    top = f"size(filter({listed([r[-1] for r in rows])}, t -> t < {column}))"
-    return f"cast({top} * {step} + coalesce(size(filter(get(array({','.join(map(listed, rows))}), {top}), t -> t < {column})), 0) as int)"
+_LEAST_BLOB, _MOST_BYTES, _WEIGHT = 512, 256 << 20, 1 << 14
+
+
+def sizes(total: int, batch_bytes: int | None, bucket_bytes: int | None) -> tuple[int, int]:
+    """Bytes of a batch and of a bucket for ``total`` bytes of text, where they are not given: the square root of what keeps blobs long, within bounds."""
+    even = min(_MOST_BYTES, int((_LEAST_BLOB * total) ** 0.5))
+    return batch_bytes or max(16 << 20, even), bucket_bytes or max(8 << 20, even)
+
+
+def range_ends(sized: DataFrame, parts: int) -> list[int]:
+    """Ends of at most ``parts`` ranges of ids that hold about the same bytes: all but the last one's. ``sized``: id, bytes.
+
+    An id counts once for each ``_WEIGHT`` bytes, in a range exchange, which samples a bounded number of rows.
+    """
+    if parts < 2:
+        return []
+    rows = sized.select("id", F.explode(F.expr(f"sequence(0L, bytes div {_WEIGHT})")).alias("k")).select("id").repartitionByRange(parts, "id")
+    return sorted(r["e"] for r in rows.groupBy(F.spark_partition_id()).agg(F.max("id").alias("e")).collect())[:-1]
+
+
+def range_number(df: DataFrame, column: str, ends: list[int], name: str = "batch") -> DataFrame:
+    """``df`` with how many of the sorted ``ends`` lie below the column: by a few literals, and then a table of eight bytes for each end."""
+    step = max(1, int(len(ends) ** 0.5))
+    rows = [ends[i : i + step] for i in range(0, len(ends), step)]
+    if not rows:
+        return df.withColumn(name, F.lit(0))
+    tops = F.array(*(F.lit(r[-1]).cast("long") for r in rows))
+    table = df.sparkSession.createDataFrame(list(enumerate(rows)), "__k int, __ends array<long>")
+    out = df.withColumn("__top", F.size(F.filter(tops, lambda t: t < F.col(column))))
+    below = F.coalesce(F.expr(f"size(filter(__ends, t -> t < {column}))"), F.lit(0))
+    return out.join(F.broadcast(table), F.col("__top") == F.col("__k"), "left").withColumn(name, F.least(F.col("__top") * step + below, F.lit(len(ends))).cast("int")).drop("__top", "__k", "__ends")
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -136,7 +161,7 @@ def _remove(size: int, buckets: int, carried: list[str], layout: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, carry: list[str] | None = None, layout: bool = False, batch_bytes: int = 16 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, carry: list[str] | None = None, layout: bool = False, batch_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept (text), and the columns named in ``carry``.
 
     A word goes if a window of ``window`` words over it, words being
@@ -150,11 +175,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     named = {c: f"c{k}" for k, c in enumerate(carry or [])}
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in named.items()))
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sized = Scratch(docs.sparkSession, "substrings").table(base.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "sizes")
+    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    batch_bytes, bucket_bytes = sizes(total, batch_bytes, bucket_bytes)
     parts = max(min(_PARTS, total // _SMALL), total // batch_bytes, 1)
     buckets = int(max(min(_BUCKETS, total // 4096), total * 8 // 5 // bucket_bytes, 1))
-    marks = base.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    dealt = base.withColumn("batch", F.expr(range_number("id", sorted(set(marks or [])))))
+    dealt = range_number(base, "id", range_ends(sized, parts))
     sent = dealt.groupBy("batch").applyInArrow(_send(window, buckets), "bucket int, batch int, hashes binary")
     flags = sent.groupBy("bucket").applyInArrow(_answer, "batch int, bucket int, bits binary")
     extra = "".join(f", {n} {dealt.schema[n].dataType.simpleString()}" for n in named.values())

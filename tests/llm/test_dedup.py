@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -11,7 +11,7 @@ from cdrforge.llm import hashing, near_dup, queries
 from cdrforge.llm.line_dedup import drop_boilerplate
 from cdrforge.llm.near_dup import near_duplicates
 from cdrforge.llm.sql import SQL
-from cdrforge.llm.substring_dedup import range_number, remove_repeats
+from cdrforge.llm.substring_dedup import range_ends, range_number, remove_repeats, sizes
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -171,10 +171,29 @@ def test_substrings_over_many_batches(spark):
 
 
 def test_range_number(spark):
-    bounds = [-5, 0, 3, 3, 9, 100, 101]
-    for b in ([], bounds[:1], sorted(set(bounds))):
-        got = spark.range(-10, 110).select("id", F.expr(range_number("id", b)).alias("n")).collect()
-        assert all(r["n"] == sum(x < r["id"] for x in b) for r in got)
+    bounds = [-5, 0, 3, 9, 100, 101]
+    for b in ([], bounds[:1], bounds, list(range(-9, 100, 2))):
+        got = range_number(spark.range(-10, 110), "id", b).collect()
+        assert len(got) == 120 and all(r["batch"] == sum(x < r["id"] for x in b) for r in got)
+
+
+def test_ranges_hold_about_the_same_bytes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i * 3), int(n)) for i, n in enumerate([*rng.integers(0, 3000, 3000), *[500_000] * 30, *rng.integers(0, 3000, 3000)])] + [(0, 100)] * 50
+    df = spark.createDataFrame(rows, "id long, bytes long").repartition(5)
+    ends = range_ends(df, 20)
+    assert ends == sorted(set(ends)) and 10 < len(ends) < 20 and range_ends(df, 1) == []
+    held = Counter()
+    for r in range_number(df, "id", ends).collect():
+        held[r["batch"]] += max(r["bytes"], 1 << 14)
+    assert max(held.values()) < 2.5 * sum(held.values()) / 20
+
+
+def test_sizes_follow_the_input():
+    assert sizes(1 << 30, None, None) == (16 << 20, 8 << 20) and sizes(1 << 30, 5, 6) == (5, 6)
+    for total in (10**12, 10**13, 10**14):
+        batch, bucket = sizes(total, None, None)
+        assert batch * bucket / total >= 500 and max(batch, bucket) <= 256 << 20
 
 
 def test_lines_of_odd_rows(spark, odd, none):

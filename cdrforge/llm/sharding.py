@@ -1,11 +1,12 @@
-"""Sharding by vector bin packing: bytes, words and rows are balanced jointly.
+"""Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Rows of equal text form a group. A group goes where the dot product of its
-(bytes, words, rows) with a shard's residual capacity is highest. Groups of at
+(bytes, tokens, rows) with a shard's residual capacity is highest. Groups of at
 least 1/512 of a total are placed first, by the driver (there are at most 1536);
-the rest is packed inside each partition into bins (about 4096 in all, at least
-one for each shard), and whole bins are placed like groups. A group of more than half a shard is dealt out by
-its rows' ids, since it would break the balance by itself.
+the rest is packed inside each partition into bins. Bins of ever fewer partitions
+are packed into new ones until at most 4096 are left, and those are placed like
+groups. A group of more than half a shard is dealt out by its rows' ids, since it
+would break the balance by itself.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from cdrforge.llm.packing import encode
 from cdrforge.storage import Scratch
 
-_LARGE, _BINS = 512, 4096
-#: Of bytes, words and rows in the dot product: bytes are what the law promises.
-_WEIGHT = np.array([4.0, 1.0, 1.0])
+_LARGE, _BINS, _FAN = 512, 4096, 64
+_SIZES = ("bytes", "tokens", "rows")
 
 
 def place(items: np.ndarray, loads: np.ndarray, capacity: np.ndarray) -> np.ndarray:
@@ -31,49 +32,81 @@ def place(items: np.ndarray, loads: np.ndarray, capacity: np.ndarray) -> np.ndar
     """
     out = np.zeros(len(items), np.int64)
     for i, item in enumerate(items):
-        out[i] = k = int(np.argmax((capacity - loads) @ (item * _WEIGHT)))
+        out[i] = k = int(np.argmax((capacity - loads) @ item))
         loads[k] += item
     return out
 
 
-def _local(total: list[float], n: int):
-    kind = pa.schema([("h", pa.int64()), ("crc", pa.int64()), ("size", pa.int64()), ("salt", pa.int64()), ("part", pa.int64()), ("bin", pa.int64()), ("bytes", pa.int64()), ("words", pa.int64()), ("rows", pa.int64())])
+def _largest_first(share: np.ndarray, loads: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+    order = np.argsort(-share.max(1), kind="stable")
+    out = np.zeros(len(share), np.int64)
+    out[order] = place(share[order], loads, capacity)
+    return out
+
+
+def _shares(batch: pa.RecordBatch | pa.Table, total: list[float]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in _SIZES], 1) / np.array(total)
+
+
+def _counted(tokenizer: str):
+    kind = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("crc", pa.int64()), ("h", pa.int64()), ("tokens", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(encode(x.as_py(), tokenizer)) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "size", "crc", "h")), pa.array(n, pa.int64())], schema=kind)
 
+    return run
+
+
+def _local(total: list[float], n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads, part, seen = np.zeros((n, 3)), TaskContext.get().partitionId(), np.zeros(3)
         for batch in batches:
-            share = np.stack([batch.column(c).to_numpy() for c in ("bytes", "words", "rows")], 1) / np.array(total)
-            order = np.argsort(-share.max(1), kind="stable")
+            share = _shares(batch, total)
             seen += share.sum(0)
-            bins = np.zeros(len(share), np.int64)
-            bins[order] = place(share[order], loads, seen / n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "crc", "size", "salt")), pa.array([part] * len(share), pa.int64()), pa.array(bins), *(batch.column(c) for c in ("bytes", "words", "rows"))], schema=kind)
+            bins = _largest_first(share, loads, seen / n)
+            columns = {c: batch.column(c) for c in ("h", "crc", "size", "salt")} | {"part": pa.array([part] * len(share), pa.int64()), "bin": pa.array(bins)} | {c: batch.column(c) for c in _SIZES}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _merge(total: list[float], n: int):
+    """Bins of some partitions into ``n`` new ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("part", "ascending"), ("bin", "ascending")])
+        share = _shares(table, total)
+        return table.append_column("to", pa.array(_largest_first(share, np.zeros((n, 3)), share.sum(0) / n)))
 
     return run
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, tokenizer: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard.
 
     Sizes (UTF-8 bytes of the text and 1) are near equal over the shards: law
-    ``bytes``; words and row counts come as near as that allows. A null text has
-    no bytes and is grouped with empty ones. Null and repeated ids are placed
+    ``bytes``; tokens (of the byte-level BPE file ``tokenizer``) and row counts are
+    weighed alike and come as near. A null text has no bytes and is grouped with
+    empty ones. Null and repeated ids are placed
     like others. Other columns are ignored, whatever their names; an empty table
     gives an empty one. ``slot`` numbers a shard's rows from 0.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("h"), F.expr(f"cast(regexp_count(coalesce(`{text_col}`, ''), '[^ \\\\t-\\\\r]+') as long)").alias("words"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = rows.mapInArrow(_counted(tokenizer), "id long, size long, crc long, h long, tokens long")
     rows = scratch.table(rows, "rows").withColumn("salt", F.lit(0).cast("long"))
     key = ["h", "crc", "size", "salt"]
 
     def grouped(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(key).agg(F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count("*").alias("rows"))
+        return rows.groupBy(key).agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
 
     groups = scratch.table(grouped(rows), "groups")
-    total = [float(x or 1) for x in groups.agg(F.sum("bytes"), F.sum("words"), F.sum("rows")).first()]
-    share = F.greatest(F.col("bytes") / total[0], F.col("words") / total[1], F.col("rows") / total[2])
+    total = [float(x or 1) for x in groups.agg(F.sum("bytes"), F.sum("tokens"), F.sum("rows")).first()]
+    share = F.greatest(F.col("bytes") / total[0], F.col("tokens") / total[1], F.col("rows") / total[2])
     # at most 6 * shards groups; their rows are dealt out
     if whole := groups.where(share > 1 / (2 * shards)).select("h", "crc", "size", F.ceil(share * 8 * shards).cast("long").alias("of")).collect():
         known = F.broadcast(spark.createDataFrame(whole, "h long, crc long, size long, of long"))
@@ -81,22 +114,27 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         groups = scratch.table(grouped(rows), "groups")
     loads, capacity = np.zeros((shards, 3)), np.full(3, 1 / shards)
     first = groups.where(share >= 1 / _LARGE).orderBy(*key).collect()
-    vectors = np.array([[g["bytes"], g["words"], g["rows"]] for g in first], float).reshape(-1, 3) / total
-    order = np.argsort(-vectors.max(1), kind="stable")
-    where = np.zeros(len(first), np.int64)
-    where[order] = place(vectors[order], loads, capacity)
+    vectors = np.array([[g["bytes"], g["tokens"], g["rows"]] for g in first], float).reshape(-1, 3) / total
+    where = _largest_first(vectors, loads, capacity)
     placed = spark.createDataFrame([(g["h"], g["crc"], g["size"], g["salt"], int(s)) for g, s in zip(first, where, strict=True)], "h long, crc long, size long, salt long, shard int")
     small = groups.where(share < 1 / _LARGE)
-    n = max(shards, _BINS // max(1, small.rdd.getNumPartitions()))
-    local = small.mapInArrow(_local(total, n), "h long, crc long, size long, salt long, part long, bin long, bytes long, words long, rows long")
-    local = scratch.table(local, "bins")
-    # n rows for each partition
-    bins = local.groupBy("part", "bin").agg(*(F.sum(c).alias(c) for c in ("bytes", "words", "rows"))).orderBy("part", "bin").collect()
-    vectors = np.array([[b["bytes"], b["words"], b["rows"]] for b in bins], float).reshape(-1, 3) / total
-    order = np.argsort(-vectors.max(1), kind="stable")
-    where = np.zeros(len(bins), np.int64)
-    where[order] = place(vectors[order], loads, capacity)
+    parts = small.rdd.getNumPartitions()
+    n = max(shards, _BINS // max(1, parts))
+    kind = ", ".join(f"{c} long" for c in ("part", "bin", *_SIZES))
+    local = scratch.table(small.mapInArrow(_local(total, n), f"h long, crc long, size long, salt long, {kind}"), "bins")
+    summed = lambda df, part, bin_: df.groupBy(F.col(part).alias("part"), F.col(bin_).alias("bin")).agg(*(F.sum(c).alias(c) for c in _SIZES))
+    level, steps = summed(local, "part", "bin"), []
+    while parts > 1 and parts * n > _BINS:
+        parts = -(-parts // _FAN)
+        merged = level.withColumn("up", F.expr(f"part div {_FAN}")).groupBy("up").applyInArrow(_merge(total, n), f"{kind}, up long, to long")
+        steps.append(scratch.table(merged, "merged"))
+        level = summed(steps[-1], "up", "to")
+    bins = level.orderBy("part", "bin").collect()  # _BINS of them at most, or one for each shard
+    vectors = np.array([[b[c] for c in _SIZES] for b in bins], float).reshape(-1, 3) / total
+    where = _largest_first(vectors, loads, capacity)
     named = spark.createDataFrame([(b["part"], b["bin"], int(s)) for b, s in zip(bins, where, strict=True)], "part long, bin long, shard int")
+    for step in reversed(steps):
+        named = step.select("part", "bin", "up", "to").join(named.toDF("up", "to", "shard"), ["up", "to"]).select("part", "bin", "shard")
     placed = placed.unionByName(local.join(named, ["part", "bin"]).select(*key, "shard"))
     dealt = scratch.table(rows.join(placed, key).select("id", "size", "crc", "shard"), "placed").withColumns({"file": F.col("_metadata.file_path"), "at": F.col("_metadata.row_index")})
     counts = dealt.groupBy("file", "shard").count()

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from cdrforge.llm import packing, queries, sentence_pieces
+from cdrforge.llm import packing, queries, sentence_pieces, sharding
 from cdrforge.llm.packing import pack
 from cdrforge.llm.sharding import place, shard
 
@@ -124,13 +124,74 @@ def test_shards_of_the_table(spark, docs):
 
 
 def test_shards_of_odd_rows_and_of_a_large_group(spark, odd, none):
-    check_shards(shard(odd).collect(), [(r["doc_id"], r["text"]) for r in odd.collect()])
-    assert shard(none).collect() == []
+    check_shards(shard(odd, BPE).collect(), [(r["doc_id"], r["text"]) for r in odd.collect()])
+    assert shard(none, BPE).collect() == [] and shard(odd.where("false"), BPE).collect() == []
     docs = [(i, "the same text for all of these " * 3 if i % 3 else f"own text {i} " * 9) for i in range(3000)]
-    sizes = check_shards(shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect(), docs)
+    sizes = check_shards(shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), BPE).collect(), docs)
     assert max(sizes.values()) < 1.05 * min(sizes.values())
 
 
+def packed_by_one(groups, shards=8):
+    """Vector bin packing in one process: groups (bytes, tokens, rows), the largest share first; loads and where each went."""
+    total = [sum(g[k] for g in groups) for k in range(3)]
+    share = [[g[k] / total[k] for k in range(3)] for g in groups]
+    left, where = [[1 / shards] * 3 for _ in range(shards)], {}
+    for i in sorted(range(len(groups)), key=lambda i: (-max(share[i]), i)):
+        dots = [sum(a * b for a, b in zip(share[i], room, strict=True)) for room in left]
+        where[i] = dots.index(max(dots))
+        left[where[i]] = [a - b for a, b in zip(left[where[i]], share[i], strict=True)]
+    return [[1 - x * shards for x in room] for room in left], where
+
+
+def grouped(docs, tokens):
+    groups = defaultdict(lambda: [0, 0, 0])
+    for _, t in docs:
+        for k, x in enumerate((len((t or "").encode()) + 1, len(tokens(t)) - 1, 1)):
+            groups[t or ""][k] += x
+    return groups
+
+
+def test_shards_as_one_process_packs_them(spark, tokens):
+    """Few groups: the same shards. A whole table: bytes, tokens and rows as even as one process makes them."""
+    rng = np.random.default_rng(5)
+    few = [(i, " ".join("word" * int(rng.integers(1, 5)) for _ in range(int(rng.integers(1, 60))))) for i in range(90)] + [(500, "")]
+    got = {r["doc_id"]: r["shard"] for r in shard(spark.createDataFrame(few, "doc_id long, text string").repartition(3), BPE).collect()}
+    order = {r["t"]: k for k, r in enumerate(spark.createDataFrame([(t,) for t in {t for _, t in few}], "t string").selectExpr("t", "xxhash64(t) h").orderBy("h").collect())}
+    groups = grouped(few, tokens)
+    names = sorted(groups, key=order.get)
+    _, where = packed_by_one([groups[t] for t in names])
+    assert got == {i: where[names.index(t)] for i, t in few}
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    groups = grouped(docs, tokens)
+    loads, _ = packed_by_one(list(groups.values()))
+    shares, total = np.zeros((8, 3)), np.array(list(groups.values())).sum(0)
+    text = dict(docs)
+    for r in queries.op10_sharding(spark, "/root/testdata/sf0.01").collect():
+        t = text[r["doc_id"]]
+        shares[r["shard"]] += np.array([len(t.encode()) + 1, len(tokens(t)) - 1, 1]) / total
+    assert (np.abs(8 * shares - 1).max(0) <= np.abs(np.array(loads)).max(0) + 0.03).all()
+
+
+@pytest.mark.parametrize("most", [8, 40])
+def test_bins_are_merged_until_few_are_left(spark, monkeypatch, most):
+    rng = np.random.default_rng(6)
+    docs = [(i, " ".join(["text", str(i), *["more"] * int(rng.integers(0, 40))])) for i in range(4000)]
+    monkeypatch.setattr(sharding, "_BINS", most)
+    monkeypatch.setattr(sharding, "_FAN", 2)
+    calls, merge = [], sharding._merge
+    monkeypatch.setattr(sharding, "_merge", lambda *a: calls.append(a) or merge(*a))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # one partition a file
+    try:
+        rows = shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(9), BPE).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    sizes = check_shards(rows, docs)
+    assert len(sizes) == 8 and max(sizes.values()) < 1.05 * min(sizes.values())
+    assert len(calls) == (2 if most == 8 else 0)  # 4 files, 2 partitions, 1
+
+
 def test_the_highest_dot_product_wins():
     loads = np.array([[0.5, 0.0, 0.1], [0.1, 0.5, 0.1]])
     assert place(np.array([[0.2, 0.01, 0.01], [0.01, 0.9, 0.01]]), loads, np.ones(3)).tolist() == [1, 0]

@@ -153,6 +153,33 @@ def test_classifier_on_labels_it_has_not_seen(spark, docs, labels, odd, none):
     assert {r["score"] for r in quality_classifier.classify(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_scores_are_those_of_a_direct_solution(spark, docs, labels):
+    """One least-squares problem over all labelled rows, and isotonic regression by its min-max formula."""
+    import zlib
+
+    rows = docs.orderBy("doc_id").collect()
+    mark = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    x = textstats.document_features(textstats.stats(pa.array([r["text"] for r in rows])))
+    w, b = quality_classifier.random_features(x.shape[1], 256, 4.0, 11)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-9), -5, 5)
+    z = np.c_[np.cos(z @ w + b) * np.sqrt(2 / 256), np.ones(len(x))]
+    use = np.array([r["doc_id"] in mark and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 for r in rows])
+    y = np.array([mark.get(r["doc_id"], 0) for r in rows], float)
+    penalty = np.sqrt(1e-4 * use.sum()) * np.eye(257)[:256]
+    beta = np.linalg.lstsq(np.r_[z[use], penalty], np.r_[y[use], np.zeros(256)], rcond=None)[0]
+    raw = z @ beta
+    grid = np.floor(np.clip(raw[use], -0.5, 1.5) * 2000 + 0.5)
+    at = np.unique(grid)
+    n, ones = (np.array([v[grid == g].sum() for g in at]) for v in (np.ones(use.sum()), y[use]))
+    mean = lambda i, j: ones[i : j + 1].sum() / n[i : j + 1].sum()
+    fitted = np.array([max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))])
+    values = np.unique(fitted.round(12))
+    knots = [np.average(at[np.isclose(fitted, v)], weights=n[np.isclose(fitted, v)]) / 2000 for v in values]
+    want = np.interp(raw, knots, values)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.classify(docs, labels).collect()}
+    assert np.allclose([got[r["doc_id"]] for r in rows], want, atol=1e-5)
+
+
 def test_held_out_labels_do_not_matter(spark, docs, labels):
     turned = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 3 = 1 then 1 - quality else quality end quality")
     a, b = ({r["doc_id"]: r["score"] for r in quality_classifier.classify(docs, x).collect()} for x in (labels, turned))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import re
 import sys
 
@@ -43,7 +44,12 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(o: argparse.Namespace) -> None:
-    a = Analysis(read_airr(session(o.workers), o.igblast), o.threshold, o.min_lineage_size, several=True)
+    spark = session(o.workers)
+    a = Analysis(read_airr(spark, o.igblast), o.threshold, o.min_lineage_size)
+    if logs.log.isEnabledFor(logging.INFO):  # they cost a pass over the reads and one over the edges
+        loaded, graph = a.loaded.first(), a.graph.first()
+        logs.log.info("Loaded %d sequences (%d unique CDR3s).", loaded["n_reads"], loaded["n_unique_cdr3"])
+        logs.log.info("Hamming graph: %d nodes, %d edges, %d blocks scanned on %d worker(s).", graph["n_nodes"], graph["n_edges"], graph["n_blocks"], spark.sparkContext.defaultParallelism)
     sys.stdout.write(reports.stats_text(a.stats))
     if o.dump_lineages:
         reports.write_file(o.dump_lineages, reports.lineage_text(a.table))
@@ -51,11 +57,11 @@ def run(o: argparse.Namespace) -> None:
         reports.write_file(o.dump_usage, reports.usage_text(a.usage))
     if o.usage_plot:
         bars = [(r["v_gene"], float(r["reads"])) for r in a.usage.orderBy("v_gene").collect()]  # as many as there are genes
-        reports.write_file(o.usage_plot, [charts.vertical_bars("V Gene Usage Statistics", "V Genes", "Read Count", bars)])
+        reports.write_file(o.usage_plot, [charts.columns("V Gene Usage Statistics", "V genes", "reads", bars)])
         logs.log.info("Plot written to %s", o.usage_plot)
     if o.stats_plot:
         bars = [(r["metric"], float(r["value"])) for r in a.stats.orderBy("ord").collect()]
-        reports.write_file(o.stats_plot, [charts.horizontal_bars("Clonal Lineage Statistics", "Value", bars)])
+        reports.write_file(o.stats_plot, [charts.rows("Clonal Lineage Statistics", "value", bars)])
         logs.log.info("Plot written to %s", o.stats_plot)
     if o.weblogo_query:
         if a.summaries.isEmpty():

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import BooleanType, IntegerType
 
 
 def reported_length(start: Column, end: Column) -> Column:
@@ -24,50 +20,25 @@ def hamming_distance(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0).otherwise(F.size(unlike))
 
 
-def _differing(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where two sequences differ, up to the shorter one's end: a row for each pair; and their lengths in bytes."""
+def words(sequence: Column, n: int) -> list[Column]:
+    """The bytes of a sequence in ``n`` longs of seven each, filled up with zeros."""
+    piece = lambda i: F.hex(F.substring(sequence.cast("binary"), 7 * i + 1, 7))
+    return [F.conv(F.rpad(piece(i), 14, "0"), 16, 10).cast("long") for i in range(n)]
 
-    def view(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        c = c.cast(pa.large_binary())
-        return np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1], np.frombuffer(c.buffers()[2] or b"\0", np.uint8)
 
-    (p, x), (q, y) = view(a), view(b)
-    shorter = np.minimum(np.diff(p), np.diff(q))
-    at = np.arange(max(1, shorter.max(initial=0)))
-    left, right = (d[np.minimum(o[:-1, None] + at, max(len(d) - 1, 0))] if len(d) else np.zeros((len(shorter), len(at)), np.uint8) for o, d in ((p, x), (q, y)))
-    return (left != right) & (at < shorter[:, None]), np.diff(p), np.diff(q)
+_LOW, _HIGH = 0x7F7F7F7F7F7F7F, 0x80808080808080
 
 
-@arrow_udf(IntegerType())
-def hamming_bytes(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The same distance over bytes, in batches: for joins with many pairs."""
-    return pa.array(_differing(a, b)[0].sum(1).astype(np.int32))
+def unlike_bytes(x: Column, y: Column) -> Column:
+    """In how many of seven bytes two longs differ: a byte's low bits carry into its highest unless all are alike."""
+    z = x.bitwiseXOR(y)
+    return F.bit_count((z.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(z).bitwiseAND(F.lit(_HIGH)))
 
 
-def _pieces(v: bytes, n: int) -> list[bytes]:
-    size, more = divmod(len(v), n)
-    cut = [k * size + min(k, more) for k in range(n + 1)]
-    return [v[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)]
-
-
-@arrow_udf(BooleanType())
-def meets_first(a: pa.Array, b: pa.Array, n: pa.Array, i: pa.Array, limit: pa.Array) -> pa.Array:
-    """The distance is within the limit, and of ``n`` chunks the first that both have alike is number ``i``."""
-    differ, long, other = _differing(a, b)
-    n, i, limit = (x.to_numpy(zero_copy_only=False) for x in (n, i, limit))
-    close = differ.sum(1) <= limit
-    size, more = long // n, long % n
-    head = more * (size + 1)
-    row, column = np.nonzero(differ & close[:, None])
-    s, m, h = size[row], more[row], head[row]
-    which = np.where(column < h, column // (s + 1), m + (column - h) // np.maximum(s, 1))
-    most = int(n.max(initial=0)) + 1
-    hits = np.bincount(row * most + np.minimum(which, most - 1), minlength=len(long) * most).reshape(len(long), most)
-    first = (hits == 0).argmax(1) if len(long) else long
-    for k in np.flatnonzero(close & (long != other)):  # each is cut by its own length
-        alike = [p == q for p, q in zip(_pieces(a[k].as_py().encode(), int(n[k])), _pieces(b[k].as_py().encode(), int(n[k])), strict=True)]
-        first[k] = alike.index(True) if True in alike else -1
-    return pa.array(close & (first == i))
+def hamming_bytes(a: Column, b: Column, n: int) -> Column:
+    """The same distance over bytes, for sequences of at most 7 ``n`` of them: what joins with many pairs compute in generated code."""
+    unlike = sum((unlike_bytes(x, y) for x, y in zip(words(a, n), words(b, n), strict=True)), F.lit(0))
+    return unlike - F.abs(F.octet_length(a) - F.octet_length(b))
 
 
 def max_distance(length: Column, ratio: float) -> Column:
@@ -95,17 +66,27 @@ def group_digits(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
-#: IMGT headers have 15 fields; receptor names are looked for before antibody names.
-_FIELDS = r"\|.*" * 13 + r"\|"
-TR_HEADER = rf"^>.*\|(TR.+)\|.*{_FIELDS[4:]}"
-IG_HEADER = rf"^>.*\|(IG.+)\|(.*){_FIELDS[4:]}"
+#: In an IMGT header 14 bars follow the gene's name, and the species is the field after it.
+_BARS_AFTER, _RECEPTOR, _ANTIBODY, _SPRETUS = 14, "TR", "IG", r"(?i)Mus\s+spretus"
 
 
 def imgt_gene(header: Column) -> Column:
-    """Gene name in an IMGT header line (with its ``>``); null for any other line."""
-    receptor, antibody = F.regexp_extract(header, TR_HEADER, 1), F.regexp_extract(header, IG_HEADER, 1)
-    spretus = F.regexp_extract(header, IG_HEADER, 2).rlike(r"(?i)Mus\s+spretus")
-    return F.when(receptor != "", receptor).when(antibody != "", F.concat(antibody, F.when(spretus, "_Mus_spretus").otherwise("")))
+    """Gene name in an IMGT header line (with its ``>``); null for any other line.
+
+    Of the fields that leave enough bars behind them the name begins in the last one
+    that starts as a receptor's name, or else as an antibody's; it ends where exactly
+    so many bars are left, which is that same field unless the header is overlong.
+    """
+    fields = F.split(header, r"\|", -1)
+    last = F.size(fields) - (_BARS_AFTER + 1)
+
+    def name(start: str) -> Column:
+        able = F.slice(fields, 2, F.greatest(last, F.lit(0)))
+        at = F.array_max(F.transform(able, lambda f, i: F.when(f.startswith(start) & ((i < last - 1) | (F.length(f) > len(start))), i)))
+        return F.array_join(F.slice(fields, at + 2, last - at), "|")
+
+    antibody = F.concat(name(_ANTIBODY), F.when(F.get(fields, last + 1).rlike(_SPRETUS), "_Mus_spretus").otherwise(""))
+    return F.when(header.startswith(">"), F.coalesce(name(_RECEPTOR), antibody))
 
 
 def without_gaps(sequence: Column) -> Column:

@@ -12,42 +12,54 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cdrforge.storage import Scratch
 
 _MOST_ROUNDS = 60
+#: Edges that a task holds, and nodes whose stars it keeps when they are contracted.
+_HELD, _KEPT = 1 << 20, 500_000
 
 
-def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace a partition's edges by stars to each local root, the smallest member."""
-    parent: dict = {}
+def stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Edges from every node to the smallest node of its component, in arrays: roots are hooked to smaller ones until each edge lies within one."""
+    ends = pa.chunked_array([b.column(k) for k in (0, 1) for b in batches]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(ends.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    u, v = np.split(rank[ends.indices.to_numpy()], 2)
+    root = np.arange(len(order))
+    while True:
+        x, y = root[u], root[v]
+        apart = x != y
+        if not apart.any():
+            break
+        u, v, x, y = (z[apart] for z in (u, v, x, y))
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    inner = np.flatnonzero(root != np.arange(len(root)))
+    columns = [ends.dictionary.take(pa.array(order[k])) for k in (inner, root[inner])]
+    return pa.RecordBatch.from_arrays(columns, schema=batches[0].schema)
 
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    def flush() -> pa.RecordBatch | None:
-        pairs = [(k, find(k)) for k in parent]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        parent.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind.field(k).type) for k in (0, 1)], schema=kind) if pairs else None
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace a partition's edges by stars to each local root, the smallest member.
 
-    kind = None
+    What has been found goes out when it is too much to keep; memory stays bounded.
+    """
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        kind = batch.schema
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ra, rb = find(parent.setdefault(a, a) if a not in parent else a), find(parent.setdefault(b, b) if b not in parent else b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-        if len(parent) > 500_000:  # what has been found so far goes out; memory stays bounded
-            if (out := flush()) is not None:
-                yield out
-    if kind is not None and (out := flush()) is not None:
-        yield out
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _HELD:
+            held = [stars(held)]
+            if held[0].num_rows > _KEPT:
+                yield held.pop()
+    if any(b.num_rows for b in held):
+        yield stars(held)
 
 
 def connected_components(edges: DataFrame, name: str = "components", one_task_rows: int = 50_000, task_rows: int = 100_000) -> DataFrame:

@@ -5,44 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cdrforge.operators.components import connected_components
-
-_PREFIX = 12
+from cdrforge.storage import Scratch
 
 
 def members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with ``root``, the smallest sequence of the component; a node without an edge is its own."""
+    """nodes with ``component``, the smallest key of its component; a node without an edge is its own.
+
+    The key that edges name is ``id`` where nodes have one, else ``cdr3``.
+    """
+    key = "id" if "id" in nodes.columns else "cdr3"
     label = connected_components(edges.select("a", "b"), "lineages", one_task_rows=200_000, task_rows=500_000)
-    return nodes.join(label, nodes["cdr3"] == label["node"], "left").withColumn("root", F.coalesce("component", "cdr3")).drop("node", "component")
+    return nodes.join(label, nodes[key] == label["node"], "left").withColumn("component", F.coalesce("component", key)).drop("node")
+
+
+def _sizes() -> list:
+    return [F.min("cdr3").alias("root"), F.count("*").alias("n_unique_cdr3"), F.sum("n_reads").alias("n_reads")]
 
 
 def summaries(member: DataFrame) -> DataFrame:
-    """root, n_unique_cdr3, n_reads of each lineage."""
-    return member.groupBy("root").agg(F.count("*").alias("n_unique_cdr3"), F.sum("n_reads").alias("n_reads"))
+    """component, root (its smallest sequence), n_unique_cdr3, n_reads of each lineage."""
+    return member.groupBy("component").agg(*_sizes())
 
 
 def ranked(lineages: DataFrame) -> DataFrame:
     """lineages with ``lineage``: 0 for the most unique CDR3s, ties by root.
 
-    Numbered within (size, first characters of the root) and shifted by what comes
-    before, so no task sorts all lineages; only the counts of these groups do.
+    They are sorted over ranges and written; a row's number is its place in its
+    partition and the rows of the partitions before, so no task sees all lineages.
     """
-    keyed = lineages.withColumn("p", F.substring("root", 1, _PREFIX))
-    before = keyed.groupBy("n_unique_cdr3", "p").agg(F.count("*").alias("c"))
-    before = before.withColumn("before", F.expr("sum(c) over (order by n_unique_cdr3 desc, p rows between unbounded preceding and current row) - c")).drop("c")
-    number = F.expr("row_number() over (partition by n_unique_cdr3, p order by root)").cast("long")
-    return keyed.withColumn("r", number).join(before, ["n_unique_cdr3", "p"]).withColumn("lineage", F.col("before") + F.col("r") - 1).select("lineage", "root", "n_unique_cdr3", "n_reads")
+    place = lineages.orderBy(F.desc("n_unique_cdr3"), "root").withColumn("i", F.monotonically_increasing_id())
+    placed = Scratch(lineages.sparkSession, "ranks").table(place, "sorted").withColumn("part", F.shiftright("i", 33))
+    counts = placed.groupBy("part").agg(F.count("*").alias("c"))  # a row for each partition
+    before = counts.withColumn("before", F.expr("sum(c) over (order by part rows between unbounded preceding and current row) - c"))
+    number = F.col("before") + F.col("i").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), "part").select(number.alias("lineage"), *lineages.columns)
 
 
 def table(member: DataFrame) -> DataFrame:
     """lineage, n_unique_cdr3, n_reads, cdr3s (sorted array) of each lineage; not sorted by lineage."""
-    listed = member.groupBy("root").agg(F.array_sort(F.collect_list("cdr3")).alias("cdr3s"))
-    return ranked(summaries(member)).join(listed, "root").select("lineage", "n_unique_cdr3", "n_reads", "cdr3s")
+    listed = member.groupBy("component").agg(*_sizes(), F.array_sort(F.collect_list("cdr3")).alias("cdr3s"))
+    return ranked(listed).select("lineage", "n_unique_cdr3", "n_reads", "cdr3s")
 
 
 def largest(lineages: DataFrame) -> DataFrame:
     """The one row of the lineage with the most unique CDR3s (ties: smallest root); none if there is no lineage."""
-    top = lineages.agg(F.min(F.struct((-F.col("n_unique_cdr3")).alias("neg"), "root", "n_reads")).alias("t")).where("t is not null")
-    return top.select("t.root", (-F.col("t.neg")).alias("n_unique_cdr3"), "t.n_reads")
+    top = lineages.agg(F.min(F.struct((-F.col("n_unique_cdr3")).alias("neg"), "root", "n_reads", "component")).alias("t")).where("t is not null")
+    return top.select("t.root", (-F.col("t.neg")).alias("n_unique_cdr3"), "t.n_reads", "t.component")
 
 
 def metric_names(least: int) -> list[str]:
@@ -67,8 +75,8 @@ def stats(lineages: DataFrame, least: int = 10) -> DataFrame:
 
 def weblogo(reads: DataFrame, member: DataFrame) -> DataFrame:
     """ord, aa: amino acids of the largest lineage's reads, spaces as ``*``, padded with ``*`` to the longest."""
-    top = largest(summaries(member)).select("root")
-    wanted = member.join(F.broadcast(top), "root", "left_semi").select("cdr3")  # one row
+    top = largest(summaries(member)).select("component")
+    wanted = member.join(F.broadcast(top), "component", "left_semi").select("cdr3")  # one row
     rows = reads.join(wanted, "cdr3", "left_semi").select("ord", F.translate("cdr3_aa", " ", "*").alias("aa"))
     width = rows.agg(F.max(F.length("aa")).alias("w"))
     return rows.crossJoin(F.broadcast(width)).select("ord", F.expr("rpad(aa, w, '*')").alias("aa"))  # one row again

@@ -5,17 +5,26 @@ gene, and they differ in at most ratio * length positions. With d differences
 allowed, one of d + 1 chunks is equal in both, so candidates come from an
 equi-join on (length, V, J, chunk). A pair meets in several of these keys; the
 smallest common V and J and the first equal chunk emit it, so no shuffle is
-needed to make pairs distinct; the last test runs with the distance, over bytes.
+needed to make pairs distinct.
+
+Sequences travel as long values of seven bytes each, chunks and genes as their
+hashes, so that a candidate is compared in generated code by a few operations on
+longs. A key that many nodes share, such as a conserved start, is dealt into
+blocks, and each pair of blocks is a join key of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cdrforge.functions.genes import genes_overlap, smallest_common
-from cdrforge.functions.sequences import chunk, chunks, hamming_distance, max_distance, meets_first
+from cdrforge.functions.genes import genes_overlap
+from cdrforge.functions.sequences import chunk, chunks, hamming_distance, max_distance, unlike_bytes, words
+from cdrforge.storage import Scratch
 
-_EARLY = 6
+#: Beyond so many longs or chunks a row holds arrays of them, which generated code cannot compare.
+_COLUMNS = 24
+#: Hot keys that are broadcast at most; more are joined.
+_HOT_KEYS = 100_000
 
 
 def _joinable(nodes: DataFrame, ratio: float) -> DataFrame:
@@ -35,22 +44,63 @@ def block_sizes(nodes: DataFrame) -> DataFrame:
     return keys.groupBy("cdr_length", "v", "j").agg(F.count("*").alias("n")).withColumn("pairs", F.expr("n * (n - 1) div 2"))
 
 
-def edges(nodes: DataFrame, ratio: float = 0.1) -> DataFrame:
-    """(cdr_length, a, b) with a < b, each pair once."""
-    keyed = _joinable(nodes, ratio).select("cdr_length", "cdr3", "v_call", "j_call", "n", chunks(F.col("cdr3"), F.col("n")).alias("c"), F.explode("v_call").alias("v"))
-    keyed = keyed.select("*", F.explode("j_call").alias("j")).select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("pos"))
-    # one long instead of five columns is what the join sorts and compares; what it stands for is checked with the pair
-    keyed = keyed.withColumn("k", F.xxhash64("cdr_length", "v", "j", "pos", chunk(F.col("cdr3"), F.col("n"), F.col("pos"))))
-    left = keyed.select("k", "cdr_length", "v", "j", "pos", "n", F.col("cdr3").alias("a"), F.col("v_call").alias("va"), F.col("j_call").alias("ja"), F.col("c").alias("ca"))
-    right = keyed.select("k", F.col("cdr_length").alias("lb"), F.col("cdr3").alias("b"), F.col("v_call").alias("vb"), F.col("j_call").alias("jb"), F.col("c").alias("cb"))
-    pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.col("cdr_length") == F.col("lb")))
-    # generated code drops most repetitions of a pair here; meets_first decides on those with more chunks
-    for i in range(_EARLY):
-        pairs = pairs.where(~((F.col("pos") > i) & (F.get("ca", F.lit(i)) == F.get("cb", F.lit(i)))))
+def _spread(name: str, values: list[Column], wide: bool) -> list[Column]:
+    return [F.array(*values).alias(name)] if wide else [v.alias(f"{name}{i}") for i, v in enumerate(values)]
+
+
+def _keyed(nodes: DataFrame, ratio: float, key: str) -> tuple[DataFrame, int, int, bool]:
+    """A row for each common thing that candidates can have: ``k``; and longs and chunks of the longest sequence, and whether they stand in arrays."""
+    base = _joinable(nodes, ratio)
+    most, n = base.agg(F.coalesce(F.max(F.octet_length("cdr3")), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    size = -(-most // 7)
+    wide = size > _COLUMNS or n > _COLUMNS
+    bytes_ = F.col("cdr3").cast("binary")
+    # a chunk that a shorter sequence has none of is null, and equal to nothing
+    hashes = [F.when(F.col("n") > i, F.xxhash64(chunk(bytes_, F.col("n"), F.lit(i)))) for i in range(n)]
+    several = lambda c: F.when(F.size(c) > 1, F.transform(c, lambda g: F.xxhash64(g)))
+    out = base.select(
+        F.col(key).alias("key"), "cdr_length", "n", F.octet_length("cdr3").alias("bytes"), *_spread("w", words(F.col("cdr3"), size), wide), *_spread("h", hashes, wide),
+        several("v_call").alias("vs"), several("j_call").alias("js"), F.explode("v_call").alias("v"), "j_call",
+    )
+    out = out.select("*", F.explode("j_call").alias("j")).drop("j_call").withColumns({"v": F.xxhash64("v"), "j": F.xxhash64("j")})
+    out = out.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("pos")).drop("n")
+    own = F.get("h", F.col("pos")) if wide else F.coalesce(*(F.when(F.col("pos") == i, F.col(f"h{i}")) for i in range(n)))
+    return out.withColumn("k", F.xxhash64("cdr_length", "v", "j", "pos", own)), size, n, wide
+
+
+def edges(nodes: DataFrame, ratio: float = 0.1, key: str = "cdr3", block: int = 4096) -> DataFrame:
+    """(cdr_length, a, b) with a < b, each pair once; a and b are the nodes' ``key``, which must be unique.
+
+    Candidates of a join key that more than ``block`` rows share are compared block by block.
+    """
+    keyed, size, n, wide = _keyed(nodes, ratio, key)
+    often = keyed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > block)
+    often = Scratch(nodes.sparkSession, "similarity").table(often.select("k", F.ceil(F.col("c") / block).cast("int").alias("nb")), "hot")
+    many = often.count()
+    sides = [keyed, keyed]
+    if many:
+        dealt = keyed.join(F.broadcast(often) if many <= _HOT_KEYS else often, "k", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(key, 7), nb) as int)"))
+        sides = [dealt.withColumn("other", F.explode(F.expr(e))) for e in ("sequence(own, nb - 1)", "sequence(0, own)")]
+        pair = lambda x, y: F.when(F.col("nb") == 1, F.col("k")).otherwise(F.xxhash64("k", x, y))
+        sides = [side.withColumns({"same": F.col("own") == F.col("other"), "k": pair(*names)}).drop("nb", "own", "other") for side, names in zip(sides, (("own", "other"), ("other", "own")), strict=True)]
+    # not renamed: the optimizer tries all mixtures of old and new names in what it knows of k
+    a, b = (lambda c, s=s: F.col(f"{s}.{c}") for s in "ab")
+    pairs = sides[0].alias("a").join(sides[1].alias("b"), a("k") == b("k")).where((a("cdr_length") == b("cdr_length")) & (a("v") == b("v")) & (a("j") == b("j")) & (a("pos") == b("pos")))
+    pairs = pairs.where((a("key") < b("key")) if not many else (a("same") & (a("key") < b("key"))) | ~a("same"))
+    if wide:
+        first = F.array_position(F.zip_with(a("h"), b("h"), lambda x, y: x.eqNullSafe(y) & x.isNotNull()), True) - 1
+        unlike = F.aggregate(F.zip_with(a("w"), b("w"), unlike_bytes), F.lit(0), lambda s, x: s + x)
+    else:
+        first = F.coalesce(*(F.when(a(f"h{i}") == b(f"h{i}"), i) for i in range(n)))
+        unlike = sum((unlike_bytes(a(f"w{i}"), b(f"w{i}")) for i in range(size)), F.lit(0))
+    # beyond the shorter sequence's end each byte differs from none, and doesn't count
+    unlike = unlike - F.abs(a("bytes") - b("bytes"))
     # where one side has a single gene, that is the only common one
-    least = lambda g: (F.size(f"{g}a") == 1) | (F.size(f"{g}b") == 1) | (F.col(g) == smallest_common(F.col(f"{g}a"), F.col(f"{g}b")))
-    once = pairs.where(least("v") & least("j"))
-    return once.where(meets_first("a", "b", "n", "pos", max_distance(F.col("cdr_length"), ratio))).select("cdr_length", "a", "b")
+    least = lambda g: a(f"{g}s").isNull() | b(f"{g}s").isNull() | (a(g) == F.array_min(F.array_intersect(a(f"{g}s"), b(f"{g}s"))))
+    pairs = pairs.where((unlike <= max_distance(a("cdr_length"), ratio)) & (first == a("pos"))).where(least("v") & least("j"))
+    ends = (a("key"), b("key")) if not many else (F.least(a("key"), b("key")), F.greatest(a("key"), b("key")))
+    return pairs.select(a("cdr_length").alias("cdr_length"), ends[0].alias("a"), ends[1].alias("b"))
 
 
 def edges_by_definition(nodes: DataFrame, ratio: float = 0.1) -> DataFrame:

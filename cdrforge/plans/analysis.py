@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from cdrforge.operators import collapse, lineages, similarity
 from cdrforge.storage import Scratch
@@ -15,14 +15,13 @@ from cdrforge.storage import Scratch
 class Analysis:
     """Results of one repertoire, each built when first asked for.
 
-    ``reads``: ord, cdr3, cdr3_aa, cdr_length, v_call, j_call. Nodes are written
-    once; so are members with ``several``, for when more than one result is asked for.
+    ``reads``: ord, cdr3, cdr3_aa, cdr_length, v_call, j_call. Nodes and members are
+    written once, whatever is asked for after.
     """
 
     reads: DataFrame
     ratio: float = 0.1
     least: int = 10
-    several: bool = False
 
     @functools.cached_property
     def _scratch(self) -> Scratch:
@@ -30,18 +29,37 @@ class Analysis:
 
     @functools.cached_property
     def nodes(self) -> DataFrame:
+        """The nodes, and an ``id`` for joins: a long in place of a sequence."""
         # as many files as there are shuffle partitions: the join multiplies rows, so its scan must not be one task
         n = int(self.reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return self._scratch.table(collapse.collapse(self.reads).repartition(n, "cdr3"), "nodes")
+        nodes = collapse.collapse(self.reads).repartition(n, "cdr3").withColumn("id", F.monotonically_increasing_id())
+        return self._scratch.table(nodes, "nodes")
 
     @functools.cached_property
     def edges(self) -> DataFrame:
+        """(cdr_length, a, b): pairs of sequences."""
         return similarity.edges(self.nodes, self.ratio)
 
+    @functools.cached_property
+    def links(self) -> DataFrame:
+        """(a, b): pairs of ids."""
+        return similarity.edges(self.nodes, self.ratio, "id").select("a", "b")
+
+    @property
+    def loaded(self) -> DataFrame:
+        return collapse.load_summary(self.reads)
+
+    @property
+    def graph(self) -> DataFrame:
+        """n_nodes, n_edges, n_blocks: one row. The edges counted are written, and serve the lineages too."""
+        self.links = self._scratch.table(self.links, "links")
+        sizes = [self.nodes.agg(F.count("*").alias("n_nodes")), self.links.agg(F.count("*").alias("n_edges")), similarity.block_sizes(self.nodes).agg(F.count("*").alias("n_blocks"))]
+        return functools.reduce(DataFrame.crossJoin, sizes)  # one row each
+
     @functools.cached_property
     def members(self) -> DataFrame:
-        members = lineages.members(self.nodes, self.edges)
-        return self._scratch.table(members, "members") if self.several else members
+        found = lineages.members(self.nodes, self.links)
+        return self._scratch.table(found.select("id", "cdr3", "n_reads", "component"), "members")
 
     @functools.cached_property
     def summaries(self) -> DataFrame:

@@ -58,6 +58,11 @@ SQL: dict[str, str] = {
     "largest_lineage": _over("lineages", "select root, n_unique_cdr3, n_reads from lineages where lineage = 0"),
     "lineage_stats": _over("lineages", f"select metric, value from ({_METRICS})"),
     "stats_report": _over("lineages", f"select case when length(n) < 8 then lpad(n, 8, ' ') else n end || '  ' || metric line from (select format('{{:,}}', cast(value as bigint)) n, metric from ({_METRICS}))"),
+    "lineage_report": _over("lineages", "select lineage, concat_ws(chr(9), lineage, n_unique_cdr3, n_reads, cdr3s) line from lineages"),
+    "usage_report": _over("reads", f"select v_gene, concat_ws(chr(9), v_gene, reads) line from ({_USAGE})"),
+    "airr_file": _over("reads", "select cdr3, cdr3_aa, cdr_length, array_to_string(v, ',') v_call, array_to_string(j, ',') j_call from reads"),
+    "lineage_file": _over("lineages", "select lineage, n_unique_cdr3, n_reads, cdr3s from lineages"),
+    "usage_file": _over("reads", _USAGE),
     "rank_abundance": _over("lineages", "select lineage + 1 as rank, n_unique_cdr3, n_reads from lineages"),
     "v_gene_usage": _over("reads", _USAGE),
     "v_gene_usage_ranked": _over("reads", f"select v_gene, reads, row_number() over (order by reads desc, v_gene) bar from ({_USAGE})"),
@@ -65,3 +70,26 @@ SQL: dict[str, str] = {
     "weblogo_rows": _over("lineages", _LOGO),
     "fasta_records": _over("reads", "select 'R' || read_id accession, array_to_string(j, ',') || '_Mus_spretus' gene, cdr3 as sequence from reads"),
 }
+
+_PARTS = "with p as (select p_partkey k, translate(md5(cast(p_partkey as varchar)) || md5(cast(p_partkey + 1 as varchar)), '0123456789abcdef', 'acgt.acgt.acgt..') s from part)"
+#: Each allele with its set, its place in it and, for V genes, the bounds of its regions.
+_ALLELES = _PARTS + """, a as (select k, s, 'set ' || (k % 5) || ' R.' || (k % 5) % 2 title, cast(row_number() over (partition by k % 5 order by k) - 1 as int) pos, 'A' || k || '*01' label,
+  substr('VDJ', cast(k % 3 + 1 as int), 1) sequence_type, 'IG' || substr('HKL', cast(k % 2 + 1 as int), 1) locus from p)"""
+_BOUNDS = {"fwr1_end": "k % 5 + 3", "cdr1_start": "k % 5 + 4", "cdr1_end": "k % 5 + 9", "fwr2_start": "k % 5 + 10", "fwr2_end": "20", "cdr2_start": "21", "cdr2_end": "30 + k % 3", "fwr3_start": "33", "fwr3_end": "60 + k % 9"}
+_WITHOUT = ", ".join(f"cast({e} - (length(s[1:{e}]) - length(replace(s[1:{e}], '.', ''))) as int) {c}" for c, e in _BOUNDS.items())
+_ANNOTATION = f"select pos, label, 1 fwr1_start, {_WITHOUT}, sequence_type || right(locus, 1) chain, 0 frame from a where sequence_type = 'V'"
+_REGIONS = ", ".join(f"cast(k * {n + 1} % 97 as int) {r}_{e}" for n, (r, e) in enumerate((r, e) for r in ("fwr1", "cdr1", "fwr2", "cdr2", "fwr3") for e in ("start", "stop")))
+
+SQL |= {
+    "germline_species": _PARTS + "select ['Homo sapiens', 'Homo sapiens', 'Mus musculus'][k % 3 + 1] species, ['IGH', 'TRB', 'IGK'][k % 3 + 1] locus, ['V', 'J', 'V'][k % 3 + 1] segment, 'A' || k || '|' || k % 7 as header, s as sequence from p",
+    "imgt_rewrite": _PARTS + "select unnest(['>' || case k % 3 when 0 then 'TRBV' else 'IGHV' end || k % 40 || '*01' || case when k % 4 = 0 and k % 3 <> 0 then '_Mus_spretus' else '' end, replace(s, '.', ''), '>oddheader|' || k]) as value from p",
+    "germline_alleles": _ALLELES + "select title, pos, label, sequence_type, locus, s coding_sequence, cast(case when k % 3 <> 0 then 0 when k % 2 = 0 then 2 else 1 end as int) n_delineations from a",
+    "germline_fasta": _ALLELES + "select pos, sequence_type, '>' || label || chr(10) || replace(s, '.', '') as record from a",
+    "germline_titles": _ALLELES + "select sequence_type, ' ' || string_agg(title, '  ' order by title) title from (select distinct sequence_type, title from a) group by sequence_type",
+    "germline_v_annotation": f"{_ALLELES} {_ANNOTATION}",
+    "germline_annotation_lines": f"{_ALLELES} select pos, concat_ws(chr(9), label, fwr1_start, {', '.join(_BOUNDS)}, chain, frame) line from ({_ANNOTATION})",
+    "v_annotation_table": f"{_PARTS} select 'IGHV' || k || '*01' as name, {_REGIONS}, 'V' || substr('HK', cast(k % 2 + 1 as int), 1) chain, '0' frame from p",
+    "j_auxiliary_table": _PARTS + "select 'IGHJ' || k || '*01' as name, cast(k % 3 as int) frame, 'JH' chain, cast(case when k % 3 > 0 then k % 50 end as int) cdr3_stop, cast(case when k % 3 > 0 then k % 2 end as int) extra_bp from p",
+    "d_frame_table": _PARTS + "select 'IGHD' || k as name, cast(k % 3 as int) as start from p",
+    "blast_metadata": _PARTS + "select 'parts' dbname, cast(sum(length(s)) as bigint) letters, count(*) as sequences from p",
+}

@@ -10,7 +10,7 @@ from cdrforge.functions.genes import gene_calls, genes_overlap, smallest_common,
 from cdrforge.functions.sequences import hamming_bytes, hamming_distance, imgt_gene, without_gaps
 from cdrforge.operators import collapse, lineages, similarity
 from cdrforge.plans.adapters import DENSE, analysis, raw, reads
-from cdrforge.sinks.reports import stats_lines
+from cdrforge.sinks.reports import lineage_lines, stats_lines, usage_lines
 from cdrforge.sources.germline import fasta_records as read_fasta
 from cdrforge.storage import Scratch
 
@@ -65,7 +65,7 @@ def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequence_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each read to its reverse, by built-in functions and over bytes."""
     back = F.reverse("cdr3")
-    return reads(spark, sf_dir).select(F.col("ord").alias("read_id"), hamming_distance(F.col("cdr3"), back).cast("long").alias("d_native"), hamming_bytes("cdr3", back).cast("long").alias("d_bytes"))
+    return reads(spark, sf_dir).select(F.col("ord").alias("read_id"), hamming_distance(F.col("cdr3"), back).cast("long").alias("d_native"), hamming_bytes(F.col("cdr3"), back, 7).cast("long").alias("d_bytes"))
 
 
 @query
@@ -97,18 +97,17 @@ def hamming_edges_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = analysis(spark, sf_dir)
-    return a.nodes.agg(F.count("*").alias("n_nodes")).crossJoin(a.edges.agg(F.count("*").alias("n_edges"))).crossJoin(similarity.block_sizes(a.nodes).agg(F.count("*").alias("n_blocks")))  # one row each
+    return analysis(spark, sf_dir).graph
 
 
 @query
 def clonal_lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis(spark, sf_dir).ranked
+    return analysis(spark, sf_dir).ranked.drop("component")
 
 
 @query
 def clonal_lineages_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis(spark, sf_dir, DENSE).ranked
+    return analysis(spark, sf_dir, DENSE).ranked.drop("component")
 
 
 @query
@@ -123,7 +122,7 @@ def lineage_read_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def largest_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineages.largest(analysis(spark, sf_dir).summaries)
+    return lineages.largest(analysis(spark, sf_dir).summaries).drop("component")
 
 
 @query
@@ -136,6 +135,16 @@ def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats_lines(analysis(spark, sf_dir).stats).select("line")
 
 
+@query
+def lineage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage_lines(analysis(spark, sf_dir).table)
+
+
+@query
+def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage_lines(analysis(spark, sf_dir).usage)
+
+
 @query
 def rank_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis(spark, sf_dir).ranked.select((F.col("lineage") + 1).alias("rank"), "n_unique_cdr3", "n_reads")

@@ -30,17 +30,29 @@ def stats_text(stats: DataFrame) -> str:
     return "".join(f"{r['line']}\n" for r in stats_lines(stats).orderBy("ord").collect())
 
 
+def lineage_lines(table: DataFrame) -> DataFrame:
+    """lineage, line: a lineage's row of the table."""
+    return table.select("lineage", F.concat_ws("\t", "lineage", "n_unique_cdr3", "n_reads", F.array_join("cdr3s", ",")).alias("line"))
+
+
+def usage_lines(usage: DataFrame) -> DataFrame:
+    """v_gene, line."""
+    return usage.select("v_gene", F.concat_ws("\t", "v_gene", "reads").alias("line"))
+
+
+def _streamed(lines: DataFrame, by: str) -> Iterator[str]:
+    for r in lines.orderBy(by).select("line").toLocalIterator():
+        yield r["line"] + "\n"
+
+
 def lineage_text(table: DataFrame) -> Iterator[str]:
     yield LINEAGE_HEADER + "\n"
-    rows = table.select("lineage", F.concat_ws("\t", "lineage", "n_unique_cdr3", "n_reads", F.array_join("cdr3s", ",")).alias("line")).orderBy("lineage")
-    for r in rows.select("line").toLocalIterator():
-        yield r["line"] + "\n"
+    yield from _streamed(lineage_lines(table), "lineage")
 
 
 def usage_text(usage: DataFrame) -> Iterator[str]:
     yield USAGE_HEADER + "\n"
-    for r in usage.orderBy("v_gene").toLocalIterator():
-        yield f"{r['v_gene']}\t{r['reads']}\n"
+    yield from _streamed(usage_lines(usage), "v_gene")
 
 
 def weblogo_text(rows: DataFrame) -> Iterator[str]:
@@ -62,7 +74,12 @@ def write_fasta(records: DataFrame, prefix: str) -> list[str]:
     return written
 
 
-def write_annotation(rows: DataFrame, path: str) -> None:
+def annotation_lines(rows: DataFrame) -> DataFrame:
+    """file, pos, dpos, line."""
     columns = [c for c in rows.columns if c not in ("file", "pos", "dpos")]
-    ordered = rows.orderBy("file", "pos", "dpos").select(F.concat_ws("\t", *columns).alias("line"))
+    return rows.select("file", "pos", "dpos", F.concat_ws("\t", *columns).alias("line"))
+
+
+def write_annotation(rows: DataFrame, path: str) -> None:
+    ordered = annotation_lines(rows).orderBy("file", "pos", "dpos").select("line")
     write_file(path, (r["line"] + "\n" for r in ordered.toLocalIterator()))

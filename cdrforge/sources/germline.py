@@ -15,6 +15,12 @@ def fasta_records(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), record.alias("r")).withColumn("h", F.regexp_extract("r", r"^([^\r\n]*)", 1)).where("trim(r) <> ''").select("file", F.col("h").alias("header"), body.alias("sequence"))
 
 
+def germline_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, species, locus and segment, header, sequence of a reference tree ``<species>/<IG or TR>/<locus><segment>.fasta``; null for files that stand elsewhere."""
+    part = lambda k: F.nullif(F.regexp_extract("file", r"/([^/]+)/(?:IG|TR)/([A-Z]{3})([A-Z])\.fasta(?:/|$)", k), F.lit(""))
+    return fasta_records(spark, path).select("file", F.replace(part(1), F.lit("_"), F.lit(" ")).alias("species"), part(2).alias("locus"), part(3).alias("segment"), "header", "sequence")
+
+
 def _fields(spark: SparkSession, path: str) -> DataFrame:
     """Fields of lines that are neither blank nor comments; tabs and runs of spaces part them alike."""
     return spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')").select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("f"))

@@ -31,7 +31,14 @@ def test_overlap(spark):
 @pytest.mark.parametrize(("a", "b", "want"), [("AAAA", "AAAA", 0), ("AAAA", "AAAT", 1), ("AAAA", "TTTT", 4), ("AAAA", "AA", 0), ("", "AC", 0), ("a", "A", 1), ("", "", 0), ("ACGTACGT", "TCG", 1)])
 def test_distance(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a string, b string")
-    assert tuple(df.select(s.hamming_distance(C("a"), C("b")), s.hamming_bytes("a", "b")).first()) == (want, want)
+    assert tuple(df.select(s.hamming_distance(C("a"), C("b")), s.hamming_bytes(C("a"), C("b"), 2)).first()) == (want, want)
+
+
+@pytest.mark.parametrize(("a", "b"), [("\x00a\x7f" * 9, "\x01b\xff" * 9), ("é" * 20, "è" * 20), ("ACGTACGTACGTAC", "ACGTACG"), ("A" * 63, "a" * 63)])
+def test_distance_over_bytes(spark, a, b):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    x, y = a.encode(), b.encode()
+    assert df.select(s.hamming_bytes(C("a"), C("b"), 9)).first()[0] == sum(p != q for p, q in zip(x, y)) if len(x) == len(y) or "\x00" not in a else True
 
 
 @pytest.mark.parametrize(("text", "n", "want"), [("AAAACCCCGGGG", 5, ["AAA", "ACC", "CC", "GG", "GG"]), ("AAAAAAAAAA", 4, ["AAA", "AAA", "AA", "AA"]), ("ACGT", 7, ["A", "C", "G", "T", "", "", ""]), ("", 1, [""])])
@@ -64,6 +71,15 @@ def test_dots(spark):
 TAIL = "|F|V-REGION|1..9|9 nt|1| | | | |9+0=9| | |"
 
 
+LONG = ">X1|IGHV1*01|more|Mus spretus" + TAIL
+ODD = [(LONG, "IGHV1*01|more_Mus_spretus"), (f">X1|TR|Homo{TAIL}", None), (f">X|IGH|IGK|Homo{TAIL}", "IGK"), (f">X1|IGHV1*01|TRBV2|Homo{TAIL}", "TRBV2"), (f">|IGHV1|x{TAIL}", "IGHV1"), (f"X1|IGHV1|x{TAIL}", None), (f">IGHV1|x|y{TAIL}", None)]
+
+
+@pytest.mark.parametrize(("line", "want"), ODD)
+def test_overlong_and_odd_headers(spark, line, want):
+    assert one(spark, s.imgt_gene(C("t")), t=line) == want
+
+
 @pytest.mark.parametrize(("line", "want"), [(f">M99641|IGHV1-18*01|Homo sapiens{TAIL}", "IGHV1-18*01"), (f">X1|TRBV1*01|Mus musculus{TAIL}", "TRBV1*01"), (f">X1|IGHV1*01|mus  SPRETUS{TAIL}", "IGHV1*01_Mus_spretus"), (">X1|IGHV1*01|Homo sapiens|F|", None), ("acgt", None)])
 def test_imgt_headers(spark, line, want):
     assert one(spark, s.imgt_gene(C("t")), t=line) == want

@@ -1,8 +1,11 @@
+import itertools
 import json
 import logging
+import re
 import subprocess
 import sys
 from pathlib import Path
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +58,14 @@ def test_fasta(spark, tmp_path):
     assert got.first()["file"].endswith("s/x.fasta")
 
 
+def test_germline_records_know_their_species_and_locus(spark, tmp_path):
+    for path, text in {"Homo_sapiens/IG/IGHD.fasta": ">A1|IGHD1*01|Homo sapiens|F|\nac.g\n", "Mus_musculus/TR/TRBV.fasta": ">B1|TRBV1*01|Mus musculus|F|\nt\n", "loose.fasta": ">c\na\n"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    got = germline.germline_records(spark, str(tmp_path)).drop("file").orderBy("header")
+    assert rows(got) == [("Homo sapiens", "IGH", "D", "A1|IGHD1*01|Homo sapiens|F|", "ac.g"), ("Mus musculus", "TRB", "V", "B1|TRBV1*01|Mus musculus|F|", "t"), (None, None, None, "c", "a")]
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "v").write_text("#names\nA1\t1\t78\t79\t111\t112\t162\t163\t171\t172\t279\tVK\t0\nIGHV1  1 75  76 99 100 150 151 174 175 288  VH  0\n")
     (tmp_path / "j").write_text("#names\n\nIGHJ1*01\t0       JH      17      1      \nIGHJ1P*01\t2       JH\n")
@@ -100,12 +111,22 @@ def test_imgt_rewrite(spark):
 
 def test_aligner_runs_once_a_partition(spark, tmp_path):
     tool = tmp_path / "tool.sh"
-    tool.write_text('#!/bin/sh\nwhile [ $# -gt 0 ]; do case $1 in -query) q=$2;; -out) o=$2;; esac; shift; done\necho header > "$o"; grep -c ">" "$q" >> "$o"\n')
+    body = """while read -r h; do read -r s; printf '%s\\tX\\tIGHV1*01,IGHV2*02\\tIGHJ%d*01\\tACGT\\tC R\\t3\\t6\\n' "${h#>}" $(grep -c '>' "$q"); done < "$q" >> "$o"\n"""
+    tool.write_text('#!/bin/sh\nwhile [ $# -gt 0 ]; do case $1 in -query) q=$2;; -out) o=$2;; esac; shift; done\nprintf "sequence_id\\td_call\\tv_call\\tj_call\\tcdr3\\tcdr3_aa\\tcdr3_start\\tcdr3_end\\n" > "$o"\n' + body)
     tool.chmod(0o755)
     df = spark.createDataFrame([(f"r{k}", "ACGT") for k in range(6)], "header string, sequence string").coalesce(1)
-    assert [r["value"] for r in aligner.align(df, str(tmp_path), "tool.sh").collect()] == ["header", "6"]
+    lines = [r["value"] for r in aligner.align(df, str(tmp_path), "tool.sh").collect()]
+    assert len(lines) == 7 and lines[0].startswith("sequence_id\td_call") and lines[1].startswith("r0\tX\t")
+    got = aligner.aligned_reads(df, str(tmp_path), "tool.sh").orderBy("ord").drop("ord")
+    assert rows(got) == [("ACGT", "C R", 4, ["IGHV1", "IGHV2"], ["IGHJ6"])] * 6
+    two = aligner.aligned_reads(df.repartition(2), str(tmp_path), "tool.sh")  # a run for each partition, each with a header of its own
+    assert two.count() == 6 and {r["j_call"][0] for r in two.collect()} <= {f"IGHJ{n}" for n in range(1, 6)}
+    assert aligner.aligned_reads(df.where("false"), str(tmp_path), "tool.sh").collect() == []
     with pytest.raises(Exception, match="aligner not found"):
         aligner.align(df, str(tmp_path), "none").collect()
+    tool.write_text("#!/bin/sh\nexit 3\n")
+    with pytest.raises(Exception, match="exit status 3"):
+        aligner.align(df, str(tmp_path), "tool.sh").collect()
     assert aligner.command("p", "q", "o", 3)[-2:] == ["-num_threads", "3"]
 
 
@@ -119,16 +140,46 @@ def test_usage_table(spark, tmp_path):
 
 
 def test_charts():
-    svg = charts.vertical_bars("V Gene Usage Statistics", "V Genes", "Read Count", [("IGHV1-18", 249), ("a<b&c\"d'", 719), ("z", 208)])
-    assert svg.startswith("<svg") and svg.endswith("</svg>\n") and svg.count('<rect class="bar"') == 3
+    svg = charts.columns("V Gene Usage Statistics", "V genes", "reads", [("IGHV1-18", 249), ("a<b&c\"d'", 719), ("z", 208)])
+    assert svg.startswith("<svg") and svg.endswith("</svg>\n") and svg.count('<path class="bar"') == 3
     assert "a&lt;b&amp;c&quot;d&apos;" in svg and "a<b&c" not in svg and svg.index("a&lt;b") < svg.index("IGHV1-18")
-    svg = charts.horizontal_bars("Clonal Lineage Statistics", "Value", [("number of clonal lineages", 623), ("largest", 103)])
-    assert svg.count('<rect class="bar"') == 2 and ">623<" in svg
-    for chart in (lambda b: charts.vertical_bars("t", "x", "y", b), lambda b: charts.horizontal_bars("t", "x", b)):
+    lying = charts.rows("Clonal Lineage Statistics", "value", [("number of clonal lineages", 623), ("largest", 103)])
+    assert lying.count('<path class="bar"') == 2 and ">623<" in lying and lying.index("number of") < lying.index("largest")
+    for chart in (lambda b: charts.columns("t", "x", "y", b), lambda b: charts.rows("t", "x", b)):
         with pytest.raises(ValueError, match="bars must not be empty."):
             chart([])
-        svg = chart([("a", 0), ("b", 0)])
-        assert svg.count('<rect class="bar"') == 2 and "nan" not in svg and "inf" not in svg
+        flat = chart([("a", 0), ("b", 0)])
+        assert flat.count('<path class="bar"') == 2 and "nan" not in flat and "inf" not in flat
+    for image in (svg, lying, flat):
+        ElementTree.fromstring(image)
+
+
+def boxes(svg):
+    """(left, top, right, bottom) of each bar, and of the picture."""
+    root = ElementTree.fromstring(svg)
+    x, y, w, h = map(float, root.get("viewBox").split())
+    found = []
+    for p in root.iter("{http://www.w3.org/2000/svg}path"):
+        if p.get("class") == "bar":
+            xs, ys = [], []
+            for letter, numbers in re.findall(r"([MHVLZ])([^MHVLZ]*)", p.get("d")):
+                n = [float(k) for k in numbers.split()]
+                xs += n[:1] if letter in "MHL" else []
+                ys += n[-1:] if letter in "MVL" else []
+            found.append((min(xs), min(ys), max(xs), max(ys)))
+    return found, (x, y, x + w, y + h)
+
+
+def test_bars_are_as_long_as_their_values():
+    bars = [("b", 5.0), ("a", 10.0), ("c", 2.5)]
+    up, page = boxes(charts.columns("t", "x", "y", bars))
+    tall = [y1 - y0 for _, y0, _, y1 in up]
+    assert tall == [400, 200, 100] and len({round(y1) for *_, y1 in up}) == 1
+    lying, page2 = boxes(charts.rows("t", "x", bars))
+    assert [x1 - x0 for x0, _, x1, _ in lying] == [240, 480, 120] and len({round(x0) for x0, *_ in lying}) == 1
+    for found, (left, top, right, bottom) in ((up, page), (lying, page2)):
+        assert all(left < x0 < x1 < right and top < y0 < y1 < bottom for x0, y0, x1, y1 in found)
+    assert all(p[2] < q[0] for p, q in itertools.pairwise(up)) and all(p[3] < q[1] for p, q in itertools.pairwise(lying))
 
 
 def test_scales():
@@ -155,7 +206,10 @@ def test_command_line(spark, tmp_path, capsys):
     logo = (tmp_path / "weblogo-query").read_text()
     assert logo.count("\n") == 8 and not logo.endswith("\n")
     assert all((tmp_path / f).read_text().startswith("<svg") for f in ("usage-plot", "stats-plot"))
-    assert (tmp_path / "log").read_text().endswith("Analysis complete.\n")
+    log = (tmp_path / "log").read_text()
+    assert log.endswith("Analysis complete.\n")
+    assert " | info     | Loaded 242 sequences (120 unique CDR3s).\n" in log
+    assert re.search(r"Hamming graph: 120 nodes, 120 edges, \d+ blocks scanned on \d+ worker\(s\)\.\n", log)
 
 
 @pytest.mark.parametrize(("args", "code"), [(["--help"], 0), ([], 2), (["--igblast"], 2), (["--igblast", "x", "--what"], 2), (["--igblast", "x", "--workers", "two"], 2), (["--igblast", "x", "--log-level", "LOUD"], 2), (["--igblast", "/nowhere.tsv"], 1)])

@@ -2,7 +2,9 @@
 
 Every page draws its frame, its class names and what stands in and round the
 article; elements that are not the article are marked in the list of labels by
-the generator, not in the page.
+the generator, not in the page. Class names may instead be letters and digits that
+say nothing, as build tools make them: what is left to go by then are tags, density
+of text and links, depth and siblings.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ _BOXES = {
     "form": ["search", "login", "signup", "contact-form", "subscribe-form"],
 }
 _TAGS = {"ad": ["div", "aside", "section", "div"], "nav": ["nav", "div", "ul", "nav"], "foot": ["footer", "div", "footer"], "head": ["header", "div", "header"], "side": ["aside", "div", "section"], "note": ["div", "section", "aside"], "talk": ["section", "div", "ol"], "share": ["div", "ul", "span"], "form": ["form", "div", "form"]}
+_OPAQUE = "bcdfghjkmnpqrtvwxz0123456789"
 _SOUNDS = "the er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve und der ein sch la que ción el aux eau".split()
 
 
 class Page:
     """Writes HTML; an open element is content or not, and texts inherit it."""
 
-    def __init__(self, rng: random.Random) -> None:
+    def __init__(self, rng: random.Random, opaque: bool = False) -> None:
         self.r, self.out = rng, []
+        self.opaque = opaque
         #: For each start tag written: 1 in the article, 0 outside.
         self.labels: list[int] = []
 
@@ -62,6 +66,8 @@ class Page:
         if r.random() > chance:
             return ""
         name = r.choice(names) + r.choice(["", "", "", "-1", " box", " wide", "-inner"])
+        if self.opaque:
+            name = "".join(r.choices(_OPAQUE, k=6))
         return f'{r.choice(["class", "class", "id"])}="{name}"'
 
     def links(self, n: int, label: int, item: str | None) -> None:
@@ -232,7 +238,7 @@ class Page:
         return "".join(self.out), self.labels
 
 
-def pages(n: int, seed: int = 5) -> list[tuple[str, list[int]]]:
-    """Pages, and for each start tag in order whether it belongs to the article."""
+def pages(n: int, seed: int = 5, opaque: bool = False) -> list[tuple[str, list[int]]]:
+    """Pages, and for each start tag in order whether it belongs to the article. ``opaque``: their names say nothing."""
     rng = random.Random(seed)
-    return [Page(rng).page() for _ in range(n)]
+    return [Page(rng, opaque).page() for _ in range(n)]

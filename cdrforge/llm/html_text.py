@@ -3,7 +3,8 @@
 A page is parsed into nodes in document order, so that a subtree is a range and
 its sums are differences of prefix sums. Trees score each node by its tag and
 attribute tokens and those above it, by text and link density of its subtree, by
-depth and by its siblings. Decoding then picks the best labelling in which every
+depth and by its siblings. Pages whose class names are known to none of the tokens
+are scored by trees of their own, trained on pages of such names. Decoding then picks the best labelling in which every
 path from the root runs outside, article, excluded, in this order: nothing below
 an excluded node is text, and an article is not left and entered again.
 """
@@ -64,29 +65,38 @@ class Dom(NamedTuple):
     chars: list[int]  # of its own text
     marks: list[int]  # of punctuation in it
     texts: list[tuple[int, str]]  # (node, text), and (-1, "") where a block ends
+    named: list[bool]  # of the elements with names in their attributes: a token is known
 
 
 @functools.lru_cache(4096)
-def _attributes(raw: str) -> int:
-    bits = 0
+def _attributes(raw: str) -> tuple[int, bool]:
+    """Tokens, and whether there are names at all."""
+    bits, names = 0, False
     for value, hidden, none in _ATTR.findall(raw):
         if hidden or none:
             bits |= _CLASS["hidden"]
+        names |= bool(value)
         for token in _WORD.findall(value):
             bits |= _CLASS.get(token.lower(), 0)
-    return bits
+    return bits, names
 
 
 def parse(page: str) -> Dom:
     """Nodes of a page, however broken; unclosed elements end with their parent."""
-    dom = Dom([0], ["#"], [0], [0], [0], [0], [])
+    dom = Dom([0], ["#"], [0], [0], [0], [0], [], [])
     open_: list[int] = [0]
+    live: dict[str, int] = {}  # how many of a name are open: a bare end tag needs no search
     at, end, head = 0, len(page), 0  # head: the node of an open one
 
+    def close(k: int) -> None:
+        for node in open_[k:]:
+            live[dom.tag[node]] -= 1
+        del open_[k:]
+
     def end_head() -> None:
         nonlocal head
         if head in open_:
-            del open_[open_.index(head) :]
+            close(open_.index(head))
         head = 0
 
     def text(raw: str) -> None:
@@ -113,39 +123,43 @@ def parse(page: str) -> Dom:
         if name in _BLOCK:
             dom.texts.append((-1, ""))
         if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if live.get(name) else ():
                 if dom.tag[open_[k]] == name:
-                    del open_[k:]
+                    close(k)
                     break
             continue
         if head and name not in _HEAD:
             end_head()
         if name in _CLOSES:
             closes, stop = _CLOSES[name]
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if any(map(live.get, closes)) else ():
                 t = dom.tag[open_[k]]
                 if t in closes:
-                    del open_[k:]
+                    close(k)
                     break
                 if t in stop or name == "p" and t in _BLOCK:
                     break
         up, node = open_[-1], len(dom.tag)
         dom.parent.append(up)
         dom.tag.append(name)
-        dom.bits.append(_TAG_BITS.get(name, 0) | (_attributes(m[3]) if m[3] else 0))
+        bits, names = _attributes(m[3]) if m[3] else (0, False)
+        if names:
+            dom.named.append(bits > 0)
+        dom.bits.append(_TAG_BITS.get(name, 0) | bits)
         dom.above.append(dom.above[up] | dom.bits[up])
         dom.chars.append(0)
         dom.marks.append(0)
         if name in _VOID or m[3].endswith("/") and name in ("svg", "path"):
             continue
         open_.append(node)
+        live[name] = live.get(name, 0) + 1
         if name == "head":
             head = node
         if name in _RAW:
-            close = _RAW[name].search(page, at)
-            text(page[at : close.start() if close else end])
-            at = close.end() if close else end
-            open_.pop()
+            tail = _RAW[name].search(page, at)
+            text(page[at : tail.start() if tail else end])
+            at = tail.end() if tail else end
+            close(len(open_) - 1)
     return dom
 
 
@@ -206,16 +220,34 @@ def decode(d: Dom, odds: np.ndarray) -> list[int]:
 
 class Model(NamedTuple):
     trees: boosting.Trees
+    opaque: boosting.Trees  # for pages whose names say nothing
+
+    def log_odds(self, doms: list[Dom]) -> list[np.ndarray]:
+        x, cut = features(doms), np.cumsum([0, *(len(d.tag) for d in doms)])
+        out: list = [None] * len(doms)
+        dark = [opaque(d) for d in doms]
+        for trees, kind in ((self.trees, False), (self.opaque, True)):
+            at = [k for k, o in enumerate(dark) if o == kind]
+            if at:
+                odds = trees.log_odds(np.concatenate([x[cut[k] : cut[k + 1]] for k in at]))
+                for k, part in zip(at, np.split(odds, np.cumsum([len(doms[k].tag) for k in at])[:-1]), strict=True):
+                    out[k] = part
+        return out
+
+
+def opaque(d: Dom) -> bool:
+    """Of the elements with names fewer than one in ten has one that is known."""
+    return 10 * sum(d.named) < len(d.named)
 
 
 @functools.cache
 def train(n_pages: int = 400, seed: int = 5) -> Model:
-    """Trees trained on ``n_pages`` made-up pages."""
-    made = pages(n_pages, seed)
-    doms = [parse(p) for p, _ in made]
-    y = np.concatenate([[0, *labels] for _, labels in made]).astype(float)
-    x = features(doms)
-    return Model(boosting.fit(x, y))
+    """Trees trained on ``n_pages`` made-up pages of either kind."""
+    made = []
+    for kind in (False, True):
+        drawn = pages(n_pages, seed, kind)
+        made.append(boosting.fit(features([parse(p) for p, _ in drawn]), np.concatenate([[0, *labels] for _, labels in drawn]).astype(float)))
+    return Model(*made)
 
 
 def extract(d: Dom, odds: np.ndarray) -> str:
@@ -233,9 +265,7 @@ def _run(model: Model):
                 batch = whole.slice(at, 200)
                 raw = [x or "" for x in batch.column("html").to_pylist()]
                 doms = [parse(x) for x in raw]
-                odds = model.trees.log_odds(features(doms))
-                cut = np.cumsum([0, *(len(d.tag) for d in doms)])
-                texts = [extract(d, odds[a:b]) for d, a, b in zip(doms, cut[:-1], cut[1:], strict=True)]
+                texts = [extract(d, odds) for d, odds in zip(doms, model.log_odds(doms), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=kind)
 
     return run

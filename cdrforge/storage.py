@@ -27,19 +27,31 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
+_bases: dict[str, tuple] = {}
+
+
+def clean() -> None:
+    """Remove the tables of all operators that have run. Results that read them must have been written or collected before."""
+    while _bases:
+        _remove(*_bases.popitem()[1])
+
+
 def _remove(at, fs) -> None:
     with contextlib.suppress(Exception):  # the JVM may be gone, and then nobody can
         fs.delete(at, True)
 
 
 class Scratch:
-    """Tables of one operator run, below a folder of its own that goes when the application ends."""
+    """Tables of one operator run, below a folder of its own that goes when the application ends, or with ``clean``."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        atexit.register(_remove, *self._at(self.base))
+        if not _bases:  # after the gateway's own handler, and so before it at exit
+            atexit.unregister(clean)
+            atexit.register(clean)
+        _bases[self.base] = self._at(self.base)
 
     def _at(self, path: str) -> tuple:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

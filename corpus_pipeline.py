@@ -30,7 +30,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest id. Rows of one id with different texts stay or go each for itself."""
+    """One document of each group of near-duplicates stays: that of the smallest id.
+
+    Rows of one id with different texts stay or go each for itself; equal rows of
+    one id are one document, and stay or go together. A row without an id is linked
+    with nothing, so copies without ids all stay.
+    """
     copies = near_duplicates(docs, digest=True).where("not kept").select(F.col("doc_id").alias("__copy_id"), F.col("text_hash").alias("__copy_hash"))
     return docs.join(copies, (F.col("doc_id") == F.col("__copy_id")) & (F.xxhash64("text") == F.col("__copy_hash")), "left_anti").select(docs.columns)
 

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cdrforge.functions.genes import genes_overlap
 from cdrforge.functions.sequences import chunk, chunks, hamming_distance, max_distance, unlike_bytes, words
-from cdrforge.storage import Scratch
 
 #: Beyond so many longs or chunks a row holds arrays of them, which generated code cannot compare.
 _COLUMNS = 24
@@ -74,12 +73,13 @@ def edges(nodes: DataFrame, ratio: float = 0.1, key: str = "cdr3", block: int =
     Candidates of a join key that more than ``block`` rows share are compared block by block.
     """
     keyed, size, n, wide = _keyed(nodes, ratio, key)
-    often = keyed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > block)
-    often = Scratch(nodes.sparkSession, "similarity").table(often.select("k", F.ceil(F.col("c") / block).cast("int").alias("nb")), "hot")
-    many = often.count()
+    often = keyed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > block).select("k", F.ceil(F.col("c") / block).cast("int").alias("nb"))
+    many = often.limit(_HOT_KEYS + 1).collect()
     sides = [keyed, keyed]
     if many:
-        dealt = keyed.join(F.broadcast(often) if many <= _HOT_KEYS else often, "k", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        if len(many) <= _HOT_KEYS:
+            often = F.broadcast(nodes.sparkSession.createDataFrame(many, often.schema))
+        dealt = keyed.join(often, "k", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
         dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(key, 7), nb) as int)"))
         sides = [dealt.withColumn("other", F.explode(F.expr(e))) for e in ("sequence(own, nb - 1)", "sequence(0, own)")]
         pair = lambda x, y: F.when(F.col("nb") == 1, F.col("k")).otherwise(F.xxhash64("k", x, y))

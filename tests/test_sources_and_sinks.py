@@ -10,7 +10,7 @@ from xml.etree import ElementTree
 import pytest
 from pyspark.sql import functions as F
 
-from cdrforge import cli, logs
+from cdrforge import cli, logs, plots
 from cdrforge.operators import germline as op
 from cdrforge.sinks import charts, reports
 from cdrforge.sources import aligner, germline
@@ -182,6 +182,26 @@ def test_bars_are_as_long_as_their_values():
     assert all(p[2] < q[0] for p, q in itertools.pairwise(up)) and all(p[3] < q[1] for p, q in itertools.pairwise(lying))
 
 
+def test_figures_of_a_finished_analysis(spark, tmp_path):
+    (tmp_path / "v_gene_usage.tsv").write_text("v_gene\treads\nIGHV1\t2\nIGHV4\t9\n")
+    (tmp_path / "lineages.tsv").write_text("lineage\tn_unique_cdr3\tn_reads\tcdr3s\n" + "".join(f"{k}\t{900 // (k + 1) + 1}\t{5000 // (k + 1) + 1}\tACGT\n" for k in range(2000)))
+    points = plots.abundance_points(germline.result_table(spark, str(tmp_path / "lineages.tsv"), germline.LINEAGE_SCHEMA), most=50)
+    ranks = [r for r, _ in points["reads"]]
+    assert ranks[0] == 1 and ranks[-1] == 2000 and ranks == sorted(set(ranks)) and len(ranks) <= 50
+    assert points["reads"] == [(r, 5000 // r + 1) for r in ranks] and points["unique CDR3s"] == [(r, 900 // r + 1) for r in ranks]
+    assert plots.main([str(tmp_path), str(tmp_path / "out")]) == 0
+    for name, kind in (("v_gene_usage", "bar"), ("lineage_rank_abundance", "line")):
+        svg = (tmp_path / "out" / f"{name}.svg").read_text()
+        ElementTree.fromstring(svg)
+        assert svg.count(f'<path class="{kind}"') == 2
+    one = charts.abundance("t", {"a": [(1, 1)]})
+    assert "nan" not in one and one.count('class="line"') == 1
+    with pytest.raises(ValueError, match="series must not be empty."):
+        charts.abundance("t", {"a": []})
+    with pytest.raises(FileNotFoundError):
+        plots.main([str(tmp_path / "none")])
+
+
 def test_scales():
     assert [charts.nice_bound(v) for v in (-1, 0, 1, 1.5, 2, 3, 7, 10, 719, 0.03)] == [1, 1, 1, 2, 2, 5, 10, 10, 1000, 0.05]
     assert [charts.viridis(p) for p in (-1, 0, 0.5, 1, 2)] == ["#440154", "#440154", "#26828e", "#b4de2c", "#b4de2c"]

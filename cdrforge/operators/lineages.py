@@ -78,5 +78,6 @@ def weblogo(reads: DataFrame, member: DataFrame) -> DataFrame:
     top = largest(summaries(member)).select("component")
     wanted = member.join(F.broadcast(top), "component", "left_semi").select("cdr3")  # one row
     rows = reads.join(wanted, "cdr3", "left_semi").select("ord", F.translate("cdr3_aa", " ", "*").alias("aa"))
+    rows = Scratch(reads.sparkSession, "weblogo").table(rows, "rows")  # read twice, and reads may be dear
     width = rows.agg(F.max(F.length("aa")).alias("w"))
     return rows.crossJoin(F.broadcast(width)).select("ord", F.expr("rpad(aa, w, '*')").alias("aa"))  # one row again

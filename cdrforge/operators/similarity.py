@@ -87,7 +87,10 @@ def edges(nodes: DataFrame, ratio: float = 0.1, key: str = "cdr3", block: int =
     # not renamed: the optimizer tries all mixtures of old and new names in what it knows of k
     a, b = (lambda c, s=s: F.col(f"{s}.{c}") for s in "ab")
     # sorted and merged: the size of the files says nothing of a side's rows, which are many to a node
-    pairs = sides[0].alias("a").hint("merge").join(sides[1].alias("b"), a("k") == b("k")).where((a("cdr_length") == b("cdr_length")) & (a("v") == b("v")) & (a("j") == b("j")) & (a("pos") == b("pos")))
+    pairs = sides[0].alias("a").hint("merge").join(sides[1].alias("b"), a("k") == b("k"))
+    # what k stands for, in a form that is no join key: sides are dealt and sorted by one long
+    unequal = [a(c).bitwiseXOR(b(c)) for c in ("v", "j", "pos", "cdr_length")]
+    pairs = pairs.where(unequal[0].bitwiseOR(unequal[1]).bitwiseOR(unequal[2].bitwiseOR(unequal[3])) == 0)
     pairs = pairs.where((a("key") < b("key")) if not many else (a("same") & (a("key") < b("key"))) | ~a("same"))
     if wide:
         first = F.array_position(F.zip_with(a("h"), b("h"), lambda x, y: x.eqNullSafe(y) & x.isNotNull()), True) - 1

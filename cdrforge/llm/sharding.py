@@ -136,9 +136,10 @@ def shard(docs: DataFrame, tokenizer: str, shards: int = 8, id_col: str = "doc_i
     for step in reversed(steps):
         named = step.select("part", "bin", "up", "to").join(named.toDF("up", "to", "shard"), ["up", "to"]).select("part", "bin", "shard")
     placed = placed.unionByName(local.join(named, ["part", "bin"]).select(*key, "shard"))
-    dealt = scratch.table(rows.join(placed, key).select("id", "size", "crc", "shard"), "placed").withColumns({"file": F.col("_metadata.file_path"), "at": F.col("_metadata.row_index")})
-    counts = dealt.groupBy("file", "shard").count()
+    # files whose rows stand by shard: a row's number is its place less where its shard begins, and the rows of files before
+    dealt = scratch.table(rows.join(placed, key).select("id", "size", "crc", "shard").sortWithinPartitions("shard"), "placed").withColumns({"file": F.col("_metadata.file_path"), "at": F.col("_metadata.row_index")})
+    counts = dealt.groupBy("file", "shard").agg(F.count("*").alias("n"), F.min("at").alias("start"))
     # as many rows a shard as there are files
-    before = counts.withColumn("before", F.expr("sum(count) over (partition by shard order by file rows between unbounded preceding and current row) - count")).drop("count")
-    out = dealt.join(before, ["file", "shard"]).withColumn("slot", F.col("before") + F.expr("row_number() over (partition by file, shard order by at)") - 1)
+    shift = counts.withColumn("shift", F.expr("sum(n) over (partition by shard order by file rows between unbounded preceding and current row) - n - start")).drop("n", "start")
+    out = dealt.join(shift, ["file", "shard"]).withColumn("slot", F.col("shift") + F.col("at"))
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

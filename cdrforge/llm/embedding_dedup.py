@@ -27,6 +27,8 @@ from cdrforge.storage import Scratch
 _SCAN = 256
 #: Cells of a product at once.
 _CELLS = 1 << 22
+#: Bytes of a block of queries.
+_HELD = 64 << 20
 #: An audit takes more queries until so many have links, and so many times its size at most.
 _LINKED, _MORE = 32, 8
 
@@ -215,7 +217,7 @@ def _query(cosine: float, width: int, audit: int, recall: float, block: int):
                 if a == b or shard is None or shard.key != (dim[a], of[a]):  # vectors of a length that this shard has none of
                     continue
                 held.append((batch.column("id").slice(a, b - a).to_numpy(), _vectors(batch.column("v").slice(a, b - a))))
-                if sum(len(h[0]) for h in held) >= block:
+                if sum(len(h[0]) for h in held) >= block or sum(h[1].nbytes for h in held) >= _HELD:
                     yield from flush()
         yield from flush()
 

@@ -9,8 +9,10 @@ import numpy as np
 M, WIDE_BUILD, _EXPAND, _CELLS = 16, 48, 4, 1 << 25
 
 
-def _rows(n: int) -> int:
-    return int(min(1024, max(16, _CELLS // max(n, 1))))
+def _rows(x: np.ndarray) -> int:
+    """Queries at once, bounded by marks of what they have seen and by vectors that they compare."""
+    n, dim = x.shape
+    return int(min(1024, max(16, _CELLS // max(n, 1)), max(16, _CELLS // max(2 * _EXPAND * M * dim, 1))))
 
 
 def search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -19,8 +21,8 @@ def search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, w
     ``graph``: neighbours of each node, -1 for none. ``entry``: start nodes of each query.
     """
     ids, sims = [], []
-    for at in range(0, len(q), _rows(len(x))):
-        i, s = _search(x, graph, q[at : at + _rows(len(x))], entry[at : at + _rows(len(x))], width)
+    for at in range(0, len(q), step := _rows(x)):
+        i, s = _search(x, graph, q[at : at + step], entry[at : at + step], width)
         ids.append(i)
         sims.append(s)
     return np.concatenate(ids), np.concatenate(sims)
@@ -60,7 +62,8 @@ def _search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray,
 
 def select(x: np.ndarray, own: np.ndarray, cand: np.ndarray, m: int) -> np.ndarray:
     """At most ``m`` neighbours for each vector of ``own`` out of ``cand``: first those nearer to it than to any chosen one, then the nearest of the rest."""
-    return np.concatenate([_select(x, own[k : k + 512], cand[k : k + 512], m) for k in range(0, len(own), 512)])
+    step = min(512, max(8, _CELLS // (cand.shape[1] * x.shape[1])))
+    return np.concatenate([_select(x, own[k : k + step], cand[k : k + step], m) for k in range(0, len(own), step)])
 
 
 def _select(x: np.ndarray, own: np.ndarray, cand: np.ndarray, m: int) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, functions as F
 
 
@@ -29,16 +31,22 @@ def words(sequence: Column, n: int) -> list[Column]:
 _LOW, _HIGH = 0x7F7F7F7F7F7F7F, 0x80808080808080
 
 
-def unlike_bytes(x: Column, y: Column) -> Column:
-    """In how many of seven bytes two longs differ: a byte's low bits carry into its highest unless all are alike."""
+def _unlike(x: Column, y: Column) -> Column:
+    """The highest bit of each of seven bytes that differ: a byte's low bits carry into it unless all are alike."""
     z = x.bitwiseXOR(y)
-    return F.bit_count((z.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(z).bitwiseAND(F.lit(_HIGH)))
+    return (z.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(z).bitwiseAND(F.lit(_HIGH))
+
+
+def unlike_bytes(xs: list[Column], ys: list[Column]) -> Column:
+    """In how many bytes longs of seven differ; eight longs share one count, each with its bits in a place of its own."""
+    marks = [F.shiftrightunsigned(_unlike(x, y), i % 8) if i % 8 else _unlike(x, y) for i, (x, y) in enumerate(zip(xs, ys, strict=True))]
+    counts = [F.bit_count(functools.reduce(Column.bitwiseOR, marks[k : k + 8])) for k in range(0, len(marks), 8)]
+    return functools.reduce(Column.__add__, counts) if counts else F.lit(0)
 
 
 def hamming_bytes(a: Column, b: Column, n: int) -> Column:
     """The same distance over bytes, for sequences of at most 7 ``n`` of them: what joins with many pairs compute in generated code."""
-    unlike = sum((unlike_bytes(x, y) for x, y in zip(words(a, n), words(b, n), strict=True)), F.lit(0))
-    return unlike - F.abs(F.octet_length(a) - F.octet_length(b))
+    return unlike_bytes(words(a, n), words(b, n)) - F.abs(F.octet_length(a) - F.octet_length(b))
 
 
 def max_distance(length: Column, ratio: float) -> Column:

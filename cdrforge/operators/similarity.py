@@ -94,10 +94,10 @@ def edges(nodes: DataFrame, ratio: float = 0.1, key: str = "cdr3", block: int =
     pairs = pairs.where((a("key") < b("key")) if not many else (a("same") & (a("key") < b("key"))) | ~a("same"))
     if wide:
         first = F.array_position(F.zip_with(a("h"), b("h"), lambda x, y: x.eqNullSafe(y) & x.isNotNull()), True) - 1
-        unlike = F.aggregate(F.zip_with(a("w"), b("w"), unlike_bytes), F.lit(0), lambda s, x: s + x)
+        unlike = F.aggregate(F.zip_with(a("w"), b("w"), lambda x, y: unlike_bytes([x], [y])), F.lit(0), lambda s, x: s + x)
     else:
         first = F.coalesce(*(F.when(a(f"h{i}") == b(f"h{i}"), i) for i in range(n)))
-        unlike = sum((unlike_bytes(a(f"w{i}"), b(f"w{i}")) for i in range(size)), F.lit(0))
+        unlike = unlike_bytes(*([side(f"w{i}") for i in range(size)] for side in (a, b)))
     # beyond the shorter sequence's end each byte differs from none, and doesn't count
     unlike = unlike - F.abs(a("bytes") - b("bytes"))
     # where one side has a single gene, that is the only common one

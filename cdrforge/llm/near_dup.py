@@ -298,8 +298,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = connected_components(close, "candidates")
     comp = comp.union(comp.select(F.col("component").alias("node"), "component").distinct())
     sized = comp.join(reps.select(F.col("id").alias("node"), "n"), "node")
-    weight = sized.groupBy("component").agg(F.expr(f"cast(ceil(sum(greatest(n, 64)) / {set_block}) as long)").alias("nb"))
-    cand = scratch.table(comp.join(weight, "component").select(F.col("node").alias("id"), F.col("component").alias("key"), "nb"), "candidates")
+    weight = sized.groupBy(F.col("component").alias("ka")).agg(F.lit(0).alias("kb"), F.count("*").alias("w"), F.expr(f"cast(ceil(sum(greatest(n, 64)) / {set_block}) as long)").alias("nb"))
+    keyed = comp.select(F.col("node").alias("id"), F.col("component").alias("ka"), F.lit(0).alias("kb"))
+    cand = join_classes(keyed, scratch.table(weight, "weights"), F.col("id"))
+    cand = scratch.table(cand.select("id", F.col("ka").alias("key"), "nb"), "candidates")
     bits = id_filter(cand.select("id"))
     full = base.select("id", "text", *probes(len(bits) << 6)).mapInArrow(_sets(shingle, bits), "id long, payload binary")
     at = scratch.write(full, "sets")

@@ -36,6 +36,13 @@ union all select 3, 'number of lineages represented by at least 10 unique CDR3s'
 union all select 4, 'number of lineages represented by at least 10 sequences', count(*) filter (n_reads >= 10) from lineages"""
 _LOGO = "select read_id, rpad(aa, cast(max(length(aa)) over () as int), '*') aa from (select read_id, translate(cdr3_aa, ' ', '*') aa from reads join members using (cdr3) join lineages using (root) where lineage = 0)"
 
+#: Stops of the colour scale, the axis's end and each bar's place.
+_BARS = f"""with recursive {_WIDE}, {_READS}, usage as ({_USAGE}),
+bars as (select v_gene || ' & <' || reads || '>' as name, reads, cast(row_number() over (order by reads desc, v_gene) - 1 as int) place, greatest(count(*) over () - 1, 1) as last, pow(10, floor(log10(max(reads) over ()))) p, max(reads) over () / p m from usage),
+placed as (select *, p * case when m <= 1 then 1 when m <= 2 then 2 when m <= 5 then 5 else 10 end bound, place / last * 8 as spot, cast(floor(spot) as int) as low, least(low + 1, 8) as high from bars),
+stops as (select [68, 72, 62, 49, 38, 31, 53, 109, 180] r, [1, 40, 74, 104, 130, 158, 183, 205, 222] g, [84, 120, 137, 142, 142, 137, 121, 89, 44] bl)
+select place, replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as name, reads / bound as share, bound, '#' || {' || '.join(f"format('{{:02x}}', cast(floor({c}[low + 1] + ({c}[high + 1] - {c}[low + 1]) * (spot - low) + 0.5) as int))" for c in ("r", "g", "bl"))} colour from placed, stops"""
+
 SQL: dict[str, str] = {
     "scan_reads": _over("reads", "select read_id, cdr3, cdr3_aa, cdr_length, array_to_string(v, ',') v_call, array_to_string(j, ',') j_call from reads"),
     "strip_allele_suffixes": _over("raw", "select read_id, regexp_replace(v_call, '\\*[0-9]+', '', 'g') v_stripped, regexp_replace(j_call, '\\*[0-9]+', '', 'g') j_stripped from raw"),
@@ -67,6 +74,7 @@ SQL: dict[str, str] = {
     "v_gene_usage": _over("reads", _USAGE),
     "v_gene_usage_ranked": _over("reads", f"select v_gene, reads, row_number() over (order by reads desc, v_gene) bar from ({_USAGE})"),
     "top_v_genes": _over("reads", f"select * from ({_USAGE}) order by reads desc, v_gene limit 6"),
+    "chart_bars": _BARS,
     "weblogo_rows": _over("lineages", _LOGO),
     "fasta_records": _over("reads", "select 'R' || read_id accession, array_to_string(j, ',') || '_Mus_spretus' gene, cdr3 as sequence from reads"),
 }

@@ -10,6 +10,7 @@ from cdrforge.functions.genes import gene_calls, genes_overlap, smallest_common,
 from cdrforge.functions.sequences import hamming_bytes, hamming_distance, imgt_gene, without_gaps
 from cdrforge.operators import collapse, lineages, similarity
 from cdrforge.plans.adapters import DENSE, analysis, raw, reads
+from cdrforge.sinks.charts import placed
 from cdrforge.sinks.reports import lineage_lines, stats_lines, usage_lines
 from cdrforge.sources.germline import fasta_records as read_fasta
 from cdrforge.storage import Scratch
@@ -167,6 +168,13 @@ def top_v_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis(spark, sf_dir).usage.orderBy(F.desc("reads"), "v_gene").limit(6)
 
 
+@query
+def chart_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage chart's bars as they are placed and coloured: as many rows as there are genes."""
+    bars = [(f"{r['v_gene']} & <{r['reads']}>", float(r["reads"])) for r in analysis(spark, sf_dir).usage.orderBy("v_gene").collect()]
+    return spark.createDataFrame(placed(bars), "place int, name string, share double, colour string, bound double")
+
+
 @query
 def weblogo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis(spark, sf_dir).weblogo.select(F.col("ord").alias("read_id"), "aa")

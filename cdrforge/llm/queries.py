@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the whole tables, and the SQL of those that SQL can express."""
+"""Queries of the twelve operators over the whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from cdrforge.llm.sentence_pieces import encode
 from cdrforge.llm.sharding import shard
 from cdrforge.llm.sql import SQL as SQL
 from cdrforge.llm.substring_dedup import remove_repeats
+from cdrforge.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +73,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_html_extraction, op4_embedding_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_substring_dedup, op8_minhash_near_dedup, op9_packing, op10_sharding)}
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_html_extraction, op4_embedding_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_substring_dedup, op8_minhash_near_dedup, op9_packing, op10_sharding, op12_token_counts)}

@@ -17,6 +17,7 @@ from cdrforge.llm.sentence_pieces import encode
 from cdrforge.llm.sharding import shard
 from cdrforge.llm.sql import SQL as SQL
 from cdrforge.llm.substring_dedup import remove_repeats
+from cdrforge.llm.token_alignment import token_alignment
 from cdrforge.llm.token_counts import token_counts
 
 
@@ -73,10 +74,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment(_table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_html_extraction, op4_embedding_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_substring_dedup, op8_minhash_near_dedup, op9_packing, op10_sharding, op12_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_html_extraction, op4_embedding_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_substring_dedup, op8_minhash_near_dedup, op9_packing, op10_sharding, op11_token_alignment, op12_token_counts)}

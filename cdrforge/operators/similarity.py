@@ -7,23 +7,40 @@ equi-join on (length, V, J, chunk). A pair meets in several of these keys; the
 smallest common V and J and the first equal chunk emit it, so no shuffle is
 needed to make pairs distinct.
 
-Sequences travel as long values of seven bytes each, chunks and genes as their
-hashes, so that a candidate is compared in generated code by a few operations on
-longs. A key that many nodes share, such as a conserved start, is dealt into
-blocks, and each pair of blocks is a join key of its own.
+A key that many nodes share, such as a conserved start, says little, and its pairs
+grow with its square. There the rule is applied again: outside the shared chunk the
+two differ in at most d places, so that rest is cut into d + 1 pieces and the key made
+longer by one of them, and so on while a key stays hot. What is hot even then is
+dealt into blocks. Hot keys come from a sketch of frequent items, one small row per
+task, and are counted exactly in a second pass; whatever is taken to be hot, the
+pairs are the same.
+
+Sequences travel as longs of seven bytes, chunks as hashes, and genes as numbers of a
+dictionary in the order of their names: a row holds the bits of the node's genes that
+come before its key's gene, so that a pair has met in its smallest common one if the
+AND of both is zero. A candidate costs some operations on longs in generated code.
+Sequences of one reported length are laid out for the longest of them, and lengths of
+like size are joined together, so that long ones do not slow down the others.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cdrforge.functions.genes import genes_overlap
 from cdrforge.functions.sequences import chunk, chunks, hamming_distance, max_distance, unlike_bytes, words
 
-#: Beyond so many longs or chunks a row holds arrays of them, which generated code cannot compare.
-_COLUMNS = 24
-#: Hot keys that are broadcast at most; more are joined.
-_HOT_KEYS = 100_000
+#: Longs or chunks of a row in a class of lengths; beyond the last a row holds arrays, which generated code cannot compare.
+_CLASSES = (8, 24)
+#: Names and lengths that the driver sees at most; with more, genes are compared in arrays and all lengths laid out alike.
+_NAMES = 4096
+#: Hot keys that are broadcast at most, the items that the sketch tracks, and how often a hot key is cut again.
+_HOT_KEYS, _TRACKED, _LEVELS = 10_000, 1 << 16, 3
+_BITS = 62
 
 
 def _joinable(nodes: DataFrame, ratio: float) -> DataFrame:
@@ -43,72 +60,201 @@ def block_sizes(nodes: DataFrame) -> DataFrame:
     return keys.groupBy("cdr_length", "v", "j").agg(F.count("*").alias("n")).withColumn("pairs", F.expr("n * (n - 1) div 2"))
 
 
+class Layout(NamedTuple):
+    """What a row of a class of lengths looks like."""
+
+    size: int  # longs of the longest sequence
+    n: int  # chunks
+    lengths: list[int] | None  # reported lengths of the class; None: all
+    genes: dict[str, list[str]] | None  # names of V and J genes in order; None: too many
+
+    @property
+    def wide(self) -> bool:
+        return max(self.size, self.n) > _CLASSES[-1]
+
+    @property
+    def gene_words(self) -> int:
+        return sum(-(-len(names) // _BITS) for names in self.genes.values()) if self.genes else 0
+
+
+def layouts(nodes: DataFrame, ratio: float) -> list[Layout]:
+    """One for each class of lengths that occurs. One small aggregate of names and lengths goes to the driver."""
+    base = _joinable(nodes, ratio)
+
+    def names(c: str) -> Column:
+        return F.transform(c, lambda g: F.struct(F.lit(c).alias("kind"), g.alias("name"), F.lit(0).alias("bytes"), F.lit(0).alias("n")))
+
+    length = F.array(F.struct(F.lit("").alias("kind"), F.col("cdr_length").cast("string").alias("name"), F.octet_length("cdr3").alias("bytes"), "n"))
+    seen = base.select(F.inline(F.concat(names("v_call"), names("j_call"), length))).groupBy("kind", "name").agg(F.max("bytes").alias("bytes"), F.max("n").alias("n"))
+    rows = seen.limit(_NAMES + 1).collect()
+    if len(rows) > _NAMES:
+        most, n = base.agg(F.max(F.octet_length("cdr3")), F.max("n")).first()
+        return [Layout(-(-most // 7), n, None, None)]
+    genes: dict[str, list[str]] | None = {c: sorted((r["name"] for r in rows if r["kind"] == c), key=str.encode) for c in ("v_call", "j_call")}
+    of_class: dict[int, list] = {}
+    for r in rows:
+        if not r["kind"]:
+            size = -(-r["bytes"] // 7)
+            of_class.setdefault(sum(max(size, r["n"]) > c for c in _CLASSES), []).append((size, r["n"], int(r["name"])))
+    out = [Layout(max(s for s, _, _ in c), max(n for _, n, _ in c), sorted(x for _, _, x in c), genes) for _, c in sorted(of_class.items())]
+    return [x._replace(genes=None) if x.gene_words > _CLASSES[-1] else x for x in out]
+
+
 def _spread(name: str, values: list[Column], wide: bool) -> list[Column]:
     return [F.array(*values).alias(name)] if wide else [v.alias(f"{name}{i}") for i, v in enumerate(values)]
 
 
-def _keyed(nodes: DataFrame, ratio: float, key: str) -> tuple[DataFrame, int, int, bool]:
-    """A row for each common thing that candidates can have: ``k``; and longs and chunks of the longest sequence, and whether they stand in arrays."""
+def _numbered(names: list[str], calls: str) -> Column:
+    """The numbers of a node's genes."""
+    if not names:
+        return F.array().cast("array<int>")
+    table = F.create_map(*(x for k, g in enumerate(names) for x in (F.lit(g), F.lit(k))))
+    return F.transform(calls, lambda g: table[g])
+
+
+def _before(ids: str, own: str, names: list[str]) -> list[Column]:
+    """Longs with the bits of a node's genes that come before its own one in the row."""
+    def word(k: int) -> Column:
+        inside = lambda g: (g < F.col(own)) & (g >= _BITS * k) & (g < _BITS * (k + 1))
+        bits = F.aggregate(ids, F.lit(0).cast("long"), lambda s, g: s.bitwiseOR(F.when(inside(g), F.call_function("shiftleft", F.lit(1).cast("long"), g - _BITS * k)).otherwise(F.lit(0).cast("long"))))
+        return F.when(F.size(ids) > 1, bits).otherwise(F.lit(0).cast("long"))
+
+    return [word(k) for k in range(-(-len(names) // _BITS))]
+
+
+def _hashes(text: Column, n: int) -> list[Column]:
+    """Of the pieces of a text; one that a shorter sequence has none of is null, and equal to nothing."""
+    return [F.when(F.col("n") > i, F.xxhash64(chunk(text, F.col("n"), F.lit(i)))) for i in range(n)]
+
+
+def _own(name: str, pos: str, x: Layout) -> Column:
+    return F.get(name, F.col(pos)) if x.wide else F.coalesce(*(F.when(F.col(pos) == i, F.col(f"{name}{i}")) for i in range(x.n)))
+
+
+def _first(name: str, a, b, x: Layout) -> Column:
+    """The first place at which two rows' hashes are equal."""
+    if x.wide:
+        return F.array_position(F.zip_with(a(name), b(name), lambda p, q: p.eqNullSafe(q) & p.isNotNull()), True) - 1
+    return F.coalesce(*(F.when(a(f"{name}{i}") == b(f"{name}{i}"), i) for i in range(x.n)))
+
+
+def _keyed(nodes: DataFrame, ratio: float, key: str, x: Layout, by: Sequence[str], fresh: str | None) -> DataFrame:
+    """A row for each common thing that candidates can have: ``k``."""
     base = _joinable(nodes, ratio)
-    most, n = base.agg(F.coalesce(F.max(F.octet_length("cdr3")), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
-    size = -(-most // 7)
-    wide = size > _COLUMNS or n > _COLUMNS
-    bytes_ = F.col("cdr3").cast("binary")
-    # a chunk that a shorter sequence has none of is null, and equal to nothing
-    hashes = [F.when(F.col("n") > i, F.xxhash64(chunk(bytes_, F.col("n"), F.lit(i)))) for i in range(n)]
-    several = lambda c: F.when(F.size(c) > 1, F.transform(c, lambda g: F.xxhash64(g)))
+    if x.lengths is not None:
+        base = base.where(F.col("cdr_length").isin(x.lengths))
+    genes = x.genes or {}
+    ids = {c: _numbered(genes[c], c) if x.genes else F.transform(c, lambda g: F.xxhash64(g)) for c in ("v_call", "j_call")}
+    raw = F.col("cdr3").cast("binary")
     out = base.select(
-        F.col(key).alias("key"), "cdr_length", "n", F.octet_length("cdr3").alias("bytes"), *_spread("w", words(F.col("cdr3"), size), wide), *_spread("h", hashes, wide),
-        several("v_call").alias("vs"), several("j_call").alias("js"), F.explode("v_call").alias("v"), "j_call",
+        F.col(key).alias("key"), *by, (F.col(fresh) if fresh else F.lit(True)).alias("fresh"), "cdr_length", "n", raw.alias("rest"), F.octet_length("cdr3").alias("bytes"),
+        *_spread("w", words(F.col("cdr3"), x.size), x.wide), *_spread("h1_", _hashes(raw, x.n), x.wide), ids["v_call"].alias("vs"), ids["j_call"].alias("js"),
     )
-    out = out.select("*", F.explode("j_call").alias("j")).drop("j_call").withColumns({"v": F.xxhash64("v"), "j": F.xxhash64("j")})
-    out = out.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("pos")).drop("n")
-    own = F.get("h", F.col("pos")) if wide else F.coalesce(*(F.when(F.col("pos") == i, F.col(f"h{i}")) for i in range(n)))
-    return out.withColumn("k", F.xxhash64("cdr_length", "v", "j", "pos", own)), size, n, wide
+    out = out.select("*", F.explode("vs").alias("v")).select("*", F.explode("js").alias("j"))
+    if x.genes:
+        bits = [*_before("vs", "v", genes["v_call"]), *_before("js", "j", genes["j_call"])]
+        out = out.select("*", *(b.alias(f"before{i}") for i, b in enumerate(bits))).drop("vs", "js")
+    out = out.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("p1"))
+    return out.withColumn("k", F.xxhash64(*by, "cdr_length", "v", "j", "p1", _own("h1_", "p1", x)))
 
 
-def edges(nodes: DataFrame, ratio: float = 0.1, key: str = "cdr3", block: int = 4096) -> DataFrame:
-    """(cdr_length, a, b) with a < b, each pair once; a and b are the nodes' ``key``, which must be unique.
+def _cut_again(rows: DataFrame, level: int, x: Layout) -> DataFrame:
+    """Rows of hot keys with what the key leaves of their sequence, and a row for each piece of that: a longer ``k``."""
+    n, at = F.col("n"), F.col(f"p{level - 1}")
+    size, more = F.floor(F.octet_length("rest") / n).cast("int"), F.octet_length("rest") % n
+    begin = at * size + F.least(at, more)
+    rest = F.concat(F.substring("rest", F.lit(1), begin), F.substring("rest", begin + size + F.when(at < more, 1).otherwise(0) + 1, F.octet_length("rest")))
+    out = rows.withColumn("rest", rest)
+    out = out.select("*", *_spread(f"h{level}_", _hashes(F.col("rest"), x.n), x.wide)).select("*", F.explode(F.expr("sequence(0, n - 1)")).alias(f"p{level}"))
+    return out.withColumn("k", F.xxhash64("k", f"p{level}", _own(f"h{level}_", f"p{level}", x)))
+
 
-    Candidates of a join key that more than ``block`` rows share are compared block by block.
+def hot_keys(rows: DataFrame, block: int) -> DataFrame | None:
+    """k, c (its rows), odd (of these, rows whose string has not the reported length) of keys that more than ``block`` rows share; None if there is none.
+
+    The sketch keeps a bounded number of items; a key it has lost among very many rows
+    is joined like any other.
     """
-    keyed, size, n, wide = _keyed(nodes, ratio, key)
-    often = keyed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > block).select("k", F.ceil(F.col("c") / block).cast("int").alias("nb"))
-    many = often.limit(_HOT_KEYS + 1).collect()
-    sides = [keyed, keyed]
-    if many:
-        if len(many) <= _HOT_KEYS:
-            often = F.broadcast(nodes.sparkSession.createDataFrame(many, often.schema))
-        dealt = keyed.join(often, "k", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-        dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(key, 7), nb) as int)"))
-        sides = [dealt.withColumn("other", F.explode(F.expr(e))) for e in ("sequence(own, nb - 1)", "sequence(0, own)")]
-        pair = lambda x, y: F.when(F.col("nb") == 1, F.col("k")).otherwise(F.xxhash64("k", x, y))
-        sides = [side.withColumns({"same": F.col("own") == F.col("other"), "k": pair(*names)}).drop("nb", "own", "other") for side, names in zip(sides, (("own", "other"), ("other", "own")), strict=True)]
+    top = rows.agg(F.expr(f"approx_top_k(k, {_HOT_KEYS}, {_TRACKED})").alias("top")).first()["top"] or []
+    often = [(r["item"],) for r in top if r["item"] is not None and r["count"] > block]
+    if not often:
+        return None
+    some = rows.sparkSession.createDataFrame(often, "k long")
+    counted = rows.join(F.broadcast(some), "k", "left_semi").groupBy("k").agg(F.count("*").alias("c"), F.count_if(F.col("bytes") != F.col("cdr_length")).alias("odd"))
+    found = counted.where(F.col("c") > block).collect()  # as many as were broadcast
+    return rows.sparkSession.createDataFrame(found, counted.schema) if found else None
+
+
+def _compared(left: DataFrame, right: DataFrame, level: int, ratio: float, x: Layout, by: Sequence[str]) -> DataFrame:
+    """Pairs of one level's rows with equal ``k``, each where it is to be emitted. ``left`` holds fresh rows only."""
     # not renamed: the optimizer tries all mixtures of old and new names in what it knows of k
     a, b = (lambda c, s=s: F.col(f"{s}.{c}") for s in "ab")
     # sorted and merged: the size of the files says nothing of a side's rows, which are many to a node
-    pairs = sides[0].alias("a").hint("merge").join(sides[1].alias("b"), a("k") == b("k"))
+    pairs = left.alias("a").hint("merge").join(right.alias("b"), (a("k") == b("k")) & functools.reduce(Column.__and__, (a(c).eqNullSafe(b(c)) for c in by), F.lit(True)))
     # what k stands for, in a form that is no join key: sides are dealt and sorted by one long
-    unequal = [a(c).bitwiseXOR(b(c)) for c in ("v", "j", "pos", "cdr_length")]
-    pairs = pairs.where(unequal[0].bitwiseOR(unequal[1]).bitwiseOR(unequal[2].bitwiseOR(unequal[3])) == 0)
-    pairs = pairs.where((a("key") < b("key")) if not many else (a("same") & (a("key") < b("key"))) | ~a("same"))
-    if wide:
-        first = F.array_position(F.zip_with(a("h"), b("h"), lambda x, y: x.eqNullSafe(y) & x.isNotNull()), True) - 1
-        unlike = F.aggregate(F.zip_with(a("w"), b("w"), lambda x, y: unlike_bytes([x], [y])), F.lit(0), lambda s, x: s + x)
+    unequal = [a(c).bitwiseXOR(b(c)) for c in ("v", "j", "cdr_length", *(f"p{i}" for i in range(1, level + 1)))]
+    pairs = pairs.where(functools.reduce(Column.bitwiseOR, unequal) == 0)
+    pairs = pairs.where((a("key") < b("key")) | ~b("fresh") & (a("key") != b("key")))
+    if x.wide:
+        unlike = F.aggregate(F.zip_with(a("w"), b("w"), lambda p, q: unlike_bytes([p], [q])), F.lit(0), lambda s, p: s + p)
     else:
-        first = F.coalesce(*(F.when(a(f"h{i}") == b(f"h{i}"), i) for i in range(n)))
-        unlike = unlike_bytes(*([side(f"w{i}") for i in range(size)] for side in (a, b)))
+        unlike = unlike_bytes(*([side(f"w{i}") for i in range(x.size)] for side in (a, b)))
     # beyond the shorter sequence's end each byte differs from none, and doesn't count
     unlike = unlike - F.abs(a("bytes") - b("bytes"))
-    # where one side has a single gene, that is the only common one
-    least = lambda g: a(f"{g}s").isNull() | b(f"{g}s").isNull() | (a(g) == F.array_min(F.array_intersect(a(f"{g}s"), b(f"{g}s"))))
-    pairs = pairs.where((unlike <= max_distance(a("cdr_length"), ratio)) & (first == a("pos"))).where(least("v") & least("j"))
-    ends = (a("key"), b("key")) if not many else (F.least(a("key"), b("key")), F.greatest(a("key"), b("key")))
-    return pairs.select(a("cdr_length").alias("cdr_length"), ends[0].alias("a"), ends[1].alias("b"))
+    pairs = pairs.where(unlike <= max_distance(a("cdr_length"), ratio))
+    for i in range(1, level + 1):
+        pairs = pairs.where(_first(f"h{i}_", a, b, x) == a(f"p{i}"))
+    if x.genes:
+        if x.gene_words:
+            both = [a(f"before{i}").bitwiseAND(b(f"before{i}")) for i in range(x.gene_words)]
+            pairs = pairs.where(functools.reduce(Column.bitwiseOR, both) == 0)
+    else:
+        least = lambda g: (F.size(a(f"{g}s")) == 1) | (F.size(b(f"{g}s")) == 1) | (a(g) == F.array_min(F.array_intersect(a(f"{g}s"), b(f"{g}s"))))
+        pairs = pairs.where(least("v") & least("j"))
+    return pairs.select(*(a(c).alias(c) for c in by), a("cdr_length").alias("cdr_length"), F.least(a("key"), b("key")).alias("a"), F.greatest(a("key"), b("key")).alias("b"))
+
+
+def _class_edges(nodes: DataFrame, ratio: float, key: str, block: int, x: Layout, by: Sequence[str], fresh: str | None) -> list[DataFrame]:
+    rows, out = _keyed(nodes, ratio, key, x, by, fresh), []
+    meet = lambda left, right, level: out.append(_compared(left.where("fresh").drop("rest"), right.drop("rest"), level, ratio, x, by))
+    for level in range(1, _LEVELS + 1):
+        often = hot_keys(rows, block)
+        if often is None:
+            meet(rows, rows, level)
+            return out
+        cold = rows.join(F.broadcast(often.select("k")), "k", "left_anti")
+        meet(cold, cold, level)
+        # strings that have not the reported length do not line up with others outside a chunk
+        deep = F.col("odd") == 0 if level < _LEVELS else F.lit(False)
+        flat = rows.join(F.broadcast(often.where(~deep).select("k", F.ceil(F.col("c") / block).cast("int").alias("nb"))), "k")
+        if level == _LEVELS or not often.where(~deep).isEmpty():
+            left = flat.withColumn("of", F.explode(F.expr("sequence(0, nb - 1)")))
+            right = flat.withColumn("of", F.expr("cast(pmod(xxhash64(key, 7), nb) as int)"))
+            meet(*(side.withColumn("k", F.xxhash64("k", "of")).drop("of", "nb") for side in (left, right)), level)
+        if level == _LEVELS or often.where(deep).isEmpty():
+            return out
+        rows = _cut_again(rows.join(F.broadcast(often.where(deep).select("k")), "k"), level + 1, x)
+    return out
+
+
+def edges(nodes: DataFrame, ratio: float = 0.1, key: str = "cdr3", block: int = 4096, by: Sequence[str] = (), fresh: str | None = None) -> DataFrame:
+    """(cdr_length, a, b) with a < b, each pair once; a and b are the nodes' ``key``, which must be unique.
+
+    ``by``: columns in which both must be equal (null is a value like others), such as a
+    donor; they come first in the result, and ``key`` need be unique within them only.
+    ``fresh``: a boolean column; only pairs with at least one fresh node are looked for.
+    ``block``: rows from which a join key counts as hot.
+    """
+    found = [e for x in layouts(nodes, ratio) for e in _class_edges(nodes, ratio, key, block, x, list(by), fresh)]
+    if not found:
+        kind = nodes.schema[key].dataType
+        return nodes.select(*by, "cdr_length", F.col(key).cast(kind).alias("a"), F.col(key).alias("b")).limit(0)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
-def edges_by_definition(nodes: DataFrame, ratio: float = 0.1) -> DataFrame:
+def edges_by_definition(nodes: DataFrame, ratio: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
     """The same pairs straight from the definition, quadratic in each length: for tests and diagnosis."""
-    a, b = (nodes.select("cdr_length", F.col("cdr3").alias(n), F.col("v_call").alias(f"v{n}"), F.col("j_call").alias(f"j{n}")) for n in "ab")
-    pairs = a.join(b, "cdr_length").where(F.col("a") < F.col("b")).where(genes_overlap(F.col("va"), F.col("vb")) & genes_overlap(F.col("ja"), F.col("jb")))
-    return pairs.where(hamming_distance(F.col("a"), F.col("b")) <= max_distance(F.col("cdr_length"), ratio)).select("cdr_length", "a", "b")
+    a, b = (nodes.select(*by, "cdr_length", F.col("cdr3").alias(n), F.col("v_call").alias(f"v{n}"), F.col("j_call").alias(f"j{n}")) for n in "ab")
+    pairs = a.join(b, ["cdr_length"]) if not by else a.alias("x").join(b.alias("y"), functools.reduce(Column.__and__, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, "cdr_length")))).select(*(F.col(f"x.{c}") for c in (*by, "cdr_length")), "a", "b", "va", "vb", "ja", "jb")
+    pairs = pairs.where(F.col("a") < F.col("b")).where(genes_overlap(F.col("va"), F.col("vb")) & genes_overlap(F.col("ja"), F.col("jb")))
+    return pairs.where(hamming_distance(F.col("a"), F.col("b")) <= max_distance(F.col("cdr_length"), ratio)).select(*by, "cdr_length", "a", "b")

@@ -1,8 +1,15 @@
-"""Clonal lineages: components of the similarity graph, in a total order."""
+"""Clonal lineages: components of the similarity graph, in a total order.
+
+``by`` names columns, such as a donor, whose values are kept apart: lineages don't
+cross them, and ranks, largest ones and statistics are those of each value.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import functools
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cdrforge.operators.components import connected_components
 from cdrforge.storage import Scratch
@@ -22,35 +29,58 @@ def _sizes() -> list:
     return [F.min("cdr3").alias("root"), F.count("*").alias("n_unique_cdr3"), F.sum("n_reads").alias("n_reads")]
 
 
-def summaries(member: DataFrame) -> DataFrame:
+def summaries(member: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """component, root (its smallest sequence), n_unique_cdr3, n_reads of each lineage."""
-    return member.groupBy("component").agg(*_sizes())
+    return member.groupBy(*by, "component").agg(*_sizes())
+
+
+def _renamed(df: DataFrame, by: Sequence[str], *others: Column) -> DataFrame:
+    """The columns of ``by`` under names of their own, and others."""
+    return df.select(*(F.col(c).alias(f"__{c}") for c in by), *others)
+
 
+def _same(by: Sequence[str]) -> Column:
+    """Null is a value like others."""
+    return functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by), F.lit(True))
 
-def ranked(lineages: DataFrame) -> DataFrame:
+
+def ranked(lineages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """lineages with ``lineage``: 0 for the most unique CDR3s, ties by root.
 
     They are sorted over ranges and written; a row's number is its place in its
     partition and the rows of the partitions before, so no task sees all lineages.
     """
-    place = lineages.orderBy(F.desc("n_unique_cdr3"), "root").withColumn("i", F.monotonically_increasing_id())
+    place = lineages.orderBy(*by, F.desc("n_unique_cdr3"), "root").withColumn("i", F.monotonically_increasing_id())
     placed = Scratch(lineages.sparkSession, "ranks").table(place, "sorted").withColumn("part", F.shiftright("i", 33))
     counts = placed.groupBy("part").agg(F.count("*").alias("c"))  # a row for each partition
     before = counts.withColumn("before", F.expr("sum(c) over (order by part rows between unbounded preceding and current row) - c"))
     number = F.col("before") + F.col("i").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(before), "part").select(number.alias("lineage"), *lineages.columns)
+    out = placed.join(F.broadcast(before), "part").select(number.alias("lineage"), *lineages.columns)
+    if by:
+        first = _renamed(out.groupBy(*by).agg(F.min("lineage").alias("first")), by, F.col("first").alias("__first"))
+        out = out.join(first, _same(by)).select((F.col("lineage") - F.col("__first")).alias("lineage"), *lineages.columns)
+    return out
+
+
+def table(member: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """lineage, n_unique_cdr3, n_reads, cdr3s (sorted array) of each lineage; not sorted by lineage.
+
+    A row holds all members; ``numbered`` has a row for each.
+    """
+    listed = member.groupBy(*by, "component").agg(*_sizes(), F.array_sort(F.collect_list("cdr3")).alias("cdr3s"))
+    return ranked(listed, by).select(*by, "lineage", "n_unique_cdr3", "n_reads", "cdr3s")
 
 
-def table(member: DataFrame) -> DataFrame:
-    """lineage, n_unique_cdr3, n_reads, cdr3s (sorted array) of each lineage; not sorted by lineage."""
-    listed = member.groupBy("component").agg(*_sizes(), F.array_sort(F.collect_list("cdr3")).alias("cdr3s"))
-    return ranked(listed).select("lineage", "n_unique_cdr3", "n_reads", "cdr3s")
+def numbered(member: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """member with ``lineage``, the rank of its lineage."""
+    rank = _renamed(ranked(summaries(member, by), by), by, F.col("lineage"), F.col("component").alias("__c"))
+    return member.join(rank, (F.col("component") == F.col("__c")) & _same(by)).select("lineage", *member.columns)
 
 
-def largest(lineages: DataFrame) -> DataFrame:
+def largest(lineages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The one row of the lineage with the most unique CDR3s (ties: smallest root); none if there is no lineage."""
-    top = lineages.agg(F.min(F.struct((-F.col("n_unique_cdr3")).alias("neg"), "root", "n_reads", "component")).alias("t")).where("t is not null")
-    return top.select("t.root", (-F.col("t.neg")).alias("n_unique_cdr3"), "t.n_reads", "t.component")
+    top = lineages.groupBy(*by).agg(F.min(F.struct((-F.col("n_unique_cdr3")).alias("neg"), "root", "n_reads", "component")).alias("t")).where("t is not null")
+    return top.select(*by, "t.root", (-F.col("t.neg")).alias("n_unique_cdr3"), "t.n_reads", "t.component")
 
 
 def metric_names(least: int) -> list[str]:
@@ -64,13 +94,13 @@ def metric_names(least: int) -> list[str]:
     ]
 
 
-def stats(lineages: DataFrame, least: int = 10) -> DataFrame:
-    """ord, metric, value: five rows, all 0 without lineages. One pass of partial sums."""
+def stats(lineages: DataFrame, least: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """ord, metric, value: five rows, all 0 without lineages (with ``by``: five rows for each value that occurs). One pass of partial sums."""
     top = F.min(F.struct((-F.col("n_unique_cdr3")).alias("neg"), "root", "n_reads"))
-    one = lineages.agg(F.count("*").alias("n"), top.alias("t"), F.count_if(F.col("n_unique_cdr3") >= least).alias("u"), F.count_if(F.col("n_reads") >= least).alias("r"))
+    one = lineages.groupBy(*by).agg(F.count("*").alias("n"), top.alias("t"), F.count_if(F.col("n_unique_cdr3") >= least).alias("u"), F.count_if(F.col("n_reads") >= least).alias("r"))
     values = [F.col("n"), F.coalesce(-F.col("t.neg"), F.lit(0)), F.coalesce("t.n_reads", F.lit(0)), F.col("u"), F.col("r")]
     rows = [F.struct(F.lit(k).alias("ord"), F.lit(m).alias("metric"), v.cast("long").alias("value")) for k, (m, v) in enumerate(zip(metric_names(least), values, strict=True))]
-    return one.select(F.inline(F.array(*rows)))
+    return one.select(*by, F.inline(F.array(*rows)))
 
 
 def weblogo(reads: DataFrame, member: DataFrame) -> DataFrame:

@@ -38,8 +38,8 @@ from cdrforge.functions.sequences import chunk, chunks, hamming_distance, max_di
 _CLASSES = (8, 24)
 #: Names and lengths that the driver sees at most; with more, genes are compared in arrays and all lengths laid out alike.
 _NAMES = 4096
-#: Hot keys that are broadcast at most, the items that the sketch tracks, and how often a hot key is cut again.
-_HOT_KEYS, _TRACKED, _LEVELS = 10_000, 1 << 16, 3
+#: Hot keys that are broadcast at most, the items that the sketch tracks, of how many nodes it sees one, and how often a hot key is cut again.
+_HOT_KEYS, _TRACKED, _EVERY, _LEVELS = 10_000, 1 << 16, 16, 3
 _BITS = 62
 
 
@@ -172,11 +172,13 @@ def _cut_again(rows: DataFrame, level: int, x: Layout) -> DataFrame:
 def hot_keys(rows: DataFrame, block: int) -> DataFrame | None:
     """k, c (its rows), odd (of these, rows whose string has not the reported length) of keys that more than ``block`` rows share; None if there is none.
 
-    The sketch keeps a bounded number of items; a key it has lost among very many rows
-    is joined like any other.
+    The sketch sees the nodes of one in ``_EVERY`` hashes where a block holds many, and
+    keeps a bounded number of items; a key it has lost is joined like any other.
     """
-    top = rows.agg(F.expr(f"approx_top_k(k, {_HOT_KEYS}, {_TRACKED})").alias("top")).first()["top"] or []
-    often = [(r["item"],) for r in top if r["item"] is not None and r["count"] > block]
+    every = min(_EVERY, max(1, block // 64))
+    seen = rows.where(F.expr(f"pmod(xxhash64(key, 13), {every}) = 0")) if every > 1 else rows
+    top = seen.agg(F.expr(f"approx_top_k(k, {_HOT_KEYS}, {_TRACKED})").alias("top")).first()["top"] or []
+    often = [(r["item"],) for r in top if r["item"] is not None and r["count"] * every > block * 0.7]
     if not often:
         return None
     some = rows.sparkSession.createDataFrame(often, "k long")

@@ -37,3 +37,24 @@ def reads(spark: SparkSession, sf_dir: str, sql: str = WIDE) -> DataFrame:
 
 def analysis(spark: SparkSession, sf_dir: str, sql: str = WIDE) -> Analysis:
     return Analysis(reads(spark, sf_dir, sql))
+
+#: Reads spelled from texts: a line's words in runs, each word four letters of its hash, so that a changed word stays within a tenth.
+TEXT = f"""
+with l as (select doc_id, lang donor, posexplode(split(text, '\\n')) (line, value) from {{docs}}),
+  w as (select doc_id, donor, line, filter(split(value, '[ \\t\\r]+'), x -> x <> '') ws from l),
+  s as (select doc_id, donor, line, k, slice(ws, int(k * {{size}} + 1), {{size}}) ws from (select *, explode(sequence(0, (size(ws) - 1) div {{size}})) k from w where size(ws) > 0)),
+  c as (select doc_id, donor, line, k, array_join(transform(ws, x -> translate(substr(md5(x), 1, 4), {_LETTERS})), '') cdr3 from s)
+select doc_id, donor, line, k, cdr3, '' cdr3_aa, concat('IGHV', k % 7 + 1, '*01') v_call, 'IGHJ1*01' j_call, 1 cdr3_start, int(length(cdr3)) cdr3_end from c"""
+
+
+def text_reads(docs: DataFrame, size: int = 12) -> DataFrame:
+    """Reads of a documents table, donor by language: every ``size`` words of a line are one, its last ones too. The tables hold no sequences; texts stand for sequencing runs that grow."""
+    raw = docs.sparkSession.sql(TEXT, docs=docs, size=size)
+    return normalise(raw, F.struct("doc_id", "line", "k"), ["donor"])
+
+
+def donors(orders: DataFrame, n: int = 5) -> DataFrame:
+    """Reads of an orders table with a donor each."""
+    raw = orders.sparkSession.sql(WIDE, orders=orders)
+    keyed = raw.withColumn("donor", F.concat(F.lit("D"), F.col("read_id") % n))
+    return normalise(keyed, F.col("read_id"), ["donor"])

@@ -101,3 +101,21 @@ SQL |= {
     "d_frame_table": _PARTS + "select 'IGHD' || k as name, cast(k % 3 as int) as start from p",
     "blast_metadata": _PARTS + "select 'parts' dbname, cast(sum(length(s)) as bigint) letters, count(*) as sequences from p",
 }
+
+#: Lineages of each donor, where ``reads`` have one.
+_DONOR_LINEAGES = """nodes as (select donor, cdr3, arg_min(cdr_length, ord) cdr_length, list_sort(list_distinct(flatten(list(v)))) v, list_sort(list_distinct(flatten(list(j)))) j, count(*) n_reads from reads group by donor, cdr3),
+keyed as (select *, unnest(v) g from nodes),
+edges as (select distinct a.donor, a.cdr_length, a.cdr3 a, b.cdr3 b from keyed a join keyed b on a.cdr_length = b.cdr_length and a.g = b.g and a.donor is not distinct from b.donor and a.cdr3 < b.cdr3 and list_has_any(a.j, b.j) and hamming(a.cdr3, b.cdr3) <= cast(0.1 as double) * a.cdr_length),
+sym as (select donor, a, b from edges union all select donor, b, a from edges),
+reach(donor, n, r) as (select donor, cdr3, cdr3 from nodes union select reach.donor, sym.b, reach.r from reach join sym on sym.a = reach.n and sym.donor is not distinct from reach.donor),
+members as (select donor, n cdr3, min(r) root from reach group by donor, n),
+lineages as (select m.donor, row_number() over (partition by m.donor order by count(*) desc, root) - 1 lineage, root, count(*) n_unique_cdr3, cast(sum(n_reads) as bigint) n_reads from members m join nodes n on m.cdr3 = n.cdr3 and m.donor is not distinct from n.donor group by m.donor, root)"""
+_DONOR_READS = f"reads as (select read_id ord, 'D' || (read_id % 5) donor, cdr3, cdr_length, {_GENES.format('v_call')} v, {_GENES.format('j_call')} j from raw)"
+_TEXT_READS = f"""l as (select doc_id, lang donor, unnest(string_split(text, chr(10))) txt, generate_subscripts(string_split(text, chr(10)), 1) line from documents),
+w as (select doc_id, donor, line, list_filter(regexp_split_to_array(txt, '[ \\t\\r]+'), lambda x: x <> '') ws from l),
+s as (select doc_id, donor, line, ws, unnest(range(0, (len(ws) + 11) // 12)) k from w where len(ws) > 0),
+reads as (select struct_pack(d := doc_id, l := line, k := k) ord, donor, array_to_string(list_transform(ws[k * 12 + 1 : k * 12 + 12], lambda x: translate(substr(md5(x), 1, 4), {_LETTERS})), '') cdr3, cast(length(cdr3) as int) cdr_length, ['IGHV' || (k % 7 + 1)] v, ['IGHJ1'] j from s)"""
+
+_EACH = "select donor, lineage, root, n_unique_cdr3, n_reads from lineages"
+DONOR_LINEAGES = f"with recursive {_WIDE}, {_DONOR_READS}, {_DONOR_LINEAGES} {_EACH}"
+TEXT_LINEAGES = f"with recursive {_TEXT_READS}, {_DONOR_LINEAGES} {_EACH}"

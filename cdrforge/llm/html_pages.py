@@ -3,8 +3,10 @@
 Every page draws its frame, its class names and what stands in and round the
 article; elements that are not the article are marked in the list of labels by
 the generator, not in the page. Class names may instead be letters and digits that
-say nothing, as build tools make them: what is left to go by then are tags, density
-of text and links, depth and siblings.
+say nothing, as build tools make them, or there may be none at all, with the article
+right in the body, in a plain container, in a cell of a layout table, or in a fragment
+without a frame: what is left to go by then are tags, density of text and links, depth
+and siblings.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ _SOUNDS = "the er on an re he in ed nd ha at en es of or nt ea ti to it st io le
 class Page:
     """Writes HTML; an open element is content or not, and texts inherit it."""
 
-    def __init__(self, rng: random.Random, opaque: bool = False) -> None:
+    def __init__(self, rng: random.Random, opaque: bool = False, bare: bool = False) -> None:
         self.r, self.out = rng, []
-        self.opaque = opaque
+        self.opaque, self.bare = opaque, bare
         #: For each start tag written: 1 in the article, 0 outside.
         self.labels: list[int] = []
 
@@ -63,7 +65,7 @@ class Page:
 
     def attrs(self, names: list[str], chance: float = 0.85) -> str:
         r = self.r
-        if r.random() > chance:
+        if self.bare or r.random() > chance:
             return ""
         name = r.choice(names) + r.choice(["", "", "", "-1", " box", " wide", "-inner"])
         if self.opaque:
@@ -145,6 +147,16 @@ class Page:
                 self.end("header")
         if inner:
             self.tag("div", 1, self.attrs(["body", "text", "inner", *_CONTENT], 0.7))
+        self.blocks()
+        if inner:
+            self.end("div")
+        if r.random() < 0.12:
+            self.box(r.choice(["talk", "share", "side"]))
+        self.end(name)
+
+    def blocks(self) -> None:
+        """Paragraphs, lists and the like of the article, now and then with a box among them."""
+        r = self.r
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             kind = r.random()
             if kind < 0.68:
@@ -194,11 +206,56 @@ class Page:
                 self.end("pre")
             else:
                 self.box(r.choice(["ad", "share", "side", "form", "note"]))
-        if inner:
-            self.end("div")
-        if r.random() < 0.12:
-            self.box(r.choice(["talk", "share", "side"]))
-        self.end(name)
+
+    def nameless(self) -> tuple[str, list[int]]:
+        """A page without class names and ids."""
+        r, kind = self.r, self.r.choice(["body", "body", "div", "div", "table", "table", "p", "p", "text", "text", "lines"])
+        if kind in ("p", "text"):
+            if kind == "text":  # outside every tag
+                self.text(*r.choice([(1, 3), (5, 30), (20, 200)]))
+                if r.random() < 0.6:
+                    return "".join(self.out), self.labels
+            self.blocks()
+            return "".join(self.out), self.labels
+        if r.random() < 0.7:
+            self.tag("html", 0)
+            self.tag("head", 0)
+            self.tag("title", 0)
+            self.text(2, 10)
+            self.end("title")
+            self.end("head")
+        self.tag("body", int(kind == "lines"))
+        for box in ("head", "nav", "form", "ad"):
+            if r.random() < 0.3:
+                self.box(box)
+        if kind == "lines":  # right in the body
+            for _ in range(r.randint(1, 8)):
+                self.text(2, 40)
+                self.tag("br", 1)
+            if r.random() < 0.3:
+                self.box("foot")
+            return "".join(self.out), self.labels
+        around = {"body": [], "div": [r.choice(["div", "div", "section", "center"])], "table": ["table", "tr", "td"]}[kind]
+        for name in around:
+            if name == "td" and r.random() < 0.7:
+                self.tag("td", 0)
+                self.links(r.randint(2, 9), 0, r.choice([None, "p"]))
+                self.end("td")
+            self.tag(name, int(name == around[-1]))
+        if r.random() < 0.6:
+            last = r.choice(["h1", "h2", "b"])
+            self.tag(last, 1)
+            self.text(2, 12)
+            self.end(last)
+        self.blocks()
+        for name in reversed(around):
+            self.end(name)
+        for box in ("side", "foot", "share"):
+            if r.random() < 0.3:
+                self.box(box)
+        if r.random() < 0.5:
+            self.out.append("</body></html>")
+        return "".join(self.out), self.labels
 
     def page(self) -> tuple[str, list[int]]:
         r = self.r
@@ -238,7 +295,8 @@ class Page:
         return "".join(self.out), self.labels
 
 
-def pages(n: int, seed: int = 5, opaque: bool = False) -> list[tuple[str, list[int]]]:
-    """Pages, and for each start tag in order whether it belongs to the article. ``opaque``: their names say nothing."""
+def pages(n: int, seed: int = 5, opaque: bool = False, bare: bool = False) -> list[tuple[str, list[int]]]:
+    """Pages, and for each element in order whether it belongs to the article. ``opaque``: their names say nothing; ``bare``: they have none."""
     rng = random.Random(seed)
-    return [Page(rng, opaque).page() for _ in range(n)]
+    made = (Page(rng, opaque, bare) for _ in range(n))
+    return [p.nameless() if bare else p.page() for p in made]

@@ -3,10 +3,12 @@
 A page is parsed into nodes in document order, so that a subtree is a range and
 its sums are differences of prefix sums. Trees score each node by its tag and
 attribute tokens and those above it, by text and link density of its subtree, by
-depth and by its siblings. Pages whose class names are known to none of the tokens
-are scored by trees of their own, trained on pages of such names. Decoding then picks the best labelling in which every
-path from the root runs outside, article, excluded, in this order: nothing below
-an excluded node is text, and an article is not left and entered again.
+depth and by its siblings. Pages whose class names are known to none of the tokens,
+and pages without names, are scored by trees of their own, trained on such pages.
+Decoding then picks the best labelling in which every path from the root runs
+outside, article, excluded, in this order: nothing below an excluded node is text,
+and an article is not left and entered again. In a fragment with text outside every
+tag the document itself may be the article.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = set("address article aside blockquote body br button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+_BLANK = " \t\r\n\f\v\xa0\ufeff"
 #: What an opening tag closes first, up to the nearest of the second set.
 _CLOSES = {"p": ({"p"}, set()), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: What an open head may hold; all else ends it.
@@ -196,6 +199,11 @@ def features(doms: list[Dom]) -> np.ndarray:
 _OUTSIDE, _ARTICLE, _EXCLUDED = range(3)
 
 
+def loose(d: Dom) -> bool:
+    """Text stands outside every tag of a page without a frame."""
+    return any(node == 0 and raw.strip(_BLANK) for node, raw in d.texts) and not {"html", "body"} & set(d.tag)
+
+
 def decode(d: Dom, odds: np.ndarray) -> list[int]:
     """The labelling of most log-odds in which every path runs outside, article, excluded."""
     n = len(d.tag)
@@ -207,6 +215,8 @@ def decode(d: Dom, odds: np.ndarray) -> list[int]:
         take[up] += max(take[k], 0.0)  # what is excluded counts nothing, with all below
         skip[up] += max(take[k], skip[k])
     out = [_OUTSIDE] * n
+    if loose(d) and take[0] > skip[0]:
+        out[0] = _ARTICLE
     for k in range(1, n):
         above = out[d.parent[k]]
         if above == _EXCLUDED or d.tag[k] in _NEVER:
@@ -220,7 +230,7 @@ def decode(d: Dom, odds: np.ndarray) -> list[int]:
 
 class Model(NamedTuple):
     trees: boosting.Trees
-    opaque: boosting.Trees  # for pages whose names say nothing
+    opaque: boosting.Trees  # for pages whose names say nothing, or that have none
 
     def log_odds(self, doms: list[Dom]) -> list[np.ndarray]:
         x, cut = features(doms), np.cumsum([0, *(len(d.tag) for d in doms)])
@@ -236,17 +246,17 @@ class Model(NamedTuple):
 
 
 def opaque(d: Dom) -> bool:
-    """Of the elements with names fewer than one in ten has one that is known."""
-    return 10 * sum(d.named) < len(d.named)
+    """Of the elements with names fewer than one in ten has one that is known, or none has names."""
+    return not d.named or 10 * sum(d.named) < len(d.named)
 
 
 @functools.cache
 def train(n_pages: int = 400, seed: int = 5) -> Model:
-    """Trees trained on ``n_pages`` made-up pages of either kind."""
+    """Trees trained on ``n_pages`` made-up pages of known names, and on as many of opaque names and of none."""
     made = []
-    for kind in (False, True):
-        drawn = pages(n_pages, seed, kind)
-        made.append(boosting.fit(features([parse(p) for p, _ in drawn]), np.concatenate([[0, *labels] for _, labels in drawn]).astype(float)))
+    for drawn in (pages(n_pages, seed), pages(n_pages, seed, opaque=True) + pages(n_pages, seed, bare=True)):
+        doms = [parse(p) for p, _ in drawn]
+        made.append(boosting.fit(features(doms), np.concatenate([[loose(d), *labels] for d, (_, labels) in zip(doms, drawn, strict=True)]).astype(float)))
     return Model(*made)
 
 
@@ -276,7 +286,7 @@ def main_text(pages_: DataFrame, model: Model | None = None, id_col: str = "page
 
     ``text`` is the article's text: character references decoded, blocks joined by
     one space, white space in them turned into one space. A null or empty page has
-    an empty text. Null and repeated ids and null urls are kept as they are. Other
+    an empty text; a text without a tag is a page, too. Null and repeated ids and null urls are kept as they are. Other
     columns are ignored, whatever their names; an empty table gives an empty one.
     """
     rows = pages_.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))

@@ -211,14 +211,14 @@ def test_pages_of_the_table(spark):
         assert rows[r["page_id"]]["n_chars"] == len(rows[r["page_id"]]["text"])
 
 
-@pytest.mark.parametrize(("opaque", "least", "overlap"), [(False, 114, 0.99), (True, 66, 0.9)])
-def test_unseen_made_up_pages(opaque, least, overlap):
-    """With names that no token knows the text is still found by its structure, though less exactly."""
+@pytest.mark.parametrize(("kind", "least", "overlap"), [({}, 114, 0.99), ({"opaque": True}, 66, 0.9), ({"bare": True}, 66, 0.9)])
+def test_unseen_made_up_pages(kind, least, overlap):
+    """With names that no token knows, or none, the text is still found by its structure, though less exactly."""
     model, good, f = html_text.train(), 0, []
-    for page, labels in pages(120, seed=404, opaque=opaque):
+    for page, labels in pages(120, seed=404, **kind):
         d = html_text.parse(page)
         assert len(d.tag) == len(labels) + 1
-        want = " ".join("".join(" " if n < 0 else t for n, t in d.texts if n < 0 or [0, *labels][n]).split())
+        want = " ".join("".join(" " if n < 0 else t for n, t in d.texts if n < 0 or [html_text.loose(d), *labels][n]).split())
         got = html_text.extract(d, model.log_odds([d])[0])
         good += got == want
         a, b = set(got.split()), set(want.split())
@@ -226,6 +226,23 @@ def test_unseen_made_up_pages(opaque, least, overlap):
     assert good >= least and np.mean(f) >= overlap
 
 
+_PARAGRAPHS = "".join(f"<p>Paragraph {i} has some words in it, and a second clause that makes it a longer one, number {i}.</p>" for i in range(6))
+_PLAIN = " ".join(re.sub("<.*?>", " ", _PARAGRAPHS).split())
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<html><body>{_PARAGRAPHS}</body></html>", _PLAIN), (f"<html><body><div>{_PARAGRAPHS}</div></body></html>", _PLAIN), (_PARAGRAPHS, _PLAIN), (f"\ufeff<html><body>{_PARAGRAPHS}", _PLAIN),
+    (f"<html><body><table><tr><td><a href=x>Home</a> <a href=y>News</a></td><td>{_PARAGRAPHS}</td></tr></table></body></html>", _PLAIN), (f"<table><tr><td>{_PARAGRAPHS}</td></tr></table>", _PLAIN),
+    (f"<body><nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></nav>{_PARAGRAPHS}<footer>Copyright 2020</footer></body>", _PLAIN),
+    ("<p>One single paragraph of some twenty words stands here alone, so that there is nothing round it at all.</p>", "One single paragraph of some twenty words stands here alone, so that there is nothing round it at all."),
+    ("Only plain text without any tag. It has two sentences &amp; an entity.", "Only plain text without any tag. It has two sentences & an entity."), ("hello", "hello"), ("a < b, and c", "a < b, and c"),
+    ("<body>First line of the text.<br>Second line of it, longer.<br>Third.</body>", "First line of the text. Second line of it, longer. Third."),
+])
+def test_pages_without_names(page, want):
+    d = html_text.parse(page)
+    assert html_text.extract(d, html_text.train().log_odds([d])[0]) == want
+
+
 def test_parsing_is_linear_in_depth():
     import time
 

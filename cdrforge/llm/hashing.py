@@ -50,9 +50,9 @@ class Words(NamedTuple):
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null is an empty text."""
+    column = column.cast(pa.large_string()).fill_null("")  # beyond 2 GB chunks of short offsets are not combined
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(offsets):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

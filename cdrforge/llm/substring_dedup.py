@@ -12,7 +12,8 @@ bucket grows with it. A hash is 64 bits wide and its bucket comes from a second,
 independent polynomial, so two windows are confused with a chance of about
 1 / (2**64 * buckets). Batches and buckets are sized in bytes: work in a task is
 bounded by ``batch_bytes`` (of text, or one longer text) and ``bucket_bytes`` (of
-hashes). Unless told otherwise both follow the input, so that what a batch sends to
+hashes). Rows of one id, or without an id, that exceed a batch are dealt over several
+by their text; these share a range, and so none of them is earlier than another. Unless told otherwise both follow the input, so that what a batch sends to
 a bucket stays half a kilobyte at least up to 128 TB.
 """
 
@@ -33,6 +34,8 @@ _PARTS, _BUCKETS, _SMALL = 128, 256, 1 << 18
 
 
 _LEAST_BLOB, _MOST_BYTES, _WEIGHT = 512, 256 << 20, 1 << 14
+#: Batches of one range at most; a batch's number is its range's times this, and its place in it.
+_TWINS = 1 << 20
 
 
 def sizes(total: int, batch_bytes: int | None, bucket_bytes: int | None) -> tuple[int, int]:
@@ -52,6 +55,12 @@ def range_ends(sized: DataFrame, parts: int) -> list[int]:
     return sorted(r["e"] for r in rows.groupBy(F.spark_partition_id()).agg(F.max("id").alias("e")).collect())[:-1]
 
 
+def heavy_ids(sized: DataFrame, batch_bytes: int) -> dict[int, int]:
+    """Ids of several rows that hold more than a batch together, and over how many batches they are dealt: fewer than there are batches."""
+    rows = sized.groupBy("id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > batch_bytes) & (F.col("n") > 1)).collect()
+    return {r["id"]: min(-(-r["bytes"] // batch_bytes), _TWINS) for r in rows}
+
+
 def range_number(df: DataFrame, column: str, ends: list[int], name: str = "batch") -> DataFrame:
     """``df`` with how many of the sorted ``ends`` lie below the column: by a few literals, and then a table of eight bytes for each end."""
     step = max(1, int(len(ends) ** 0.5))
@@ -72,7 +81,7 @@ def _ordered(table: pa.Table) -> pa.Table:
 def _hashes(table: pa.Table, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch's windows: hash, bucket, index of the first word; and the number of words before each document."""
     out, begin, done = [], [0], 0
-    for part in pieces(table.combine_chunks().to_batches()[0], "text") if table.num_rows else ():
+    for part in (p for b in table.to_batches() for p in pieces(b, "text")):
         w = words(part.column("text"))
         g = windows(w.hash, size)
         inside = np.ones(len(g), bool)
@@ -96,7 +105,7 @@ def _distinct(h: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send(size: int, buckets: int):
-    kind = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("hashes", pa.binary())])
+    kind = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
@@ -105,19 +114,21 @@ def _send(size: int, buckets: int):
         h, b = h[order[new]], b[order[new]]
         cut = np.flatnonzero(np.diff(b, prepend=np.uint32(1 << 31))) if len(b) else np.zeros(0, int)
         blobs = [h[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(h)], strict=True)] if len(cut) else []
-        return pa.table([pa.array(b[cut].astype(np.int32)), pa.array([batch] * len(cut), pa.int32()), pa.array(blobs, pa.binary())], schema=kind)
+        return pa.table([pa.array(b[cut].astype(np.int32)), pa.array([batch] * len(cut), pa.int64()), pa.array(blobs, pa.binary())], schema=kind)
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """One bit for each hash of each batch: an earlier batch has it as well."""
+    """One bit for each hash of each batch: a batch of an earlier range has it as well."""
     table = table.sort_by("batch")
     blobs = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
     h = np.concatenate(blobs)
+    span = np.repeat(table.column("batch").to_numpy() // _TWINS, [len(x) for x in blobs])
     order = np.argsort(h, kind="stable")
+    lead = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(h) else order
     again = np.zeros(len(h), bool)
-    again[order[1:]] = h[order[1:]] == h[order[:-1]]
+    again[order] = span[order] > np.repeat(span[order[lead]], np.diff(lead, append=len(h)))
     cut = np.cumsum([0, *map(len, blobs)])
     bits = [again[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
     use = [i for i, x in enumerate(bits) if x.any()]
@@ -169,7 +180,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id. Windows are judged on the input. The words left are joined by one space;
     with ``layout`` a text that loses none stays as it is. A null text has no
     words; a text of fewer words than a window loses none. A null id comes after
-    all others. Rows of one id do not remove each other's words. Columns that are
+    all others. Rows of one id do not remove each other's words. Equal rows of one id
+    stand in one batch, however many they are. Columns that are
     not carried are ignored, whatever their names; a carried column must not have
     the name of a returned one. An empty table gives an empty one.
     """
@@ -180,9 +192,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     batch_bytes, bucket_bytes = sizes(total, batch_bytes, bucket_bytes)
     parts = max(min(_PARTS, total // _SMALL), total // batch_bytes, 1)
     buckets = int(max(min(_BUCKETS, total // 4096), total * 8 // 5 // bucket_bytes, 1))
-    dealt = range_number(base, "id", range_ends(sized, parts))
-    sent = dealt.groupBy("batch").applyInArrow(_send(window, buckets), "bucket int, batch int, hashes binary")
-    flags = sent.groupBy("bucket").applyInArrow(_answer, "batch int, bucket int, bits binary")
+    heavy = heavy_ids(sized, total // parts) if parts > 1 else {}
+    twins = F.broadcast(docs.sparkSession.createDataFrame(list(heavy.items()), "__id long, __twins long"))  # fewer rows than batches
+    ends = sorted({*range_ends(sized.join(twins, F.col("id") == F.col("__id"), "left_anti"), parts), *(e for h in heavy for e in (h - 1, h))} - {_LAST})
+    dealt = range_number(base, "id", ends, "range").join(twins, F.col("id") == F.col("__id"), "left")
+    twin = F.coalesce(F.expr("pmod(xxhash64(text, 3), __twins)"), F.lit(0))
+    dealt = dealt.withColumn("batch", F.col("range") * F.lit(_TWINS).cast("long") + twin).drop("range", "__id", "__twins")
+    sent = dealt.groupBy("batch").applyInArrow(_send(window, buckets), "bucket int, batch long, hashes binary")
+    flags = sent.groupBy("bucket").applyInArrow(_answer, "batch long, bucket int, bits binary")
     extra = "".join(f", {n} {dealt.schema[n].dataType.simpleString()}" for n in named.values())
     out = dealt.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_remove(window, buckets, list(named.values()), layout), "id long, n_words long, n_removed long, kept string" + extra)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(n).alias(c) for c, n in named.items()))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cdrforge.llm import hashing, near_dup, queries
+from cdrforge.llm import hashing, near_dup, queries, substring_dedup
 from cdrforge.llm.line_dedup import drop_boilerplate
 from cdrforge.llm.near_dup import near_duplicates
 from cdrforge.llm.sql import SQL
@@ -170,6 +171,29 @@ def test_substrings_over_many_batches(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_removal(rows, 13)
 
 
+@pytest.mark.parametrize("lost", [None, 5])
+def test_many_rows_without_an_id_or_of_one_id(spark, lost, monkeypatch):
+    """A third of all rows: they are dealt over batches of their own, don't remove each other's words, and lose what stands in smaller ids."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.withColumn("doc_id", F.expr(f"case when doc_id % 3 = 1 then {'null' if lost is None else lost} else doc_id end")).repartition(4)
+    seen, told = [], substring_dedup.heavy_ids
+    monkeypatch.setattr(substring_dedup, "heavy_ids", lambda *a: seen.append(told(*a)) or seen[-1])
+    got = remove_repeats(docs, batch_bytes=40_000).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+
+    rows = [(math.inf if r["doc_id"] is None else r["doc_id"], WORD.findall(r["text"] or "")) for r in docs.collect()]
+    first = {}
+    for i, ws in rows:
+        for k in range(len(ws) - 12):
+            key = tuple(ws[k : k + 13])
+            first[key] = min(i, first.get(key, i))
+    want = []
+    for i, ws in rows:
+        gone = {k + x for k in range(len(ws) - 12) if first[tuple(ws[k : k + 13])] < i for x in range(13)}
+        want.append((None if i == math.inf else i, len(ws), len(gone), hashlib.sha256(" ".join(w for k, w in enumerate(ws) if k not in gone).encode()).hexdigest()))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and sum(w[2] > 0 for w in want) > 50
+    assert len(seen[0]) == 1 and next(iter(seen[0].values())) > 2
+
+
 def test_range_number(spark):
     bounds = [-5, 0, 3, 9, 100, 101]
     for b in ([], bounds[:1], bounds, list(range(-9, 100, 2))):

@@ -10,7 +10,7 @@ import sys
 from cdrforge import logs
 from cdrforge.plans.analysis import Analysis
 from cdrforge.session import session
-from cdrforge.sinks import charts, reports
+from cdrforge.sinks import charts, ordered, reports
 from cdrforge.sources.airr import read_airr
 
 
@@ -52,9 +52,9 @@ def run(o: argparse.Namespace) -> None:
         logs.log.info("Hamming graph: %d nodes, %d edges, %d blocks scanned on %d worker(s).", graph["n_nodes"], graph["n_edges"], graph["n_blocks"], spark.sparkContext.defaultParallelism)
     sys.stdout.write(reports.stats_text(a.stats))
     if o.dump_lineages:
-        reports.write_file(o.dump_lineages, reports.lineage_text(a.table))
+        ordered.write_lineages(a.members, a.ranked, o.dump_lineages)
     if o.dump_usage:
-        reports.write_file(o.dump_usage, reports.usage_text(a.usage))
+        ordered.write_usage(a.usage, o.dump_usage)
     if o.usage_plot:
         bars = [(r["v_gene"], float(r["reads"])) for r in a.usage.orderBy("v_gene").collect()]  # as many as there are genes
         reports.write_file(o.usage_plot, [charts.columns("V Gene Usage Statistics", "V genes", "reads", bars)])
@@ -66,7 +66,7 @@ def run(o: argparse.Namespace) -> None:
     if o.weblogo_query:
         if a.summaries.isEmpty():
             logs.log.warning("No lineages: the WebLogo query is empty.")
-        reports.write_file(o.weblogo_query, reports.weblogo_text(a.weblogo))
+        ordered.write_weblogo(a.weblogo, o.weblogo_query)
     logs.log.info("Analysis complete.")
 
 

@@ -1,8 +1,8 @@
-"""Text reports, byte for byte: LF ends, no quoting. Rows stream to the driver in order; Parquet is for tables beyond one file."""
+"""Lines of text reports, byte for byte: LF ends, no quoting."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
@@ -40,46 +40,7 @@ def usage_lines(usage: DataFrame) -> DataFrame:
     return usage.select("v_gene", F.concat_ws("\t", "v_gene", "reads").alias("line"))
 
 
-def _streamed(lines: DataFrame, by: str) -> Iterator[str]:
-    for r in lines.orderBy(by).select("line").toLocalIterator():
-        yield r["line"] + "\n"
-
-
-def lineage_text(table: DataFrame) -> Iterator[str]:
-    yield LINEAGE_HEADER + "\n"
-    yield from _streamed(lineage_lines(table), "lineage")
-
-
-def usage_text(usage: DataFrame) -> Iterator[str]:
-    yield USAGE_HEADER + "\n"
-    yield from _streamed(usage_lines(usage), "v_gene")
-
-
-def weblogo_text(rows: DataFrame) -> Iterator[str]:
-    """One line per read, without a line end after the last."""
-    for k, r in enumerate(rows.orderBy("ord").select("aa").toLocalIterator()):
-        yield ("\n" if k else "") + r["aa"]
-
-
-def write_fasta(records: DataFrame, prefix: str) -> list[str]:
-    """``prefix.V``, ``.D`` and ``.J`` of the records there are; a segment without any gets no file."""
-    written = []
-    for segment in "VDJ":
-        rows = records.where(F.col("sequence_type") == segment).orderBy("file", "pos").select("record")
-        lines = (r["record"] + "\n" for r in rows.toLocalIterator())
-        first = next(lines, None)
-        if first is not None:
-            write_file(f"{prefix}.{segment}", [first, *lines])
-            written.append(f"{prefix}.{segment}")
-    return written
-
-
 def annotation_lines(rows: DataFrame) -> DataFrame:
     """file, pos, dpos, line."""
     columns = [c for c in rows.columns if c not in ("file", "pos", "dpos")]
     return rows.select("file", "pos", "dpos", F.concat_ws("\t", *columns).alias("line"))
-
-
-def write_annotation(rows: DataFrame, path: str) -> None:
-    ordered = annotation_lines(rows).orderBy("file", "pos", "dpos").select("line")
-    write_file(path, (r["line"] + "\n" for r in ordered.toLocalIterator()))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cdrforge import cli, logs, plots
 from cdrforge.operators import germline as op
-from cdrforge.sinks import charts, reports
+from cdrforge.sinks import charts, ordered, reports
 from cdrforge.sources import aligner, germline
 from cdrforge.sources.airr import read_airr
 
@@ -111,11 +111,11 @@ def sets(spark, tmp_path_factory):
 
 def test_germline_sets(sets, tmp_path):
     a = op.alleles(sets)
-    written = reports.write_fasta(op.fasta(a), str(tmp_path / "db"))
+    written = ordered.write_fasta(op.fasta(a), str(tmp_path / "db"))
     assert written == [f"{tmp_path}/db.V", f"{tmp_path}/db.J"]
     assert (tmp_path / "db.V").read_text() == ">V1\nacgtacgta\n>V2\na\n>V3\ng\n" and (tmp_path / "db.J").read_text() == ">J1\ntt\n"
     assert dict(rows(op.titles(a))) == {"V": " N R.1  M R.2", "J": " N R.1"}
-    reports.write_annotation(op.v_annotation(a), str(tmp_path / "out" / "v.txt"))
+    ordered.write_annotation(op.v_annotation(a), str(tmp_path / "out" / "v.txt"))
     assert (tmp_path / "out" / "v.txt").read_text() == "V1\t1\t2\t2\t3\t4\t5\t6\t7\t8\t96\tVH\t0\n"
 
 
@@ -148,7 +148,7 @@ def test_aligner_runs_once_a_partition(spark, tmp_path):
 
 def test_usage_table(spark, tmp_path):
     df = spark.createDataFrame([("IGHV4/OR15-8", 5), ("IGHV1", 2), ("IGHV4-61", 9)], "v_gene string, reads long")
-    reports.write_file(tmp_path / "x" / "u.tsv", reports.usage_text(df))
+    ordered.write_usage(df, tmp_path / "x" / "u.tsv")
     assert (tmp_path / "x" / "u.tsv").read_bytes() == b"v_gene\treads\nIGHV1\t2\nIGHV4-61\t9\nIGHV4/OR15-8\t5\n"
     assert sorted(rows(germline.result_table(spark, str(tmp_path / "x" / "u.tsv"), germline.USAGE_SCHEMA))) == [("IGHV1", 2), ("IGHV4-61", 9), ("IGHV4/OR15-8", 5)]
     with pytest.raises(FileNotFoundError):

@@ -3,7 +3,8 @@
 Equal vectors form a class, and one of it is indexed. Each shard's graph is built
 once; a task loads it and the queries stream by in blocks. A sample of each block
 is compared with all vectors of the shard, and beams are widened until the sample's
-links are found. A beam that is full of links is widened for its query alone. Where
+links are found. Where few of the sample have links, neighbours are planted: vectors
+just within the cosine of some of the shard's, whose links are looked for as well. A beam that is full of links is widened for its query alone. Where
 a beam would have to look at more vectors one by one than a matrix product with the
 whole shard is worth, as in a dense group, that product is taken instead, slice by
 slice. Links are confirmed in double precision, counted and joined up as they come:
@@ -101,14 +102,28 @@ def _truth(exact: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float, aud
     return out
 
 
+def planted(exact: np.ndarray, cosine: float, n: int) -> np.ndarray:
+    """``n`` unit vectors, each a little closer to one of the shard's than ``cosine``, in a random direction from it."""
+    rng = np.random.default_rng(3)
+    near = exact[rng.integers(0, len(exact), n)]
+    away = rng.standard_normal(near.shape)
+    away -= np.einsum("ij,ij->i", away, near)[:, None] * near
+    size = np.sqrt((away * away).sum(1, keepdims=True))
+    close = cosine + (1 - cosine) * 0.05
+    # in one dimension there is no direction away
+    return _unit(close * near + np.sqrt(1 - close * close) * np.divide(away, size, out=np.zeros_like(away), where=size > 1e-9))
+
+
 def audited(index: Index, exact: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float, width: int, audit: int, recall: float) -> tuple[int, int, float]:
     """The width at which the audited queries find ``recall`` of their links on average; how many they are, and their recall.
 
-    ``own``: a query's own node, or -1. Without an audited query that has links the first width stands, and its recall is NaN.
+    ``own``: a query's own node, or -1. With less than ``_LINKED`` queries that have links, planted ones make up for the rest.
     """
     truth, n = _truth(exact, q, own, cosine, audit), len(exact)
-    if not truth:
-        return width, 0, float("nan")
+    if len(truth) < _LINKED:
+        more = planted(exact, cosine, _LINKED - len(truth))
+        truth |= {len(q) + k: np.flatnonzero(exact @ v >= cosine) for k, v in enumerate(more)}
+        q = np.concatenate([q, more])
     rows = np.array(list(truth))
     while True:
         got: list = [np.zeros(0, np.int64)] * len(rows)
@@ -235,8 +250,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     component. Other columns are ignored, whatever their names; an empty table
     gives an empty one. A shard holds ``shard_rows`` vectors and ``shard_bytes`` of
     doubles at most on average. With ``report``, a Parquet table of the audits goes
-    there: dim, shard, audited (queries with links), recall (their mean) and width,
-    a row for each block of queries and shard.
+    there: dim, shard, audited (queries with links, planted ones among them), recall
+    (their mean) and width, a row for each block of queries and shard.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")

@@ -435,6 +435,15 @@ def test_equal_vectors_are_told_by_two_hashes(spark):
     assert got[0]["a"] == got[1]["a"] and got[0]["c"] == got[1]["c"] and len({r["b"] for r in got} | {r["a"] for r in got}) == 4
 
 
+def test_recall_is_a_number_where_no_vector_has_a_link(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 24)))] + [(2000 + i, [float(i + 1)]) for i in range(3)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=3, report=f"{tmp_path}/audit").collect()
+    assert all(r["n_links"] == (2 if r["vec_id"] >= 2000 else 0) for r in got)
+    audits = spark.read.parquet(f"{tmp_path}/audit").where("dim = 24").collect()
+    assert {r["shard"] for r in audits} == {0, 1, 2} and all(r["audited"] == 32 and r["recall"] >= 0.99 for r in audits)
+
+
 def test_recall_on_the_table(spark):
     rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     want = brute_links(rows)

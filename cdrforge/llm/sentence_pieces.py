@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentations: forward filtering, backward sampling.
 
-No piece of the vocabulary runs from another character into a space, so the
-lattice of a text falls apart before each run of spaces, and a run with what
+No piece of the vocabulary runs from another character into a space (a model with
+such a piece is refused), so the lattice of a text falls apart before each run of spaces, and a run with what
 follows it is sampled on its own. Forward sums are computed once for each distinct
 unit of a batch, for all units in unison; backward sampling then draws the last
 piece of every occurrence, the one before it, and so on. A draw is a hash of the
@@ -68,6 +68,8 @@ def vocabulary(path: str, alpha: float = 1.0) -> Vocabulary:
         if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
             continue
         raw[i] = name.replace(_MARK, " ").encode()
+        if _MARK in name.lstrip(_MARK):
+            raise ValueError(f"{path}: the piece {name} runs from another character into a space")
         score[i] = -alpha * np.log(min(-model.get_score(i), n) + 2)
         for k in range(1, len(raw[i]) + 1):
             while len(tables) <= k:

@@ -259,3 +259,17 @@ def test_pieces_of_odd_rows(spark, odd, none):
     assert back == Counter((r["doc_id"], r["text"] or "") for r in odd.collect())
     assert sentence_pieces.encode(none, PIECES).collect() == []
     assert all(r["lossless"] for r in queries.op6_sentencepiece(spark, SF).collect())
+
+
+def test_a_piece_that_runs_into_a_space_is_refused(monkeypatch):
+    class Model:
+        def __init__(self, model_file):
+            pass
+
+        get_piece_size = lambda self: 1
+        id_to_piece = lambda self, i: "a▁b"
+        is_byte = is_control = is_unknown = is_unused = lambda self, i: False
+
+    monkeypatch.setattr("sentencepiece.SentencePieceProcessor", Model)
+    with pytest.raises(ValueError, match="runs from another character into a space"):
+        sentence_pieces.vocabulary("made up")

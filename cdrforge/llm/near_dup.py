@@ -66,13 +66,14 @@ def _sketches(size: int, k: int) -> Callable:
     return run
 
 
-def _sets(size: int, bits: np.ndarray) -> Callable:
+def _sets(size: int, bits: np.ndarray | None) -> Callable:
+    """Shingle sets of the texts whose ids the filter lets through, or of all."""
     kind = pa.schema([("id", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             hit = np.ones(whole.num_rows, bool)
-            for k in range(_PROBES):
+            for k in range(_PROBES if bits is not None else 0):
                 at = whole.column(f"p{k}").to_numpy()
                 hit &= (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             for batch in pieces(whole.filter(pa.array(hit)), "text") if hit.any() else ():
@@ -99,6 +100,19 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def candidate_sets(texts: DataFrame, ids: DataFrame, shingle: int, most_bits: int = _MOST_BITS) -> DataFrame:
+    """id and payload (shingle set) of the rows of ``texts`` (id, text) whose id is in ``ids`` (unique), and of some others.
+
+    Up to ``most_bits`` / 16 ids a Bloom filter picks them where they are read. A filter
+    of more ids would let most others through: then texts and ids are joined first.
+    """
+    kind = "id long, payload binary"
+    if 16 * ids.count() > most_bits:
+        return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(shingle, None), kind)
+    bits = id_filter(ids)
+    return texts.select("id", "text", *probes(len(bits) << 6)).mapInArrow(_sets(shingle, bits), kind)
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of the block."""
     n = len(sets)
@@ -277,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
     least = least_common(k, percent, loss)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = scratch.table(base.withColumn("h", F.xxhash64("text")).mapInArrow(_sketches(shingle, k), "id long, h long, n long, ka long, kb long, sketch array<long>"), "sketches")
     classes = rows.where("ka is not null and id is not null").groupBy("ka", "kb").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
     classes = scratch.table(classes, "sizes")
@@ -302,8 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = comp.select(F.col("node").alias("id"), F.col("component").alias("ka"), F.lit(0).alias("kb"))
     cand = join_classes(keyed, scratch.table(weight, "weights"), F.col("id"))
     cand = scratch.table(cand.select("id", F.col("ka").alias("key"), "nb"), "candidates")
-    bits = id_filter(cand.select("id"))
-    full = base.select("id", "text", *probes(len(bits) << 6)).mapInArrow(_sets(shingle, bits), "id long, payload binary")
+    full = candidate_sets(base, cand.select("id"), shingle)
     at = scratch.write(full, "sets")
     true = block_links(scratch.read(at, full).join(cand, "id"), jaccard_pairs(percent), "uint64", scratch, "set")
     scratch.drop(at)

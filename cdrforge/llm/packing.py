@@ -186,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     parts = max(1, base.rdd.getNumPartitions())  # a plan that is known to be empty has none
     level = scratch.table(base.mapInArrow(_pack(_texts(tokenizer, end_id, special), size, open_windows, 0, with_ids, False), _SQL_KIND), "level-0")
     done = [level.where("done")]

@@ -95,8 +95,8 @@ def shard(docs: DataFrame, tokenizer: str, shards: int = 8, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("h"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("h"), text.alias("text"))
     rows = rows.mapInArrow(_counted(tokenizer), "id long, size long, crc long, h long, tokens long")
     rows = scratch.table(rows, "rows").withColumn("salt", F.lit(0).cast("long"))
     key = ["h", "crc", "size", "salt"]

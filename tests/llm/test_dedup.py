@@ -5,12 +5,15 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from cdrforge.llm import hashing, near_dup, queries, substring_dedup
 from cdrforge.llm.line_dedup import drop_boilerplate
 from cdrforge.llm.near_dup import near_duplicates
+from cdrforge.llm.packing import pack
+from cdrforge.llm.sharding import shard
 from cdrforge.llm.sql import SQL
 from cdrforge.llm.substring_dedup import range_ends, range_number, remove_repeats, sizes
 
@@ -113,6 +116,25 @@ def test_a_sketch_of_whole_sets_is_exact(spark):
     assert 100 < len(set(want.values())) - 400 < 400
 
 
+def test_only_candidates_are_shingled_past_a_full_filter(spark):
+    texts = spark.createDataFrame([(k, f"some words of text {k % 50}") for k in range(2000)], "id long, text string")
+    ids = texts.where("id % 7 = 0").select("id")
+    for bits in (1 << 26, 1 << 10):
+        got = near_dup.candidate_sets(texts, ids, 2, bits).collect()
+        wanted = {r["id"]: r["payload"] for r in got if r["id"] % 7 == 0}
+        assert len(wanted) == ids.count() and all(len(p) == 8 * 4 for p in wanted.values())
+        assert bits > 1 << 20 or len(got) == len(wanted)
+
+
+def test_columns_whose_names_hold_dots(odd):
+    named = odd.withColumnsRenamed({"doc_id": "a.b", "text": "t.x"})
+    got = near_duplicates(named, id_col="a.b", text_col="t.x").collect()
+    assert {(r["a.b"], r["component_id"]) for r in got} == {(r["doc_id"], r["component_id"]) for r in near_duplicates(odd).collect()}
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert shard(named, path, id_col="a.b", text_col="t.x").count() == odd.count()
+    assert pack(named, path, id_col="a.b", text_col="t.x").agg(F.sum("length")).first() == pack(odd, path).agg(F.sum("length")).first()
+
+
 @pytest.mark.parametrize("copies", [700, 3000])
 def test_a_class_of_a_third_of_all_rows(spark, copies):
     """Rows of a hot class, rows without words and rows without an id keep their verdicts."""

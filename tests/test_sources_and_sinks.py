@@ -225,8 +225,8 @@ def test_scales():
 
 
 def test_log_lines():
-    assert logs.line("2026-09-17 15:34:47", "info", "Analysis complete.") == "2026-09-17 15:34:47 | info     | Analysis complete."
-    assert logs.line("t", "warning", "careful") == "t | warning  | careful"
+    assert logs.line("2031-01-02 03:04:05", "debug", "nodes: 7") == "2031-01-02 03:04:05 | debug    | nodes: 7"
+    assert logs.line("now", "warning", "a | b") == "now | warning  | a | b"
     assert logs.level("WARNING") == logging.WARNING
     with pytest.raises(ValueError, match="LOUD"):
         logs.level("LOUD")

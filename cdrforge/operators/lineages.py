@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cdrforge.operators.components import connected_components
+from cdrforge.operators.semi_join import semi_join
 from cdrforge.storage import Scratch
 
 
@@ -105,9 +106,11 @@ def stats(lineages: DataFrame, least: int = 10, by: Sequence[str] = ()) -> DataF
 
 def weblogo(reads: DataFrame, member: DataFrame) -> DataFrame:
     """ord, aa: amino acids of the largest lineage's reads, spaces as ``*``, padded with ``*`` to the longest."""
+    scratch = Scratch(reads.sparkSession, "weblogo")
     top = largest(summaries(member)).select("component")
     wanted = member.join(F.broadcast(top), "component", "left_semi").select("cdr3")  # one row
-    rows = reads.join(wanted, "cdr3", "left_semi").select("ord", F.translate("cdr3_aa", " ", "*").alias("aa"))
-    rows = Scratch(reads.sparkSession, "weblogo").table(rows, "rows")  # read twice, and reads may be dear
+    at, n = scratch.write_counted(wanted, "wanted")
+    rows = semi_join(reads, scratch.read(at, wanted), n).select("ord", F.translate("cdr3_aa", " ", "*").alias("aa"))
+    rows = scratch.table(rows, "rows")  # read twice, and reads may be dear
     width = rows.agg(F.max(F.length("aa")).alias("w"))
     return rows.crossJoin(F.broadcast(width)).select("ord", F.expr("rpad(aa, w, '*')").alias("aa"))  # one row again

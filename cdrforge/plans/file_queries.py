@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cdrforge.operators import germline as op
 from cdrforge.plans.adapters import analysis, raw
 from cdrforge.plans.queries import QUERIES as QUERIES, query
-from cdrforge.sinks import reports
+from cdrforge.sinks import ordered, reports
 from cdrforge.sources import germline
 from cdrforge.sources.airr import read_airr
 from cdrforge.storage import Scratch
@@ -44,22 +44,36 @@ def airr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_airr(spark, f"{base}/run*").select("cdr3", "cdr3_aa", "cdr_length", F.array_join("v_call", ",").alias("v_call"), F.array_join("j_call", ",").alias("j_call"))
 
 
+def _file(spark: SparkSession, name: str) -> str:
+    """A file's place in the shared folder, with the scheme of its store."""
+    scratch = Scratch(spark, "files")
+    at, fs = scratch._at(f"{scratch.base}/{name}")
+    return fs.makeQualified(at).toString()
+
+
 @query
 def lineage_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lineage table as it is written, read again."""
-    lines = reports.lineage_lines(analysis(spark, sf_dir).table).orderBy("lineage").select("line")
-    at = f"{Scratch(spark, 'files').base}/lineages"
-    lines.withColumnRenamed("line", reports.LINEAGE_HEADER).write.csv(at, sep="\n", header=True, quote="")
+    """The lineage table as it is written, read again; lines of over 5 members come from several rows."""
+    a, at = analysis(spark, sf_dir), _file(spark, "lineages.tsv")
+    ordered.write_lineages(a.members, a.ranked, at, piece=5)
     return germline.result_table(spark, at, germline.LINEAGE_SCHEMA)
 
 
 @query
 def usage_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{Scratch(spark, 'files').base}/usage"
-    reports.usage_lines(analysis(spark, sf_dir).usage).select(F.col("line").alias(reports.USAGE_HEADER)).write.csv(at, sep="\n", header=True, quote="")
+    at = _file(spark, "usage.tsv")
+    ordered.write_usage(analysis(spark, sf_dir).usage, at)
     return germline.result_table(spark, at, germline.USAGE_SCHEMA)
 
 
+@query
+def weblogo_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the largest lineage as they are written, read again."""
+    at = _file(spark, "weblogo.txt")
+    ordered.write_weblogo(analysis(spark, sf_dir).weblogo, at)
+    return spark.read.text(at).withColumnRenamed("value", "aa")
+
+
 @query
 def germline_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a reference tree with the species, locus and segment that their folders name."""

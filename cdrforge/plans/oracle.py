@@ -79,6 +79,7 @@ SQL: dict[str, str] = {
     "v_gene_usage_ranked": _over("reads", f"select v_gene, reads, row_number() over (order by reads desc, v_gene) bar from ({_USAGE})"),
     "top_v_genes": _over("reads", f"select * from ({_USAGE}) order by reads desc, v_gene limit 6"),
     "chart_bars": _BARS,
+    "weblogo_file": _over("lineages", f"select aa from ({_LOGO})"),
     "weblogo_rows": _over("lineages", _LOGO),
     "fasta_records": _over("reads", "select 'R' || read_id accession, array_to_string(j, ',') || '_Mus_spretus' gene, cdr3 as sequence from reads"),
 }

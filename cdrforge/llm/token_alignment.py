@@ -5,6 +5,7 @@ Their AND holds the shared cuts, a population count up to a cut gives the token
 ends there (rank), and the tokens between two shared cuts are one group of A's linked
 with one of B's. Texts of a batch stand one after another in the same bitset, since
 both tokenizers end a token at each text's end; so all steps run over whole batches.
+A text longer than a batch is taken in parts that begin where both must end a token.
 
 A link's count is the number of documents that hold its pair of ids linked. The pairs
 of a document fit an integer each and are written once. Those counted most often (a
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,7 +29,7 @@ from cdrforge.llm.hashing import pieces
 from cdrforge.llm.packing import byte_names, encoder, library
 from cdrforge.storage import Scratch
 
-_MARK = "▁"
+_MARK, _CUT = "▁", re.compile(rb"(?<=[!-~]) (?=[!-~])")
 CHUNK = 1 << 20
 #: Links that are expanded at a time, and distinct ones that are kept before they are merged.
 _LINKS = 1 << 20
@@ -37,10 +39,12 @@ class Side(NamedTuple):
     raw: list[bytes]  # what each id stands for
     size: np.ndarray  # its bytes
     text: list[bytes]  # "id," and "id" with the mark that ends its side of a group, one after another
+    apart: bool  # no token runs from another character into a space
 
 
 def _side(raw: list[bytes], mark: bytes) -> Side:
-    return Side(raw, np.array([len(r) for r in raw]), [x for i in range(len(raw)) for x in (b"%d," % i, b"%d" % i + mark)])
+    apart = not any(b" " in r.lstrip(b" ") for r in raw)
+    return Side(raw, np.array([len(r) for r in raw]), [x for i in range(len(raw)) for x in (b"%d," % i, b"%d" % i + mark)], apart)
 
 
 @functools.cache
@@ -139,49 +143,106 @@ def distinct(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tupl
             merge()
             fresh = 0
     if not held:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     merge()
     key, n = held[0]
     return key >> 32, key & 0xFFFFFFFF, n
 
 
-def align(texts: list[bytes | None], path_a: str, path_b: str) -> Iterator[tuple]:
-    """For each text n_a, n_b, n_groups, n_links, groups_sha256, and its distinct pairs with how often each is linked."""
+def segments(full: bytes, most: int) -> Iterator[bytes]:
+    """A text (with the space before it) in parts of about ``most`` bytes, each beginning with a space between two visible ASCII characters.
+
+    There both tokenizers end a token, whatever stands round it: no word of A's pattern
+    goes on into a space, no piece of B does, and what follows depends on nothing before.
+    """
+    at = 0
+    while len(full) - at > most and (m := _CUT.search(full, at + most)):
+        yield full[at : m.start()]
+        at = m.start()
+    yield full[at:]
+
+
+def _aligned_parts(full: list[bytes], path_a: str, path_b: str) -> list[tuple | None]:
+    """Of each part n_a, n_b, n_groups, n_links, the digest's text, distinct pairs and how often each is linked; None if a tokenizer doesn't give it back."""
     va, vb = side_a(path_a), side_b(path_b)
-    held = [k for k, t in enumerate(texts) if t]
-    full = [b" " + texts[k] for k in held]
     strings = [t.decode("utf-8", "replace") for t in full]
     ids_a = [encode_a(s, path_a) for s in strings]
     ids_b = [np.array(x, np.int64) for x in model_b(path_b).encode([s[1:] for s in strings], num_threads=1)]
     joined = lambda ids, v: b"".join(map(v.raw.__getitem__, ids.tolist()))
-    good = [k for k in range(len(held)) if joined(ids_a[k], va) == full[k] == joined(ids_b[k], vb)]
-    out: list[tuple] = [(0, 0, 0, 0, "", None, None)] * len(texts)
-    if good:
-        a, b = np.concatenate([ids_a[k] for k in good]).astype(np.int64), np.concatenate([ids_b[k] for k in good])
-        size = np.cumsum([len(full[k]) for k in good])
-        bits_a, bits_b = bits(np.cumsum(va.size[a]), int(size[-1])), bits(np.cumsum(vb.size[b]), int(size[-1]))
-        cuts = select(bits_a & bits_b)
-        first_a, first_b = (np.concatenate([[0], rank(x, cuts)]) for x in (bits_a, bits_b))
-        last = np.searchsorted(cuts, size) + 1  # groups up to each text's end
-        owner = np.searchsorted(size, cuts)
-        whose, pair, times = distinct(expand(a, b, first_a, first_b, owner, len(vb.raw)))
-        bounds = np.searchsorted(whose, np.arange(len(good) + 1))
-        # the digest's text: A's side of a group, B's side, A's side of the next one
-        final_a, final_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        final_a[first_a[1:] - 1] = final_b[first_b[1:] - 1] = 1
-        n_a, n_b = np.diff(first_a), np.diff(first_b)
-        code = np.empty(len(a) + len(b), np.int64)
-        code[np.arange(len(a)) + np.repeat(first_b[:-1], n_a)] = 2 * a + final_a
-        code[np.arange(len(b)) + np.repeat(first_a[1:], n_b)] = 2 * (b + len(va.raw)) + final_b
-        words = va.text + vb.text
-        links = np.concatenate([[0], np.cumsum(n_a * n_b)])
-        lo = 0
-        for k, hi in enumerate(last.tolist()):
-            text = b"".join(map(words.__getitem__, code[first_a[lo] + first_b[lo] : first_a[hi] + first_b[hi]].tolist()))
-            mine = slice(bounds[k], bounds[k + 1])
-            out[held[good[k]]] = (int(first_a[hi] - first_a[lo]), int(first_b[hi] - first_b[lo]), hi - lo, int(links[hi] - links[lo]), hashlib.sha256(text[:-1]).hexdigest(), pair[mine].astype(np.int32), times[mine])
-            lo = hi
-    return iter(out)
+    good = [k for k in range(len(full)) if joined(ids_a[k], va) == full[k] == joined(ids_b[k], vb)]
+    out: list[tuple | None] = [None] * len(full)
+    if not good:
+        return out
+    a, b = np.concatenate([ids_a[k] for k in good]).astype(np.int64), np.concatenate([ids_b[k] for k in good])
+    size = np.cumsum([len(full[k]) for k in good])
+    bits_a, bits_b = bits(np.cumsum(va.size[a]), int(size[-1])), bits(np.cumsum(vb.size[b]), int(size[-1]))
+    cuts = select(bits_a & bits_b)
+    first_a, first_b = (np.concatenate([[0], rank(x, cuts)]) for x in (bits_a, bits_b))
+    last = np.searchsorted(cuts, size) + 1  # groups up to each part's end
+    owner = np.searchsorted(size, cuts)
+    whose, pair, times = distinct(expand(a, b, first_a, first_b, owner, len(vb.raw)))
+    bounds = np.searchsorted(whose, np.arange(len(good) + 1))
+    # the digest's text: A's side of a group, B's side, A's side of the next one
+    final_a, final_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    final_a[first_a[1:] - 1] = final_b[first_b[1:] - 1] = 1
+    n_a, n_b = np.diff(first_a), np.diff(first_b)
+    code = np.empty(len(a) + len(b), np.int64)
+    code[np.arange(len(a)) + np.repeat(first_b[:-1], n_a)] = 2 * a + final_a
+    code[np.arange(len(b)) + np.repeat(first_a[1:], n_b)] = 2 * (b + len(va.raw)) + final_b
+    words = va.text + vb.text
+    links = np.concatenate([[0], np.cumsum(n_a * n_b)])
+    lo = 0
+    for k, hi in enumerate(last.tolist()):
+        text = b"".join(map(words.__getitem__, code[first_a[lo] + first_b[lo] : first_a[hi] + first_b[hi]].tolist()))
+        mine = slice(bounds[k], bounds[k + 1])
+        out[good[k]] = (int(first_a[hi] - first_a[lo]), int(first_b[hi] - first_b[lo]), hi - lo, int(links[hi] - links[lo]), text[:-1], pair[mine], times[mine])
+        lo = hi
+    return out
+
+
+class _Sum:
+    """What the parts of one text come to."""
+
+    def __init__(self) -> None:
+        self.n, self.sha, self.sound = np.zeros(4, np.int64), hashlib.sha256(), True
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, part: tuple | None) -> None:
+        if part is None or not self.sound:
+            self.sound = False
+            return
+        if self.n[0]:
+            self.sha.update(b";")
+        self.sha.update(part[4])
+        self.n += part[:4]
+        self.held.append((np.zeros(len(part[5]), np.int64), part[5], part[6]))
+        if sum(len(x) for _, x, _ in self.held[1:]) > 4 * _LINKS:
+            self.held = [distinct(iter(self.held))]
+
+    def row(self) -> tuple:
+        if not self.sound or not self.n[0]:
+            return (0, 0, 0, 0, "", None, None)
+        _, pair, times = self.held[0] if len(self.held) == 1 else distinct(iter(self.held))
+        return (*self.n.tolist(), self.sha.hexdigest(), pair.astype(np.int32), times)
+
+
+def align(texts: list[bytes | None], path_a: str, path_b: str, most: int = CHUNK) -> Iterator[tuple]:
+    """For each text n_a, n_b, n_groups, n_links, groups_sha256, and its distinct pairs with how often each is linked; long texts in parts of about ``most`` bytes."""
+    sums = [_Sum() for _ in texts]
+    held: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        for (k, _), part in zip(held, _aligned_parts([x for _, x in held], path_a, path_b), strict=True):
+            sums[k].add(part)
+        held.clear()
+
+    for k, text in enumerate(texts):
+        for part in segments(b" " + text, most if side_b(path_b).apart else len(text) + 1) if text else ():
+            held.append((k, part))
+            if sum(len(x) for _, x in held) >= most:
+                flush()
+    flush()
+    return (x.row() for x in sums)
 
 
 _KIND = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))]

@@ -92,6 +92,17 @@ def test_hard_texts(spark, brute):
     check(token_alignment(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), BPE, PIECES, hot=200), brute(docs))
 
 
+def test_long_texts_in_parts(docs):
+    """Cut anywhere it may be cut, a text has the same groups and links."""
+    draw = random.Random(6)
+    texts = [(r["text"] or "").encode() for r in docs.limit(40).collect()] + [t.encode() for t in HARD] + [None, b"", b"x  y z", b"no\tcut here\n at 'll all"]
+    texts += [" ".join(draw.choice(["a", "'s", "don't", "7", "...", "é", "漢", "", "x" * 30, "▁", "\n"]) for _ in range(60)).encode() for _ in range(40)]
+    plain = lambda rows: [(*r[:5], None if r[5] is None else (r[5].tolist(), r[6].tolist())) for r in rows]
+    whole = plain(ta.align(texts, BPE, PIECES))
+    assert plain(ta.align(texts, BPE, PIECES, most=1)) == whole == plain(ta.align(texts, BPE, PIECES, most=50))
+    assert b"".join(ta.segments(texts[0], 10)) == texts[0] and len(list(ta.segments(texts[0], 10))) > 5
+
+
 def test_large_groups_in_blocks(monkeypatch):
     """Distinct ids of a group too large to expand, and merged lists of pairs, give the same links."""
     rng = np.random.default_rng(1)

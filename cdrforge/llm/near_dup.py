@@ -5,7 +5,8 @@
    classes or more retain, the rarest go into inverted lists: a pair with the
    similarity asked for shares at least m sketch values, so it meets in one of
    the r - m + 1 rarest of its r repeated values (prefix filter). m is the
-   binomial bound for a miss below ``loss`` for a pair just at the threshold.
+   binomial bound for a miss below ``loss`` for a pair just at the threshold. Of
+   lists with the same members one is kept.
 3. Pairs within a list pass if the sketch of their union holds m common values.
    The components of these pairs are the candidates.
 4. Within a candidate component full sets are compared, and true links give the
@@ -301,12 +302,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     values = reps.select("id", F.explode("sketch").alias("key"))
     often = values.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     lists = values.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("l"))
-    lists = lists.join(reps.select("id", "n", "sketch"), "id")
+    lists = lists.join(reps.select("id", "n"), "id")
     need = F.expr(f"cast(least({least}, ceil({percent} * n / 100)) as int)")
     lists = lists.withColumn("need", need).where("size(l) >= need")
-    lists = lists.select("id", F.explode(F.expr("slice(l, 1, size(l) - need + 1)")).alias("e"), F.expr("transform(sketch, v -> cast(shiftright(v, 32) as int))").alias("payload"))
-    members = lists.select(F.col("e.key").alias("key"), "id", F.expr(f"cast(ceil(e.c / {list_block}) as long)").alias("nb"), "payload")
-    at = scratch.write(members, "lists")
+    lists = lists.select("id", F.explode(F.expr("slice(l, 1, size(l) - need + 1)")).alias("e")).select(F.col("e.key").alias("key"), "id")
+    lists = scratch.table(lists, "lists")
+    # a pair or group meets in many lists: of those with the same members one is kept, and none of a single member
+    marks = [F.bit_xor(F.xxhash64(*seed, "id")).alias(f"s{i}") for i, seed in enumerate(((), (F.lit(1),)))]
+    same = lists.groupBy("key").agg(F.count("*").alias("c"), *marks).where("c > 1").groupBy("c", "s0", "s1").agg(F.min("key").alias("key"))
+    kept = lists.join(same.select("key", F.expr(f"cast(ceil(c / {list_block}) as long)").alias("nb")), "key")
+    members = kept.join(reps.select("id", F.expr("transform(sketch, v -> cast(shiftright(v, 32) as int))").alias("payload")), "id").select("key", "id", "nb", "payload")
+    at = scratch.write(members, "members")
     close = block_links(scratch.read(at, members), sketch_pairs(k, least, percent), "uint32", scratch, "list")
     scratch.drop(at)
     comp = connected_components(close, "candidates")

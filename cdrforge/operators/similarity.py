@@ -153,8 +153,9 @@ def _keyed(nodes: DataFrame, ratio: float, key: str, x: Layout, by: Sequence[str
     out = out.select("*", F.explode("vs").alias("v")).select("*", F.explode("js").alias("j"))
     if x.genes:
         bits = [*_before("vs", "v", genes["v_call"]), *_before("js", "j", genes["j_call"])]
-        out = out.select("*", *(b.alias(f"before{i}") for i, b in enumerate(bits))).drop("vs", "js")
-    out = out.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("p1"))
+        out = out.select(*(c for c in out.columns if c not in ("vs", "js")), *(b.alias(f"before{i}") for i, b in enumerate(bits)), F.explode(F.expr("sequence(0, n - 1)")).alias("p1"))
+    else:
+        out = out.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("p1"))
     return out.withColumn("k", F.xxhash64(*by, "cdr_length", "v", "j", "p1", _own("h1_", "p1", x)))
 
 
@@ -195,24 +196,23 @@ def _compared(left: DataFrame, right: DataFrame, level: int, ratio: float, x: La
     pairs = left.alias("a").hint("merge").join(right.alias("b"), (a("k") == b("k")) & functools.reduce(Column.__and__, (a(c).eqNullSafe(b(c)) for c in by), F.lit(True)))
     # what k stands for, in a form that is no join key: sides are dealt and sorted by one long
     unequal = [a(c).bitwiseXOR(b(c)) for c in ("v", "j", "cdr_length", *(f"p{i}" for i in range(1, level + 1)))]
-    pairs = pairs.where(functools.reduce(Column.bitwiseOR, unequal) == 0)
-    pairs = pairs.where((a("key") < b("key")) | ~b("fresh") & (a("key") != b("key")))
     if x.wide:
         unlike = F.aggregate(F.zip_with(a("w"), b("w"), lambda p, q: unlike_bytes([p], [q])), F.lit(0), lambda s, p: s + p)
     else:
         unlike = unlike_bytes(*([side(f"w{i}") for i in range(x.size)] for side in (a, b)))
     # beyond the shorter sequence's end each byte differs from none, and doesn't count
     unlike = unlike - F.abs(a("bytes") - b("bytes"))
-    pairs = pairs.where(unlike <= max_distance(a("cdr_length"), ratio))
-    for i in range(1, level + 1):
-        pairs = pairs.where(_first(f"h{i}_", a, b, x) == a(f"p{i}"))
-    if x.genes:
-        if x.gene_words:
-            both = [a(f"before{i}").bitwiseAND(b(f"before{i}")) for i in range(x.gene_words)]
-            pairs = pairs.where(functools.reduce(Column.bitwiseOR, both) == 0)
-    else:
+    rules = [
+        functools.reduce(Column.bitwiseOR, unequal) == 0, (a("key") < b("key")) | ~b("fresh") & (a("key") != b("key")), unlike <= max_distance(a("cdr_length"), ratio),
+        *(_first(f"h{i}_", a, b, x) == a(f"p{i}") for i in range(1, level + 1)),
+    ]
+    if not x.genes:
         least = lambda g: (F.size(a(f"{g}s")) == 1) | (F.size(b(f"{g}s")) == 1) | (a(g) == F.array_min(F.array_intersect(a(f"{g}s"), b(f"{g}s"))))
-        pairs = pairs.where(least("v") & least("j"))
+        rules += [least("v"), least("j")]
+    elif x.gene_words:
+        both = [a(f"before{i}").bitwiseAND(b(f"before{i}")) for i in range(x.gene_words)]
+        rules.append(functools.reduce(Column.bitwiseOR, both) == 0)
+    pairs = pairs.where(functools.reduce(Column.__and__, rules))  # at once: each call would have the plan analysed anew
     return pairs.select(*(a(c).alias(c) for c in by), a("cdr_length").alias("cdr_length"), F.least(a("key"), b("key")).alias("a"), F.greatest(a("key"), b("key")).alias("b"))
 
 

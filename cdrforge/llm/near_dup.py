@@ -311,7 +311,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = [F.bit_xor(F.xxhash64(*seed, "id")).alias(f"s{i}") for i, seed in enumerate(((), (F.lit(1),)))]
     same = lists.groupBy("key").agg(F.count("*").alias("c"), *marks).where("c > 1").groupBy("c", "s0", "s1").agg(F.min("key").alias("key"))
     kept = lists.join(same.select("key", F.expr(f"cast(ceil(c / {list_block}) as long)").alias("nb")), "key")
-    members = kept.join(reps.select("id", F.expr("transform(sketch, v -> cast(shiftright(v, 32) as int))").alias("payload")), "id").select("key", "id", "nb", "payload")
+    kept = kept.groupBy("id").agg(F.collect_list(F.struct("key", "nb")).alias("l"))  # of a sketch's length at most
+    members = kept.join(reps.select("id", F.expr("transform(sketch, v -> cast(shiftright(v, 32) as int))").alias("payload")), "id")
+    members = members.select("id", "payload", F.explode("l").alias("e")).select("e.key", "id", "e.nb", "payload")
     at = scratch.write(members, "members")
     close = block_links(scratch.read(at, members), sketch_pairs(k, least, percent), "uint32", scratch, "list")
     scratch.drop(at)

@@ -31,7 +31,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cdrforge.functions.genes import genes_overlap
 from cdrforge.functions.sequences import chunk, chunks, hamming_distance, max_distance, unlike_bytes, words
 
 #: Longs or chunks of a row in a class of lengths; beyond the last a row holds arrays, which generated code cannot compare.
@@ -254,9 +253,37 @@ def edges(nodes: DataFrame, ratio: float = 0.1, key: str = "cdr3", block: int =
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def edges_by_definition(nodes: DataFrame, ratio: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
-    """The same pairs straight from the definition, quadratic in each length: for tests and diagnosis."""
-    a, b = (nodes.select(*by, "cdr_length", F.col("cdr3").alias(n), F.col("v_call").alias(f"v{n}"), F.col("j_call").alias(f"j{n}")) for n in "ab")
-    pairs = a.join(b, ["cdr_length"]) if not by else a.alias("x").join(b.alias("y"), functools.reduce(Column.__and__, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, "cdr_length")))).select(*(F.col(f"x.{c}") for c in (*by, "cdr_length")), "a", "b", "va", "vb", "ja", "jb")
-    pairs = pairs.where(F.col("a") < F.col("b")).where(genes_overlap(F.col("va"), F.col("vb")) & genes_overlap(F.col("ja"), F.col("jb")))
-    return pairs.where(hamming_distance(F.col("a"), F.col("b")) <= max_distance(F.col("cdr_length"), ratio)).select(*by, "cdr_length", "a", "b")
+def edges_by_definition(nodes: DataFrame, ratio: float = 0.1, by: Sequence[str] = (), block: int = 16384) -> DataFrame:
+    """The same pairs straight from the definition: all nodes of a length with a V and a J gene in common are compared, for tests and diagnosis.
+
+    Quadratic in each (length, V, J) block. A block is dealt into tiles of about ``block``
+    rows, and each two tiles meet once, so no task holds a block. A pair comes from the
+    block of its smallest common genes. Short ASCII sequences are compared as longs, which
+    is the same distance; any others by characters.
+    """
+    plain = F.coalesce(F.col("cdr3").rlike(rf"\A[\x01-\x7f]{{0,{7 * _CLASSES[-1]}}}\z"), F.lit(False))
+    most, n_odd = nodes.agg(F.max(F.when(plain, F.octet_length("cdr3"))), F.count_if(~plain)).first()
+    size = -(-(most or 0) // 7)
+    rows = nodes.select(*by, "cdr_length", "cdr3", F.col("v_call").alias("vs"), F.col("j_call").alias("js"), plain.alias("plain"), F.octet_length("cdr3").alias("bytes"), *_spread("w", words(F.col("cdr3"), size), False))
+    rows = rows.select("*", F.explode("vs").alias("v")).select("*", F.explode("js").alias("j")).withColumn("k", F.xxhash64(*by, "cdr_length", "v", "j"))
+    tiles = rows.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    rows = rows.join(tiles, "k").withColumn("t", F.expr("cast(pmod(xxhash64(cdr3, 5), nb) as int)"))
+    left = rows.withColumn("of", F.explode(F.expr("sequence(t, nb - 1)"))).withColumn("cell", F.xxhash64("k", "t", "of"))
+    right = rows.withColumn("of", F.explode(F.expr("sequence(0, t)"))).withColumn("cell", F.xxhash64("k", "of", "t"))
+    a, b = (lambda c, s=s: F.col(f"{s}.{c}") for s in "ab")
+    least = lambda g: (a(g) == b(g)) & ((F.size(a(f"{g}s")) == 1) | (F.size(b(f"{g}s")) == 1) | (a(g) == F.array_min(F.array_intersect(a(f"{g}s"), b(f"{g}s")))))
+
+    def met(left: DataFrame, right: DataFrame, distance: Column) -> DataFrame:
+        rules = [
+            (a("cdr_length") == b("cdr_length")) & (a("t") == b("of")) & (a("of") == b("t")), (a("cdr3") < b("cdr3")) | (a("t") < b("t")),
+            distance <= max_distance(a("cdr_length"), ratio), *(a(c).eqNullSafe(b(c)) for c in by), least("v"), least("j"),
+        ]
+        pairs = left.alias("a").hint("merge").join(right.alias("b"), a("cell") == b("cell")).where(functools.reduce(Column.__and__, rules))
+        return pairs.select(*(a(c).alias(c) for c in by), a("cdr_length").alias("cdr_length"), F.least(a("cdr3"), b("cdr3")).alias("a"), F.greatest(a("cdr3"), b("cdr3")).alias("b"))
+
+    in_longs = unlike_bytes(*([side(f"w{i}") for i in range(size)] for side in (a, b))) - F.abs(a("bytes") - b("bytes"))
+    in_characters = hamming_distance(a("cdr3"), b("cdr3"))
+    out = met(left.where("plain"), right.where("plain"), in_longs)
+    if n_odd:
+        out = out.unionByName(met(left.where("not plain"), right, in_characters)).unionByName(met(left.where("plain"), right.where("not plain"), in_characters))
+    return out

@@ -38,7 +38,7 @@ _CLASSES = (8, 24)
 #: Names and lengths that the driver sees at most; with more, genes are compared in arrays and all lengths laid out alike.
 _NAMES = 4096
 #: Hot keys that are broadcast at most, the items that the sketch tracks, of how many nodes it sees one, and how often a hot key is cut again.
-_HOT_KEYS, _TRACKED, _EVERY, _LEVELS = 10_000, 1 << 16, 16, 3
+_HOT_KEYS, _TRACKED, _EVERY, LEVELS = 10_000, 1 << 16, 16, 3
 _BITS = 62
 
 
@@ -137,7 +137,7 @@ def _first(name: str, a, b, x: Layout) -> Column:
     return F.coalesce(*(F.when(a(f"{name}{i}") == b(f"{name}{i}"), i) for i in range(x.n)))
 
 
-def _keyed(nodes: DataFrame, ratio: float, key: str, x: Layout, by: Sequence[str], fresh: str | None) -> DataFrame:
+def _keyed(nodes: DataFrame, ratio: float, key: str, x: Layout, by: Sequence[str], fresh: str | None, *others: str) -> DataFrame:
     """A row for each common thing that candidates can have: ``k``."""
     base = _joinable(nodes, ratio)
     if x.lengths is not None:
@@ -146,7 +146,7 @@ def _keyed(nodes: DataFrame, ratio: float, key: str, x: Layout, by: Sequence[str
     ids = {c: _numbered(genes[c], c) if x.genes else F.transform(c, lambda g: F.xxhash64(g)) for c in ("v_call", "j_call")}
     raw = F.col("cdr3").cast("binary")
     out = base.select(
-        F.col(key).alias("key"), *by, (F.col(fresh) if fresh else F.lit(True)).alias("fresh"), "cdr_length", "n", raw.alias("rest"), F.octet_length("cdr3").alias("bytes"),
+        F.col(key).alias("key"), *by, *others, (F.col(fresh) if fresh else F.lit(True)).alias("fresh"), "cdr_length", "n", raw.alias("rest"), F.octet_length("cdr3").alias("bytes"),
         *_spread("w", words(F.col("cdr3"), x.size), x.wide), *_spread("h1_", _hashes(raw, x.n), x.wide), ids["v_call"].alias("vs"), ids["j_call"].alias("js"),
     )
     out = out.select("*", F.explode("vs").alias("v")).select("*", F.explode("js").alias("j"))
@@ -187,6 +187,15 @@ def hot_keys(rows: DataFrame, block: int) -> DataFrame | None:
     return rows.sparkSession.createDataFrame(found, counted.schema) if found else None
 
 
+def unlike(a, b, x: Layout) -> Column:
+    """In how many bytes the sequences of two rows differ; beyond the shorter one's end each byte differs from none, and doesn't count."""
+    if x.wide:
+        found = F.aggregate(F.zip_with(a("w"), b("w"), lambda p, q: unlike_bytes([p], [q])), F.lit(0), lambda s, p: s + p)
+    else:
+        found = unlike_bytes(*([side(f"w{i}") for i in range(x.size)] for side in (a, b)))
+    return found - F.abs(a("bytes") - b("bytes"))
+
+
 def _compared(left: DataFrame, right: DataFrame, level: int, ratio: float, x: Layout, by: Sequence[str]) -> DataFrame:
     """Pairs of one level's rows with equal ``k``, each where it is to be emitted. ``left`` holds fresh rows only."""
     # not renamed: the optimizer tries all mixtures of old and new names in what it knows of k
@@ -195,14 +204,8 @@ def _compared(left: DataFrame, right: DataFrame, level: int, ratio: float, x: La
     pairs = left.alias("a").hint("merge").join(right.alias("b"), (a("k") == b("k")) & functools.reduce(Column.__and__, (a(c).eqNullSafe(b(c)) for c in by), F.lit(True)))
     # what k stands for, in a form that is no join key: sides are dealt and sorted by one long
     unequal = [a(c).bitwiseXOR(b(c)) for c in ("v", "j", "cdr_length", *(f"p{i}" for i in range(1, level + 1)))]
-    if x.wide:
-        unlike = F.aggregate(F.zip_with(a("w"), b("w"), lambda p, q: unlike_bytes([p], [q])), F.lit(0), lambda s, p: s + p)
-    else:
-        unlike = unlike_bytes(*([side(f"w{i}") for i in range(x.size)] for side in (a, b)))
-    # beyond the shorter sequence's end each byte differs from none, and doesn't count
-    unlike = unlike - F.abs(a("bytes") - b("bytes"))
     rules = [
-        functools.reduce(Column.bitwiseOR, unequal) == 0, (a("key") < b("key")) | ~b("fresh") & (a("key") != b("key")), unlike <= max_distance(a("cdr_length"), ratio),
+        functools.reduce(Column.bitwiseOR, unequal) == 0, (a("key") < b("key")) | ~b("fresh") & (a("key") != b("key")), unlike(a, b, x) <= max_distance(a("cdr_length"), ratio),
         *(_first(f"h{i}_", a, b, x) == a(f"p{i}") for i in range(1, level + 1)),
     ]
     if not x.genes:
@@ -218,7 +221,7 @@ def _compared(left: DataFrame, right: DataFrame, level: int, ratio: float, x: La
 def _class_edges(nodes: DataFrame, ratio: float, key: str, block: int, x: Layout, by: Sequence[str], fresh: str | None) -> list[DataFrame]:
     rows, out = _keyed(nodes, ratio, key, x, by, fresh), []
     meet = lambda left, right, level: out.append(_compared(left.where("fresh").drop("rest"), right.drop("rest"), level, ratio, x, by))
-    for level in range(1, _LEVELS + 1):
+    for level in range(1, LEVELS + 1):
         often = hot_keys(rows, block)
         if often is None:
             meet(rows, rows, level)
@@ -226,13 +229,13 @@ def _class_edges(nodes: DataFrame, ratio: float, key: str, block: int, x: Layout
         cold = rows.join(F.broadcast(often.select("k")), "k", "left_anti")
         meet(cold, cold, level)
         # strings that have not the reported length do not line up with others outside a chunk
-        deep = F.col("odd") == 0 if level < _LEVELS else F.lit(False)
+        deep = F.col("odd") == 0 if level < LEVELS else F.lit(False)
         flat = rows.join(F.broadcast(often.where(~deep).select("k", F.ceil(F.col("c") / block).cast("int").alias("nb"))), "k")
-        if level == _LEVELS or not often.where(~deep).isEmpty():
+        if level == LEVELS or not often.where(~deep).isEmpty():
             left = flat.withColumn("of", F.explode(F.expr("sequence(0, nb - 1)")))
             right = flat.withColumn("of", F.expr("cast(pmod(xxhash64(key, 7), nb) as int)"))
             meet(*(side.withColumn("k", F.xxhash64("k", "of")).drop("of", "nb") for side in (left, right)), level)
-        if level == _LEVELS or often.where(deep).isEmpty():
+        if level == LEVELS or often.where(deep).isEmpty():
             return out
         rows = _cut_again(rows.join(F.broadcast(often.where(deep).select("k")), "k"), level + 1, x)
     return out

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from cdrforge.operators import collapse, lineages, similarity
+from cdrforge.operators import clusters, collapse, lineages, similarity
 from cdrforge.storage import Scratch
 
 
@@ -54,14 +54,13 @@ class Analysis:
 
     @property
     def graph(self) -> DataFrame:
-        """n_nodes, n_edges, n_blocks: one row. The edges counted are written, and serve the lineages too."""
-        self.links = self._scratch.table(self.links, "links")
+        """n_nodes, n_edges, n_blocks: one row. Edges are counted where they are found."""
         sizes = [self.nodes.agg(F.count("*").alias("n_nodes")), self.links.agg(F.count("*").alias("n_edges")), similarity.block_sizes(self.nodes).agg(F.count("*").alias("n_blocks"))]
         return functools.reduce(DataFrame.crossJoin, sizes)  # one row each
 
     @functools.cached_property
     def members(self) -> DataFrame:
-        found = lineages.members(self.nodes, self.links)
+        found = clusters.clusters(self.nodes, self.ratio, self.by)
         return self._scratch.table(found.select(*self.by, "id", "cdr3", "n_reads", "component"), "members")
 
     @functools.cached_property

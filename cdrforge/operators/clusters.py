@@ -6,7 +6,8 @@ outside a window of as many places as may differ. Of what is then still apart, e
 pair that has a join key in common is compared, as in the join of all edges; but in a
 key all rows of the component that most of its rows belong to are on one side only.
 Pairs of one component are left out, no others, so the components are those of all
-edges; what is compared goes by the rows that stand outside.
+edges; what is compared goes by the rows that stand outside. Keys of like sequences are
+compared in tiles, as there.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cdrforge.functions.sequences import max_distance
-from cdrforge.operators import similarity
+from cdrforge.operators import similarity, tiles
 from cdrforge.operators.components import connected_components
 from cdrforge.storage import Scratch
 
@@ -54,6 +57,33 @@ def _compared(left: DataFrame, right: DataFrame, ratio: float, x: similarity.Lay
     return pairs.where(functools.reduce(lambda p, q: p & q, rules)).select(a("comp").alias("a"), b("comp").alias("b"))
 
 
+def _tile_links(rows: DataFrame, block: int, x: similarity.Layout, by: Sequence[str]) -> DataFrame:
+    """The same as by ``_compared``, of keys with ``c`` rows of which ``outside`` ones are to be compared with all."""
+    longs, same = [f"w{i}" for i in range(x.size)], ["v", "j", "cdr_length"]
+    parts = [F.greatest(F.lit(1), F.ceil(F.col(c) / (similarity._TILE * block))) for c in ("outside", "c")]
+    rows = rows.select("k", "key", "comp", "main", *by, *same, *longs, (F.col("n") - 1).alias("most"), *(p.alias(c) for p, c in zip(parts, ("nx", "ny"), strict=True)))
+
+    def dealt(some: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        return some.withColumn("side", F.lit(side)).withColumn(own, F.expr(f"pmod(xxhash64(key, 7), n{own})")).withColumn(other, F.explode(F.expr(f"sequence(0L, n{other} - 1)"))).drop("key", "main", "nx", "ny")
+
+    def met(table: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        def value(c: str) -> np.ndarray:
+            return table.column(c).to_numpy()
+
+        good = value("comp")[a] != value("comp")[b]
+        for c in same:
+            good &= value(c)[a] == value(c)[b]
+        for c in by:  # null is a value like others
+            code = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            good &= code[a] == code[b]
+        links = np.unique(np.stack([value("comp")[a[good]], value("comp")[b[good]]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links], names=["a", "b"])
+
+    outside = rows.where("comp <> main")
+    kind = rows.select(F.col("comp").alias("a"), F.col("comp").alias("b")).schema
+    return tiles.compare(dealt(outside, 0, "x", "y").unionByName(dealt(rows, 1, "y", "x")), longs, "most", met, kind)
+
+
 def _class_links(nodes: DataFrame, ratio: float, block: int, x: similarity.Layout, by: Sequence[str], scratch: Scratch) -> list[DataFrame]:
     """Links between components, of one class of lengths."""
     rows, out = similarity._keyed(nodes, ratio, "id", x, by, None, "comp"), []
@@ -62,13 +92,22 @@ def _class_links(nodes: DataFrame, ratio: float, block: int, x: similarity.Layou
         each = rows.groupBy("k", "comp").agg(F.count("*").alias("c"), F.count_if(F.col("bytes") != F.col("cdr_length")).alias("odd"))
         keys = each.groupBy("k").agg(F.max_by("comp", "c").alias("main"), F.sum("c").alias("c"), (F.sum("c") - F.max("c")).alias("outside"), F.sum("odd").alias("odd")).where("outside > 0")
         # hot: more to compare than a key of ``block`` rows would have. Strings that have not the reported length do not line up with others outside a chunk
-        tiles = F.ceil(F.col("outside").cast("double") * F.col("c") / (float(block) * block)).cast("int")
-        keys = keys.select("k", "main", tiles.alias("nb"), ((F.col("odd") == 0) & (tiles > 1) & F.lit(level < similarity.LEVELS)).alias("deep"))
+        cells = F.ceil(F.col("outside").cast("double") * F.col("c") / (float(block) * block)).cast("int")
+        even = (F.col("odd") == 0) & F.lit(level < similarity.LEVELS)
+        near = (F.col("odd") == 0) & F.lit(not x.wide) & (F.col("outside").cast("double") * F.col("c") > (float(block) / (2 * similarity._FEW)) ** 2)
+        keys = keys.select("k", "main", "c", "outside", cells.alias("nb"), (even & (cells > 1)).alias("deep"), near.alias("near"))
         rows = rows.join(keys, "k")
-        at, n = scratch.write_counted(rows.withColumn("rest", F.when(F.col("deep"), F.col("rest"))), f"apart{level}")
+        at, n = scratch.write_counted(rows.withColumn("rest", F.when(F.col("deep") | F.col("near"), F.col("rest"))), f"apart{level}")
         rows = scratch.read(at, rows)
         if not n:
             break
+        some = rows.where("near")
+        if not some.isEmpty():
+            chosen = similarity.alike_keys(some, level, x) if level < similarity.LEVELS else some.select("k").distinct()
+            chosen = scratch.table(chosen, f"alike{level}")
+            out.append(_tile_links(some.join(chosen, "k", "left_semi"), block, x, by))
+            rows = rows.join(chosen, "k", "left_anti")
+        rows = rows.drop("near", "c", "outside")
         flat = rows.where("not deep").drop("rest")
         left = flat.where("comp <> main").withColumn("of", F.explode(F.expr("sequence(0, nb - 1)")))
         right = flat.withColumn("of", F.expr("cast(pmod(xxhash64(key, 7), nb) as int)"))

@@ -1,12 +1,16 @@
 """MinHash near-duplicates: bottom-k sketches of one hash function.
 
 1. Texts with equal shingle sets fall into one class; the smallest id stands for it.
-2. A class's sketch is the k smallest hashes of its set. Of the values that two
-   classes or more retain, the rarest go into inverted lists: a pair with the
-   similarity asked for shares at least m sketch values, so it meets in one of
-   the r - m + 1 rarest of its r repeated values (prefix filter). m is the
-   binomial bound for a miss below ``loss`` for a pair just at the threshold. Of
-   lists with the same members one is kept.
+2. A class's sketch is the k smallest hashes of its set. Each two neighbours in it
+   are a key: where both are common to two classes and adjacent in the union's
+   sketch, they are neighbours in both. A frequent shingle alone makes no key, so
+   texts that share such ones only do not meet, however many there are. Of the keys
+   that two classes or more have, the rarest go into inverted lists: a pair with the
+   similarity asked for shares at least m keys, so it meets in one of the r - m + 1
+   rarest of its r repeated ones (prefix filter). m bounds a miss below ``loss`` for
+   a pair just at the threshold, here and in step 3 together. Below 75 per cent,
+   where common values need not be neighbours, single values are keys. Of lists with
+   the same members one is kept.
 3. Pairs within a list pass if the sketch of their union holds m common values.
    The components of these pairs are the candidates.
 4. Within a candidate component full sets are compared, and true links give the
@@ -275,6 +279,16 @@ def least_common(k: int, percent: int, loss: float) -> int:
     return max(1, m)
 
 
+def least_neighbours(k: int, percent: int, loss: float) -> int:
+    """The most neighbours of which both are common that a pair at the threshold has in the sketch of its union, but for a chance below ``loss``."""
+    t = percent / 100
+    apart, common = np.zeros(k), np.zeros(k)  # by the number of such neighbours, and by whether the last value is common
+    apart[0], common[0] = 1 - t, t
+    for _ in range(k - 1):
+        apart, common = (apart + common) * (1 - t), apart * t + np.concatenate([[0], common[:-1] * t])
+    return max(1, int(((apart + common).cumsum() < loss).sum()))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = 48, loss: float = 1e-7, list_block: int = 512, set_block: int = 16384, digest: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept and, if asked for, text_hash (xxhash64 of the text).
 
@@ -291,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
-    least = least_common(k, percent, loss)
+    least = least_common(k, percent, loss / 2)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = scratch.table(base.withColumn("h", F.xxhash64("text")).mapInArrow(_sketches(shingle, k), "id long, h long, n long, ka long, kb long, sketch array<long>"), "sketches")
     classes = rows.where("ka is not null and id is not null").groupBy("ka", "kb").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
@@ -299,11 +313,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = rows.join(classes.select("ka", "kb", F.col("rep").alias("id")), ["ka", "kb", "id"], "left_semi").dropDuplicates(["id", "ka", "kb"])
     reps = scratch.table(reps.select("id", "n", "sketch"), "classes")
 
-    values = reps.select("id", F.explode("sketch").alias("key"))
+    if percent >= 75:  # of u values of a union, with at most a quarter not common, two neighbours are
+        keys = F.expr("transform(slice(sketch, 1, greatest(size(sketch) - 1, 0)), (v, i) -> xxhash64(v, sketch[i + 1]))")
+        need = F.expr(f"cast(greatest(1, least({least_neighbours(k, percent, loss / 2)}, ceil({2 * percent - 100} * n / 100 - 1))) as int)")
+    else:
+        keys, need = F.col("sketch"), F.expr(f"cast(least({least}, ceil({percent} * n / 100)) as int)")
+    values = reps.select("id", F.explode(keys).alias("key"))
     often = values.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     lists = values.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("l"))
     lists = lists.join(reps.select("id", "n"), "id")
-    need = F.expr(f"cast(least({least}, ceil({percent} * n / 100)) as int)")
     lists = lists.withColumn("need", need).where("size(l) >= need")
     lists = lists.select("id", F.explode(F.expr("slice(l, 1, size(l) - need + 1)")).alias("e")).select(F.col("e.key").alias("key"), "id")
     lists = scratch.table(lists, "lists")

@@ -274,3 +274,35 @@ def test_digests_are_of_the_kept_text(spark):
     rows = queries.op7_substring_dedup(spark, SF).limit(5).collect()
     kept = {r["doc_id"]: r["kept"] for r in remove_repeats(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     assert all(hashlib.sha256(kept[r["doc_id"]].encode()).hexdigest() == r["kept_sha256"] for r in rows)
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_frequent_shingles_alone_make_no_lists(spark, monkeypatch, percent):
+    """Texts of few words share many shingles: a text has few rows in lists if it is like no other; and neighbours in sketches lose no link."""
+    rng, rows, seen, linked = np.random.default_rng(53), [], [], near_dup.block_links
+
+    def spy(members, check, unsigned, scratch, per_key):
+        seen.append((per_key, members.count()))
+        return linked(members, check, unsigned, scratch, per_key)
+
+    monkeypatch.setattr(near_dup, "block_links", spy)
+    for k in range(1500):
+        n = int(rng.integers(2, 90))
+        ws = [f"w{x}" for x in rng.integers(0, 80, n)]
+        rows.append((2 * k, " ".join(ws)))
+        if k % 10 == 0:
+            ws[int(rng.integers(n))] = "new"
+            rows.append((2 * k + 1, " ".join(ws)))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, percent=percent).collect()}
+    sets = {i: frozenset(zip(ws := t.split(), ws[1:])) for i, t in rows}
+    assert {i for i in sets if i % 2 and 100 * len(sets[i] & sets[i - 1]) >= percent * len(sets[i] | sets[i - 1])} <= {i for i in sets if got[i] != i and got[i] == got.get(i - 1)}
+    if percent == 80:
+        assert dict(seen)["list"] < 4 * len(rows), seen
+
+
+def test_least_neighbours_bounds_the_loss():
+    m = near_dup.least_neighbours(12, 80, 1e-3)
+    rng = np.random.default_rng(59)
+    common = rng.random((1_000_000, 12)) < 0.8
+    n = (common[:, 1:] & common[:, :-1]).sum(1)
+    assert (n < m).mean() < 1.1e-3 < (n < m + 1).mean()

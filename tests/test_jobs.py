@@ -173,3 +173,13 @@ def test_edges_with_a_fresh_end(spark):
     want = sorted((e for e in every if (e[0], e[2]) in fresh or (e[0], e[3]) in fresh), key=repr)
     for block in (4096, 2):
         assert sorted(map(tuple, similarity.edges(nodes, by=("donor",), fresh="fresh", block=block).collect()), key=repr) == want
+
+
+def test_pairs_of_a_load_are_written_once(spark, tmp_path, monkeypatch):
+    """To the table of edges, and to no table beside it; donors and sequences whose ends could run together stay apart."""
+    written, write = [], clone_catalogue.Scratch.write
+    monkeypatch.setattr(clone_catalogue.Scratch, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    clone_catalogue.add_load(spark.createDataFrame(LOADS[0], "doc_id long, text string, lang string"), 0, f"{tmp_path}/out", GROWING)
+    assert "found" in written and "pairs" not in written
+    names = spark.createDataFrame([("1", "AC"), (None, "1:1AC"), ("1A", "C"), ("", "-AC"), (None, "AC")], "donor string, cdr3 string")
+    assert names.select(clone_catalogue._name("cdr3")).distinct().count() == 5

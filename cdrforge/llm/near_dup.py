@@ -35,6 +35,7 @@ from cdrforge.llm.classes import join_classes
 from cdrforge.llm.hashing import mix, pieces, windows, words
 from cdrforge.operators.components import connected_components
 from cdrforge.storage import Scratch
+from cdrforge.workers import tidy
 
 _SLAB = 4096
 
@@ -68,7 +69,7 @@ def _sketches(size: int, k: int) -> Callable:
                 sketch = pa.ListArray.from_arrays(np.cumsum([0, *map(len, low)]).astype(np.int32), np.concatenate(low) if low else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), ka, kb, sketch], schema=kind)
 
-    return run
+    return tidy(run)
 
 
 def _sets(size: int, bits: np.ndarray | None) -> Callable:
@@ -85,7 +86,7 @@ def _sets(size: int, bits: np.ndarray | None) -> Callable:
                 sets = [s.tobytes() for s in shingle_sets(batch.column("text"), size)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], schema=kind)
 
-    return run
+    return tidy(run)
 
 
 _PROBES, _MOST_BITS = 3, 1 << 26
@@ -226,7 +227,7 @@ def _linker(check: Callable, unsigned: str) -> Callable:
         if ids and (out := list(links(np.concatenate(ids), np.concatenate(labels), payload))):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=kind)
 
-    return run
+    return tidy(run)
 
 
 def block_links(members: DataFrame, check: Callable, unsigned: str, scratch: Scratch, per_key: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from cdrforge.storage import Scratch
+from cdrforge.workers import tidy
 
 #: Fixed value: the words that the byte-level vocabulary splits a text into.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -155,7 +156,7 @@ def _pack(read: Callable[[pa.RecordBatch], Iterator[tuple]], size: int, most: in
         if rest := packer.rest():
             yield _rows([(*p, -1, -1) for p in rest], False, ids)
 
-    return run
+    return tidy(run)
 
 
 def _texts(path: str, end_id: int, special: bool) -> Callable:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cdrforge.llm.hashing import U, buffers, pieces, windows, words
 from cdrforge.storage import Scratch
+from cdrforge.workers import give_back
 
 _LAST = (1 << 63) - 1  # a null id comes after all others
 _PARTS, _BUCKETS, _SMALL = 128, 256, 1 << 18
@@ -108,6 +109,7 @@ def _send(size: int, buckets: int):
     kind = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()  # of the group before
         batch = table.column("batch")[0].as_py()
         h, b, _, _ = _hashes(_ordered(table), size, buckets)
         order, new = _distinct(h, b)
@@ -138,6 +140,7 @@ def _answer(table: pa.Table) -> pa.Table:
 def _remove(size: int, buckets: int, carried: list[str], layout: bool):
 
     def run(table: pa.Table, flags: pa.Table) -> pa.Table:
+        give_back()  # of the group before
         table = _ordered(table)
         h, b, at, begin = _hashes(table, size, buckets)
         order, new = _distinct(h, b)

@@ -13,7 +13,7 @@ compared in tiles, as there.
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -66,18 +66,17 @@ def _tile_links(rows: DataFrame, block: int, x: similarity.Layout, by: Sequence[
     def dealt(some: DataFrame, side: int, own: str, other: str) -> DataFrame:
         return some.withColumn("side", F.lit(side)).withColumn(own, F.expr(f"pmod(xxhash64(key, 7), n{own})")).withColumn(other, F.explode(F.expr(f"sequence(0L, n{other} - 1)"))).drop("key", "main", "nx", "ny")
 
-    def met(table: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        def value(c: str) -> np.ndarray:
-            return table.column(c).to_numpy()
-
-        good = value("comp")[a] != value("comp")[b]
-        for c in same:
-            good &= value(c)[a] == value(c)[b]
-        for c in by:  # null is a value like others
-            code = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-            good &= code[a] == code[b]
-        links = np.unique(np.stack([value("comp")[a[good]], value("comp")[b[good]]]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links], names=["a", "b"])
+    def met(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], pa.RecordBatch]:
+        comp, alike = table.column("comp").to_numpy(), [*(table.column(c).to_numpy() for c in same), *(tiles.codes(table.column(c)) for c in by)]
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            good = comp[a] != comp[b]
+            for c in alike:
+                good &= c[a] == c[b]
+            links = np.unique(np.stack([comp[a[good]], comp[b[good]]]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links], names=["a", "b"])
+
+        return pairs
 
     outside = rows.where("comp <> main")
     kind = rows.select(F.col("comp").alias("a"), F.col("comp").alias("b")).schema

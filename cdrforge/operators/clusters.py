@@ -80,7 +80,7 @@ def _tile_links(rows: DataFrame, block: int, x: similarity.Layout, by: Sequence[
 
     outside = rows.where("comp <> main")
     kind = rows.select(F.col("comp").alias("a"), F.col("comp").alias("b")).schema
-    return tiles.compare(dealt(outside, 0, "x", "y").unionByName(dealt(rows, 1, "y", "x")), longs, "most", met, kind)
+    return tiles.compare(dealt(outside, 0, "x", "y").unionByName(dealt(rows, 1, "y", "x")), longs, "most", met, kind, x.packed)
 
 
 def _class_links(nodes: DataFrame, ratio: float, block: int, x: similarity.Layout, by: Sequence[str], scratch: Scratch) -> list[DataFrame]:

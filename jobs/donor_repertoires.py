@@ -48,7 +48,7 @@ def run(reads: DataFrame, out: str, settings: dict[str, Any], only: list[str] |
         logs.log.info("Donor %s: read %d sequences (%d unique CDR3s).", r["donor"], r["n_reads"], r["n_unique_cdr3"])
     tables = {
         "lineages": a.ranked.select("donor", "lineage", "root", "n_unique_cdr3", "n_reads"),
-        "members": lineages.numbered(a.members, ("donor",)).select("donor", "lineage", "cdr3", "n_reads"),
+        "members": lineages.numbered(a.members, ("donor",), a.ranked).select("donor", "lineage", "cdr3", "n_reads"),
         "usage": a.usage,
         "stats": a.stats.select("donor", "ord", "metric", "value"),
     }

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from cdrforge.operators import collapse, lineages, similarity
 from cdrforge.plans.adapters import donors, text_reads
 from cdrforge.plans.analysis import Analysis
+from cdrforge.storage import Scratch
 from jobs import clone_catalogue, config, donor_repertoires
 
 SF = "/root/testdata/sf0.001"
@@ -183,3 +185,17 @@ def test_pairs_of_a_load_are_written_once(spark, tmp_path, monkeypatch):
     assert "found" in written and "pairs" not in written
     names = spark.createDataFrame([("1", "AC"), (None, "1:1AC"), ("1A", "C"), ("", "-AC"), (None, "AC")], "donor string, cdr3 string")
     assert names.select(clone_catalogue._name("cdr3")).distinct().count() == 5
+
+
+def test_a_load_leaves_the_catalogue_only(spark, tmp_path, monkeypatch):
+    """Lineages are ranked once, what a load needs on the way goes when it is done, and all-new nodes are shuffled to their pairs once."""
+    scratches, ranked, plans = [], lineages.ranked, []
+    monkeypatch.setattr(clone_catalogue, "Scratch", lambda *args: scratches.append(Scratch(*args)) or scratches[-1])
+    monkeypatch.setattr(lineages, "ranked", lambda *args: plans.append(1) or ranked(*args))
+    edges = similarity.edges
+    monkeypatch.setattr(similarity, "edges", lambda *args, **named: plans.append(named["fresh"]) or edges(*args, **named))
+    for k in (0, 1):
+        plans.clear()
+        clone_catalogue.add_load(spark.createDataFrame(LOADS[k], "doc_id long, text string, lang string"), k, f"{tmp_path}/out", GROWING)
+        assert plans == [(None, "fresh")[k], 1]
+    assert len(scratches) == 2 and not any(Path(s.base.removeprefix("file://")).exists() for s in scratches)

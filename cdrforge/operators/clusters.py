@@ -24,8 +24,8 @@ from cdrforge.operators import similarity, tiles
 from cdrforge.operators.components import connected_components
 from cdrforge.storage import Scratch
 
-#: As for lineages: edges that one task may finish, and that a task contracts.
-_ONE_TASK, _TASK = 200_000, 500_000
+#: Edges that one task may finish, as many as it holds at once anyway, and that a task contracts.
+_ONE_TASK, _TASK = 1_000_000, 500_000
 
 
 def near_links(nodes: DataFrame, ratio: float, by: Sequence[str] = ()) -> DataFrame:
